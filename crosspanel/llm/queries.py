@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from crosspanel.llm.bpe import op6_bpe
+from crosspanel.llm.simhash import op1_simhash
 
 
 def queries() -> dict:
-    return {"op6_bpe": op6_bpe}
+    return {"op1_simhash": op1_simhash, "op6_bpe": op6_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
