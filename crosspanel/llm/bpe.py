@@ -1,7 +1,7 @@
 """Operator 6: byte-level BPE encoding and decoding over a global table of distinct words.
 
 Pre-tokens are coded in blocks (``blocks.py``), each distinct word of the whole corpus is sent to one place and
-merged there once, its ids go back to the blocks that have it, and each document is put together by position.
+merged there once (by tiktoken), its ids go back to the blocks that have it, and each document is put together by position.
 Decoding joins the token-byte table, whose size is that of the vocabulary file.
 
 Nulls and empty texts have no ids and decode to no bytes; null and repeated ids keep a row each; an empty
@@ -11,17 +11,22 @@ table gives an empty result; other columns are left out.
 from __future__ import annotations
 
 import base64
-import os
+import re
+from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+import tiktoken
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crosspanel.llm import blocks
+from crosspanel.llm._shared import texts
 
 PATTERN = public_tokenizers.PATTERN
 #: Tokens that a vocabulary file may have: it is read by the driver and sent to every executor.
@@ -37,101 +42,78 @@ def vocabulary(path: str) -> dict[bytes, int]:
     return ranks
 
 
-def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one word: the adjacent pair of the lowest rank is joined until none has a rank."""
-    whole = ranks.get(word)
-    if whole is not None:
-        return [whole]
-    parts = [word[i : i + 1] for i in range(len(word))]
-    pairs = [ranks.get(word[i : i + 2]) for i in range(len(word) - 1)]
-    while True:
-        best, at = None, -1
-        for i, r in enumerate(pairs):
-            if r is not None and (best is None or r < best):
-                best, at = r, i
-        if best is None:
-            return [ranks[p] for p in parts]
-        parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        del pairs[at]
-        if at:
-            pairs[at - 1] = ranks.get(parts[at - 1] + parts[at])
-        if at < len(pairs):
-            pairs[at] = ranks.get(parts[at] + parts[at + 1])
-
-
-#: From this length on a heap finds the next pair: a run of a million letters is one word.
-LONG_WORD = 200
-
-
-def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """As ``merge``, in O(n log n)."""
-    import heapq
-
-    n = len(word)
-    end, before, after = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-    alive = [True] * n
-    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
-    heapq.heapify(heap)
-    while heap:
-        _, i, stop = heapq.heappop(heap)
-        j = after[i]
-        if not alive[i] or j >= n or end[j] != stop:
-            continue
-        alive[j], end[i], after[i] = False, stop, after[j]
-        if after[i] < n:
-            before[after[i]] = i
-            if (r := ranks.get(word[i : end[after[i]]])) is not None:
-                heapq.heappush(heap, (r, i, end[after[i]]))
-        if (p := before[i]) >= 0 and (r := ranks.get(word[p:stop])) is not None:
-            heapq.heappush(heap, (r, p, stop))
-    return [ranks[word[i : end[i]]] for i in range(n) if alive[i]]
+#: The white space of Unicode, which the pattern's ``\\s`` means.
+SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+
+
+def splitter(pattern: str) -> Callable[[str], list[str]]:
+    """A function that splits a text by ``pattern``; ASCII texts take a form without Unicode classes."""
+    exact = re.sub(r"(\[\^?)\\s", lambda m: m[1] + SPACE, pattern).replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]")
+    whole = regex.compile(exact)
+    plain = re.sub(r"(\[[^\]]*)\\p\{L\}", r"\1A-Za-z", exact)
+    plain = re.sub(r"(\[[^\]]*)\\p\{N\}", r"\g<1>0-9", plain).replace(r"\p{L}", "[A-Za-z]").replace(r"\p{N}", "[0-9]")
+    if r"\p" in plain:
+        return whole.findall
+    ascii_ = re.compile(plain)
+    return lambda text: (ascii_ if text.isascii() else whole).findall(text)
 
 
 def encode(docs: DataFrame, path: str | None = None, pattern: str = PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, ids array<int>)`` for each row: the tokens of the whole text, special tokens as plain text."""
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
     ranks = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
-    split = regex.compile(pattern)
-    coded = blocks.coded(docs, id_col, text_col, lambda t: split.findall(t), lambda w: w.encode("utf-8", "surrogatepass"), F.lit(False))
+    split = splitter(pattern)
+    coded = blocks.coded(docs, id_col, text_col, split, lambda w: w.encode("utf-8", "surrogatepass"), F.lit(False))
 
     def words(batches):
         for b in batches:
-            yield b.filter(pc.equal(b.column("kind"), 0)).select(["block", "idx", "word"])
+            yield b.filter(pc.equal(b.column("kind"), 0)).select(["block", "bucket", "payload"])
 
     def encoded(batches):
-        table, done = ranks.value, {}
+        one = tiktoken.Encoding("words", pat_str="(?s:.+)", mergeable_ranks=ranks.value, special_tokens={}).encode_ordinary
+        now, done = None, {}
         for b in batches:
             out = []
-            for w in b.column("word").to_pylist():
-                ids = done.get(w)
-                if ids is None:
-                    ids = done[w] = np.array((merge if len(w) < LONG_WORD else merge_long)(w, table), "<i4").tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("idx"), pa.array(out, pa.binary())], ["block", "idx", "ids"])
+            for bucket, raw in zip(b.column("bucket").to_pylist(), b.column("payload").to_pylist(), strict=True):
+                if bucket != now:
+                    now, done = bucket, {}
+                found = []
+                for w in blocks.unpack_words(raw)[0]:
+                    ids = done.get(w)
+                    if ids is None:
+                        ids = done[w] = one(w.decode("utf-8", "surrogatepass"))
+                    found.append(ids)
+                lens = np.fromiter(map(len, found), np.int64, len(found))
+                flat = np.fromiter(chain.from_iterable(found), np.int64, int(lens.sum()))
+                out.append(len(lens).to_bytes(4, "little") + zstandard.compress(blocks.planes(lens) + blocks.planes(flat), 1))
+            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("bucket"), pa.array(out, pa.binary())], ["block", "bucket", "ids"])
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
-        number = left.column("idx").to_numpy()
-        pieces = left.column("ids").combine_chunks()
-        pieces = pieces.chunk(0) if isinstance(pieces, pa.ChunkedArray) and pieces.num_chunks else pieces
-        size = np.zeros(len(number) + 1, np.int64)
-        flat, start = np.zeros(0, np.int32), np.zeros(len(number), np.int64)
-        if len(number):
-            offsets = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset : pieces.offset + len(number) + 1].astype(np.int64) // 4
-            flat = np.frombuffer(pieces.buffers()[2], "<i4")
-            size[number], start[number] = offsets[1:] - offsets[:-1], offsets[:-1]
-        docs_ = right.filter(pc.equal(right.column("kind"), 1))
+        kind = right.column("kind")
+        own = right.filter(pc.equal(kind, 0))
+        codes = dict(zip(own.column("bucket").to_pylist(), map(blocks.unpack_codes, own.column("payload").to_pylist()), strict=True))
+        docs_ = right.filter(pc.equal(kind, 1))
+        top = max((int(c[-1]) for c in codes.values()), default=-1) + 1
+        size, start, flat, used = np.zeros(top, np.int64), np.zeros(top, np.int64), [], 0
+        for bucket, raw in zip(left.column("bucket").to_pylist(), left.column("ids").to_pylist(), strict=True):
+            n, data = int.from_bytes(raw[:4], "little"), zstandard.decompress(raw[4:])
+            lens = blocks.unplane(data, n, 1)[0].astype(np.int64)
+            total = int(lens.sum())
+            flat.append(blocks.unplane(data[4 * n :], total, 1)[0].astype(np.int32))
+            size[codes[bucket]], start[codes[bucket]] = lens, np.cumsum(lens) - lens + used
+            used += total
+        flat = np.concatenate(flat) if flat else np.zeros(0, np.int32)
         ids, ends = [], [0]
-        for raw in docs_.column("codes").to_pylist():
-            codes = blocks.unpack(raw)
-            lens = size[codes]
+        for raw in docs_.column("payload").to_pylist():
+            of = blocks.unpack(raw)
+            lens = size[of]
             total = int(lens.sum())
-            first = np.cumsum(lens) - lens
-            ids.append(flat[np.repeat(start[codes] - first, lens) + np.arange(total)])
+            ids.append(flat[np.repeat(start[of] - (np.cumsum(lens) - lens), lens) + np.arange(total)])
             ends.append(ends[-1] + total)
-        values = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
+        values = np.concatenate(ids) if ids else flat
         return pa.table({id_col: docs_.column("id").combine_chunks(), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))})
 
-    back = coded.mapInArrow(words, "block long, idx int, word binary").repartition("word").mapInArrow(encoded, "block long, idx int, ids binary")
+    back = coded.mapInArrow(words, "block long, bucket int, payload binary").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(encoded, "block long, bucket int, ids binary")
     return back.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(assemble, f"`{id_col}` long, ids array<int>")
 
 
@@ -152,7 +134,7 @@ def decode(tokens: DataFrame, path: str | None = None, id_col: str = "doc_id", i
 
 
 def op6_bpe(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(os.path.join(sf_dir, "documents.parquet"))
+    docs = texts(spark, sf_dir)
     done = decode(encode(docs))
     return done.select(
         "doc_id",
