@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from crosspanel.llm.bpe import op6_bpe
+from crosspanel.llm.decontaminate import op3_decontaminate
 from crosspanel.llm.simhash import op1_simhash
 from crosspanel.llm.substring import op7_substring
 from crosspanel.llm.suffix import op2_suffix
 
 
 def queries() -> dict:
-    return {"op1_simhash": op1_simhash, "op2_suffix": op2_suffix, "op6_bpe": op6_bpe, "op7_substring": op7_substring}
+    return {"op1_simhash": op1_simhash, "op2_suffix": op2_suffix, "op3_decontaminate": op3_decontaminate, "op6_bpe": op6_bpe, "op7_substring": op7_substring}
 
 
 def oracle_sql() -> dict[str, str]:
