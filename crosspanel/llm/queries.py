@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from crosspanel.llm.bpe import op6_bpe
 from crosspanel.llm.decontaminate import op3_decontaminate
+from crosspanel.llm.quality import op9_quality
 from crosspanel.llm.simhash import op1_simhash
 from crosspanel.llm.substring import op7_substring
 from crosspanel.llm.suffix import op2_suffix
+from crosspanel.llm.toxicity import op4_toxicity
 
 
 def queries() -> dict:
-    return {"op1_simhash": op1_simhash, "op2_suffix": op2_suffix, "op3_decontaminate": op3_decontaminate, "op6_bpe": op6_bpe, "op7_substring": op7_substring}
+    return {"op1_simhash": op1_simhash, "op2_suffix": op2_suffix, "op3_decontaminate": op3_decontaminate, "op4_toxicity": op4_toxicity, "op6_bpe": op6_bpe, "op7_substring": op7_substring, "op9_quality": op9_quality}
 
 
 def oracle_sql() -> dict[str, str]:
