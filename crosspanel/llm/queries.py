@@ -5,6 +5,7 @@ from __future__ import annotations
 from crosspanel.llm.bpe import op6_bpe
 from crosspanel.llm.decontaminate import op3_decontaminate
 from crosspanel.llm.html import op5_html
+from crosspanel.llm.lm import op8_lm
 from crosspanel.llm.neighbours import op10_neighbours
 from crosspanel.llm.quality import op9_quality
 from crosspanel.llm.simhash import op1_simhash
@@ -14,7 +15,7 @@ from crosspanel.llm.toxicity import op4_toxicity
 
 
 def queries() -> dict:
-    return {"op1_simhash": op1_simhash, "op2_suffix": op2_suffix, "op3_decontaminate": op3_decontaminate, "op4_toxicity": op4_toxicity, "op5_html": op5_html, "op6_bpe": op6_bpe, "op7_substring": op7_substring, "op9_quality": op9_quality, "op10_neighbours": op10_neighbours}
+    return {"op1_simhash": op1_simhash, "op2_suffix": op2_suffix, "op3_decontaminate": op3_decontaminate, "op4_toxicity": op4_toxicity, "op5_html": op5_html, "op6_bpe": op6_bpe, "op7_substring": op7_substring, "op8_lm": op8_lm, "op9_quality": op9_quality, "op10_neighbours": op10_neighbours}
 
 
 def oracle_sql() -> dict[str, str]:
