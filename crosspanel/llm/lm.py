@@ -38,7 +38,7 @@ from crosspanel.llm.blocks import pack, planes, unpack, unplane
 
 DISCOUNT = 0.8
 #: Characters that end a block.
-BLOCK_CHARS = 12 << 20
+BLOCK_CHARS = 6 << 20
 #: Bits of a word's hash by which it is known among the successors of a context; the end has the highest value.
 BITS = 40
 END = (1 << BITS) - 1
@@ -150,11 +150,13 @@ class Trie:
             return zero, zero, np.zeros(len(successors), np.uint8)
         count, kinds = np.where(known, self.count[safe], 0).astype(np.int64), np.where(known, self.kinds[safe], 0)
         code = np.zeros(len(successors), np.uint8)
-        ask = np.flatnonzero(kinds[of] > 0)
-        at = self.successors.find((safe[of[ask]].astype(U64) << U64(BITS)) | successors[ask])
-        lo = self.bounds[safe[of[ask]]]
-        hit = (at >= lo) & (at < lo + kinds[of[ask]])
-        code[ask[hit]] = self.code[at[hit]]
+        for a in range(0, len(of), 1 << 18):
+            part = of[a : a + (1 << 18)]
+            ask = np.flatnonzero(kinds[part] > 0)
+            own = safe[part[ask]]
+            at = self.successors.find((own.astype(U64) << U64(BITS)) | successors[a + ask])
+            hit = (at >= self.bounds[own]) & (at < self.bounds[own + 1])
+            code[a + ask[hit]] = self.code[at[hit]]
         return count, kinds, code
 
 
