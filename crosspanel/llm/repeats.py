@@ -8,7 +8,7 @@ equal ones).  Equal windows have equal anchors at equal places, so
    all their symbols, 128 bits together) repeat as a whole, and stand for one *context* from here on;
 3. the different contexts of an anchor, where one of them is alone, go to one task, which finds the windows that
    two of them share (``resolve``: how that is done is the operator's own method);
-4. an anchor with over ``CROWD`` different contexts is resolved by counting its windows' hashes instead, which
+4. an anchor with over ``crowd`` different contexts is resolved by counting its windows' hashes instead, which
    needs no group in one place.
 """
 
@@ -24,9 +24,6 @@ from pyspark.sql import functions as F
 
 from crosspanel.llm._shared import U64, Rolling, cut, signed
 
-#: Different contexts of an anchor that may meet in one task.
-CROWD = 1000
-
 
 @dataclass(frozen=True)
 class Kind:
@@ -37,6 +34,7 @@ class Kind:
     values: Callable[[bytes], np.ndarray]  # a text's symbols as 64-bit values
     payload: Callable[[bytes, np.ndarray, int, int], bytes]  # (text, values, from, to): what resolve() gets of a context
     resolve: Callable[[list[bytes], list[int]], list[list[tuple[int, int]]]]  # contexts, anchors' offsets -> runs of repeated windows in each
+    crowd: int  # different contexts of an anchor that may meet in one task
 
 
 def segments(v: np.ndarray, width: int, k: int):
@@ -65,34 +63,44 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _found(docs: DataFrame, text_col: str, kind: Kind, whole: bool) -> DataFrame:
-    names = ["anchor", "seg", "row_key", "s", "m", "of"]
+    """A row for each different segment of a text, ``s`` being its places; or just anchors and how often the text has them."""
+    names = ["anchor", "seg", "row_key", "s", "m"] if whole else ["anchor", "n"]
 
     def run(batches):
         for b in batches:
-            out = []
+            out, places = [], []
             for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 s, m, _, a, seg = segments(kind.values((text.as_py() or "").encode("utf-8", "surrogatepass")), kind.width, kind.k)
-                if len(s):
-                    out.append((a, seg, np.full(len(s), key), s, m, np.full(len(s), len(s))))
-            if out:
-                cols = [np.concatenate(x) for x in zip(*out, strict=True)]
-                if whole:
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(cols[0])), pa.array(signed(cols[1])), *map(pa.array, (cols[2], cols[3].astype(np.int32), cols[4].astype(np.int32), cols[5].astype(np.int32)))], names)
-                else:
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(cols[0]))], names[:1])
-
-    return docs.select("row_key", text_col).mapInArrow(run, "anchor long, seg long, row_key long, s int, m int, of int" if whole else "anchor long")
+                if len(s) and whole:
+                    turn = np.lexsort((s, a, seg))
+                    a, seg = a[turn], seg[turn]
+                    first = np.flatnonzero(np.concatenate([[True], (seg[1:] != seg[:-1]) | (a[1:] != a[:-1])]))
+                    places.append(s[turn])
+                    out.append((a[first], seg[first], np.full(len(first), key), np.diff(np.append(first, len(s))), m[turn[first]]))
+                elif len(s):
+                    out.append(np.unique(a, return_counts=True))
+            if not out:
+                continue
+            cols = [np.concatenate(x) for x in zip(*out, strict=True)]
+            if whole:
+                at = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(cols[3])]).astype(np.int32)), pa.array(np.concatenate(places).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(signed(cols[0])), pa.array(signed(cols[1])), pa.array(cols[2]), at, pa.array(cols[4].astype(np.int32))], names)
+            else:
+                yield pa.RecordBatch.from_arrays([pa.array(signed(cols[0])), pa.array(cols[1])], names)
+
+    return docs.select("row_key", text_col).mapInArrow(run, "anchor long, seg long, row_key long, s array<int>, m int" if whole else "anchor long, n long")
 
 
 def repeated_windows(docs: DataFrame, kind: Kind, text_col: str = "text") -> DataFrame:
-    """``(row_key, spans array<struct<lo int, hi int>>)``: runs of first symbols of repeated windows, for rows that have any.
+    """``(row_key, spans array<struct<lo array<int>, n int>>)`` for rows that have repeated windows: the ``n`` windows from each of ``lo`` on.
 
     ``docs`` is the result of ``keyed``.
     """
-    shared = _found(docs, text_col, kind, False).groupBy("anchor").count().where("count > 1").select("anchor")
+    # written, so that the join below has plain exchanges on both sides and Spark can split an anchor that is everywhere
+    shared = cut(_found(docs, text_col, kind, False).groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"), "repeated")
     rows = cut(_found(docs, text_col, kind, True).join(shared, "anchor", "left_semi"), "anchors")
-    pairs = cut(rows.groupBy("anchor", "seg").agg(F.count("*").alias("n"), F.min(F.struct("row_key", "s", "m")).alias("rep")), "contexts")
-    full = rows.join(pairs.where("n > 1").select("anchor", "seg"), ["anchor", "seg"]).select("row_key", F.col("s").alias("lo"), (F.col("s") + F.col("m")).alias("hi"))
+    pairs = cut(rows.groupBy("anchor", "seg").agg(F.sum(F.size("s")).alias("n"), F.min(F.struct("row_key", F.col("s")[0].alias("s"), "m")).alias("rep")), "contexts")
+    full = rows.join(pairs.where("n > 1").select("anchor", "seg"), ["anchor", "seg"]).select("row_key", F.col("s").alias("lo"), F.col("m").alias("n"))
     open_ = pairs.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("least = 1 and kinds > 1")
     wanted = pairs.join(open_.select("anchor", "kinds"), "anchor").select("anchor", "kinds", (F.col("n") == 1).alias("alone"), "rep.*")
     by_row = wanted.groupBy("row_key").agg(F.collect_list(F.struct("anchor", "kinds", "alone", "s", "m")).alias("want"))
@@ -116,7 +124,7 @@ def repeated_windows(docs: DataFrame, kind: Kind, text_col: str = "text") -> Dat
                         pa.array([w["s"] for w in want], pa.int32()),
                         pa.array([w["m"] for w in want], pa.int32()),
                         pa.array([where[w["s"]] - w["s"] for w in want], pa.int32()),
-                        pa.array([kind.payload(raw, v, w["s"], w["s"] + w["m"] - 1 + kind.width) if w["kinds"] <= CROWD else _window_hashes(v, w["s"], w["m"], kind.width) for w in want], pa.binary()),
+                        pa.array([kind.payload(raw, v, w["s"], w["s"] + w["m"] - 1 + kind.width) if w["kinds"] <= kind.crowd else _window_hashes(v, w["s"], w["m"], kind.width) for w in want], pa.binary()),
                     ],
                     names,
                 )
@@ -142,10 +150,11 @@ def repeated_windows(docs: DataFrame, kind: Kind, text_col: str = "text") -> Dat
         if held_:
             yield from _span_batches(done())
 
-    few = spread.where(F.col("kinds") <= CROWD).repartition("anchor").sortWithinPartitions("anchor", "row_key", "s").mapInArrow(resolved, "row_key long, lo int, hi int")
-    many = spread.where(F.col("kinds") > CROWD)
+    few = spread.where(F.col("kinds") <= kind.crowd).repartition("anchor").sortWithinPartitions("anchor", "row_key", "s").mapInArrow(resolved, "row_key long, lo int, hi int")
+    many = spread.where(F.col("kinds") > kind.crowd)
     counted = _counted(many)
-    return full.union(few).union(counted).groupBy("row_key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    found = few.union(counted).select("row_key", F.array("lo").alias("lo"), (F.col("hi") - F.col("lo")).alias("n"))
+    return full.union(found).groupBy("row_key").agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
 
 
 def _window_hashes(v: np.ndarray, s: int, m: int, width: int) -> bytes:
@@ -180,8 +189,10 @@ def covered(spans: list | None, width: int) -> tuple[np.ndarray, np.ndarray]:
     none = np.zeros(0, np.int64)
     if not spans:
         return none, none
-    a = np.array([(x["lo"], x["hi"] - 1 + width) for x in spans], np.int64)
-    a = a[np.argsort(a[:, 0], kind="stable")]
+    lo = np.concatenate([np.asarray(x["lo"], np.int64) for x in spans])
+    size = np.repeat([x["n"] for x in spans], [len(x["lo"]) for x in spans])
+    a = np.stack([lo, lo + size - 1 + width], 1)
+    a = a[np.argsort(lo, kind="stable")]
     top = np.maximum.accumulate(a[:, 1])
     first = np.flatnonzero(np.concatenate([[True], a[1:, 0] > top[:-1]]))
     return a[first, 0], top[np.append(first[1:], len(a)) - 1]
@@ -194,7 +205,6 @@ def runs(flags: np.ndarray) -> list[tuple[int, int]]:
 
 
 
-
 def stripped(docs: DataFrame, kind: Kind, take: Callable, fields: str, id_col: str, text_col: str) -> DataFrame:
     """``row`` (all columns of ``docs``) and what ``take(raw, starts, ends)`` makes of each text and its removed stretches.
 

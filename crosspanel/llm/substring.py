@@ -19,6 +19,8 @@ from crosspanel.llm._shared import U64, texts, word_hashes
 from crosspanel.llm.repeats import Kind, runs, stripped
 
 WIDTH, ANCHOR, PAIRS = 35, 8, 6
+#: Different contexts of an anchor that are extended in one task: about 60 words of 8 bytes each, so some 10 MB.
+CROWD = 20_000
 
 
 def _same(a: np.ndarray, b: np.ndarray) -> int:
@@ -72,7 +74,7 @@ def extend(contexts: list[bytes], at: list[int], width: int, k: int) -> list[lis
 
 
 def kind(width: int = WIDTH, k: int = ANCHOR) -> Kind:
-    return Kind(width, k, lambda raw: word_hashes(raw)[2], lambda raw, v, a, b: v[a:b].tobytes(), lambda c, at: extend(c, at, width, k))
+    return Kind(width, k, lambda raw: word_hashes(raw)[2], lambda raw, v, a, b: v[a:b].tobytes(), lambda c, at: extend(c, at, width, k), CROWD)
 
 
 def _take(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[int, int, str]:

@@ -21,6 +21,8 @@ from crosspanel.llm._shared import BASE, U64, mix, texts
 from crosspanel.llm.repeats import Kind, stripped
 
 WIDTH, ANCHOR = 200, 50
+#: Different contexts of an anchor whose suffixes one task sorts: up to 350 bytes each.
+CROWD = 1000
 #: Values that UTF-8 never uses.
 CORE, END = 0xFE, 0xFF
 
@@ -162,7 +164,7 @@ def equal_windows(contexts: list[bytes], at: list[int], width: int, k: int) -> l
 
 
 def kind(width: int = WIDTH, k: int = ANCHOR) -> Kind:
-    return Kind(width, k, lambda raw: _VALUES[np.frombuffer(raw, np.uint8)], lambda raw, v, a, b: raw[a:b], lambda c, at: equal_windows(c, at, width, k))
+    return Kind(width, k, lambda raw: _VALUES[np.frombuffer(raw, np.uint8)], lambda raw, v, a, b: raw[a:b], lambda c, at: equal_windows(c, at, width, k), CROWD)
 
 
 def _take(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[int, int, int, bytes]:
