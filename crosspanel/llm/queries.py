@@ -1,4 +1,4 @@
-"""The queries of this subpackage and the SQL of those that SQL can express."""
+"""The queries of this subpackage and the SQL of those that SQL can express on whole tables."""
 
 from __future__ import annotations
 
@@ -13,10 +13,46 @@ from crosspanel.llm.substring import op7_substring
 from crosspanel.llm.suffix import op2_suffix
 from crosspanel.llm.toxicity import op4_toxicity
 
+#: Windows of 35 words are counted; words that a repeated one covers are left out.
+OP7 = r"""
+WITH d AS (SELECT ROW_NUMBER() OVER () AS k, doc_id, regexp_extract_all(COALESCE(text, ''), '[^ \t\n\x0B\x0C\r]+') AS w FROM documents),
+s AS (SELECT k, p, hash(w[p:p + 34]) AS a, md5(array_to_string(w[p:p + 34], ' ')) AS b FROM (SELECT k, w, UNNEST(RANGE(1, LEN(w) - 33)) AS p FROM d) q),
+r AS (SELECT k, p FROM (SELECT k, p, COUNT(*) OVER (PARTITION BY a, b) AS n FROM s) q WHERE n > 1),
+c AS (SELECT DISTINCT k, UNNEST(RANGE(p, p + 35)) AS p FROM r),
+x AS (SELECT k, UNNEST(w) AS word, UNNEST(RANGE(1, LEN(w) + 1)) AS p FROM d),
+f AS (SELECT x.k, COUNT(*) FILTER (WHERE c.p IS NOT NULL) AS gone, STRING_AGG(CASE WHEN c.p IS NULL THEN word END, ' ' ORDER BY x.p) AS kept FROM x LEFT JOIN c ON c.k = x.k AND c.p = x.p GROUP BY x.k)
+SELECT doc_id, CAST(LEN(w) AS BIGINT) AS n_words, CAST(COALESCE(gone, 0) AS BIGINT) AS n_removed, sha256(COALESCE(kept, '')) AS kept_sha256 FROM d LEFT JOIN f ON f.k = d.k
+"""
+
+#: Windows of 200 bytes, as hexadecimal digits, are counted; what repeated ones cover is cut out stretch by stretch.
+OP2 = r"""
+WITH d AS (SELECT ROW_NUMBER() OVER () AS k, doc_id, hex(encode(COALESCE(text, ''))) AS h FROM documents),
+s AS (SELECT k, p, md5(SUBSTR(h, 2 * p - 1, 400)) AS a FROM (SELECT k, h, UNNEST(RANGE(1, LEN(h) // 2 - 198)) AS p FROM d) q),
+r AS (SELECT k, p FROM (SELECT k, p, COUNT(*) OVER (PARTITION BY a) AS n FROM s) q WHERE n > 1),
+j AS (SELECT k, p, SUM(new) OVER (PARTITION BY k ORDER BY p) AS g FROM (SELECT k, p, CASE WHEN p > LAG(p) OVER (PARTITION BY k ORDER BY p) + 200 THEN 1 ELSE 0 END AS new FROM r) q),
+i AS (SELECT k, MIN(p) AS a, MAX(p) + 199 AS b FROM j GROUP BY k, g),
+c AS (SELECT k, a, b, COALESCE(LAG(b) OVER (PARTITION BY k ORDER BY a), 0) AS before FROM i),
+f AS (SELECT c.k, SUM(b - a + 1) AS gone, COUNT(*) AS spans, MAX(b) AS last, STRING_AGG(SUBSTR(h, 2 * before + 1, 2 * (a - 1 - before)), '' ORDER BY a) AS head FROM c JOIN d ON d.k = c.k GROUP BY c.k)
+SELECT doc_id, CAST(LEN(h) // 2 AS BIGINT) AS n_bytes, CAST(COALESCE(gone, 0) AS BIGINT) AS n_removed, CAST(COALESCE(spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(COALESCE(head, '') || SUBSTR(h, 2 * COALESCE(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN f ON f.k = d.k
+"""
+
 
 def queries() -> dict:
-    return {"op1_simhash": op1_simhash, "op2_suffix": op2_suffix, "op3_decontaminate": op3_decontaminate, "op4_toxicity": op4_toxicity, "op5_html": op5_html, "op6_bpe": op6_bpe, "op7_substring": op7_substring, "op8_lm": op8_lm, "op9_quality": op9_quality, "op10_neighbours": op10_neighbours}
+    return {
+        "op1_simhash": op1_simhash,
+        "op2_suffix": op2_suffix,
+        "op3_decontaminate": op3_decontaminate,
+        "op4_toxicity": op4_toxicity,
+        "op5_html": op5_html,
+        "op6_bpe": op6_bpe,
+        "op7_substring": op7_substring,
+        "op8_lm": op8_lm,
+        "op9_quality": op9_quality,
+        "op10_neighbours": op10_neighbours,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_suffix": OP2, "op7_substring": OP7}
