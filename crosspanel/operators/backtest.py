@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crosspanel.operators.evaluate import YEAR, calendar, held_return, layer_members, turnover_of
+from crosspanel.sources.shared import written
 
 PCTS = (0.05, 0.1, 0.2)
 
@@ -25,9 +26,9 @@ def strategy_nav(weights: DataFrame, returns: DataFrame, days: DataFrame, *serie
     The value is 1.0 on the first date.  Every date earns the return of the weights held before it; then, on each
     ``freq``-th date, the weights change at ``cost`` for each unit of change.  Weights don't drift; a missing return is 0.
     """
-    at = weights.join(F.broadcast(days), "dt").where(F.col("i") % freq == 0).select(*series, "i", "stock", "weight")
+    at = written(weights.join(F.broadcast(days), "dt").where(F.col("i") % freq == 0).select(*series, "i", "stock", "weight"), "weights")
     earned, change = held_return(at, returns, days, *series, delay=1), turnover_of(at, *series).where("i > 0")
-    grid = weights.select(*series).distinct().join(F.broadcast(days))
+    grid = at.select(*series).distinct().join(F.broadcast(days))
     line = grid.join(earned, [*series, "i"], "left").join(change, [*series, "i"], "left").fillna(0.0, ["r", "turnover"])
     growth = (1 + F.col("r")) * (1 - F.lit(cost) * F.col("turnover"))
     nav = F.product(growth).over(Window.partitionBy(*series).orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
@@ -133,8 +134,8 @@ def split_dates(days: DataFrame, share: float = 0.8) -> DataFrame:
 def out_of_sample(signals: DataFrame, returns: DataFrame, pcts: tuple[float, ...] = PCTS, share: float = 0.8, cost: float = 0.002) -> DataFrame:
     """``(signal, pct, dt, turnover, nav)`` over the last dates, from 1.0, with the percentage that was best before them."""
     parts = split_dates(calendar(signals), share)
-    train = long_only(signals, returns, pcts, cost=cost).join(F.broadcast(parts.where("is_train").select("dt")), "dt", "left_semi")
-    best = optimal_pct(metrics(train, "signal", "pct"))
+    train = written(long_only(signals, returns, pcts, cost=cost).join(F.broadcast(parts.where("is_train").select("dt")), "dt", "left_semi"), "train")
+    best = written(optimal_pct(metrics(train, "signal", "pct")), "best")
     rest = parts.where("not is_train").select("dt", (F.col("i") - F.min("i").over(Window.partitionBy(F.lit(1)))).alias("i"))
     later = top_pct(signals.join(F.broadcast(rest.select("dt")), "dt", "left_semi"), pcts).join(F.broadcast(best), ["signal", "pct"], "left_semi")
     return strategy_nav(later, returns, rest, "signal", "pct", cost=cost)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crosspanel.functions.stats import EPS, average_rank, correlation, sample_skew
+from crosspanel.sources.shared import written
 
 YEAR = 252
 
@@ -116,7 +117,7 @@ def layer_nav(factors: DataFrame, returns: DataFrame, layers: int = 5, freq: int
     On a rebalancing date the cost comes first and the new weights earn the same day's return; weights don't drift.
     """
     days = calendar(factors)
-    w = layer_weights(factors, layers, freq, lag)
+    w = written(layer_weights(factors, layers, freq, lag), "weights")
     cost, earned = turnover_of(w, "factor", "layer"), held_return(w, returns, days, "factor", "layer")
     grid = factors.select("factor").distinct().withColumn("layer", F.explode(F.sequence(F.lit(0), F.lit(layers - 1)))).join(F.broadcast(days))
     at = grid.join(earned, ["factor", "layer", "i"], "left").join(cost, ["factor", "layer", "i"], "left").fillna(0.0, ["r", "turnover"])

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crosspanel.operators.evaluate import calendar, layer_weights
+from crosspanel.sources.shared import written
 
 
 def gen_layers(factors: DataFrame, layers: int = 5, freq: int = 1) -> DataFrame:
@@ -29,6 +30,7 @@ def drift_nav(weights: DataFrame, prices: DataFrame, *series: str, fee: float =
     Within a period the value is 1 + sum of w * (p / p_buy - 1); at its end the next period starts from there, less the
     cost of all that is bought (its weights' sum).  A name without a price keeps its last one.
     """
+    weights = written(weights, "weights")
     days = calendar(prices)
     last = days.agg(F.max("i").alias("last"))
     marks = weights.select(*series, "i").distinct().withColumn("until", F.lead("i").over(Window.partitionBy(*series).orderBy("i")))

@@ -11,6 +11,7 @@ from crosspanel.functions.stats import cross_section
 from crosspanel.operators import backtest, combine, evaluate, factors, features, legacy, membership, preprocess
 from crosspanel.plans import sql
 from crosspanel.sources import files, tables
+from crosspanel.sources.shared import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,15 +35,15 @@ def rounded(df: DataFrame, *columns: str, digits: int = 8) -> DataFrame:
 
 def study(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The factors that the evaluation queries share, tidy and rounded, and the returns."""
-    panel = tables.prices(spark, sf_dir)
-    df = factors.new_high_ratio(factors.turnover_bias(factors.turn20(factors.id_vol(factors.apb(factors.bias(panel))))))
-    return rounded(factors.tidy(df, *sql.FACTORS), "value"), panel.select("stock", "dt", "ret")
+    wide = study_wide(spark, sf_dir)
+    return factors.tidy(wide, *sql.FACTORS), wide.select("stock", "dt", "ret")
 
 
 def study_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same factors as columns, written once: a row a stock and date, however many transactions there are."""
     panel = tables.prices(spark, sf_dir)
     df = factors.new_high_ratio(factors.turnover_bias(factors.turn20(factors.id_vol(factors.apb(factors.bias(panel))))))
-    return rounded(df.select("stock", "dt", "ret", *sql.FACTORS), *sql.FACTORS)
+    return written(rounded(df.select("stock", "dt", "ret", *sql.FACTORS), *sql.FACTORS), "study")
 
 
 def signals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -371,7 +372,7 @@ SUMMARY = [STUDY, sql.FORWARD, sql.IC, sql.layers(), sql.MONOTONE, sql.SPREAD]
 
 def _summary(spark, d) -> DataFrame:
     tidy, returns = study(spark, d)
-    nav = evaluate.layer_nav(tidy, returns)
+    nav = written(evaluate.layer_nav(tidy, returns), "nav")
     return evaluate.ir_summary(evaluate.ic(tidy, returns)).join(evaluate.long_short(nav), "factor").join(evaluate.monotonicity(nav), "factor")
 
 
@@ -560,7 +561,7 @@ SWEEP = [*BACK, sql.strategy(sql.TOP)]
 
 
 def _sweep(spark, d) -> DataFrame:
-    return backtest.long_only(*signals(spark, d), backtest.PCTS, freq=5)
+    return written(backtest.long_only(*signals(spark, d), backtest.PCTS, freq=5), "nav")
 
 
 @query("signal_analysis", PANEL, *SUMMARY, "SELECT irs.factor AS signal, ROUND(ic_mean, 8) AS ic_mean, ROUND(ir, 8) AS ir, COALESCE(direction, 'positive') AS direction, ROUND(total, 8) AS total FROM irs JOIN ls ON ls.factor = irs.factor JOIN mono ON mono.factor = irs.factor WHERE irs.factor IN ('bias', 'turn20', 'apb')")
@@ -673,7 +674,7 @@ def _(spark, d):
 
 def _drift(spark, d) -> DataFrame:
     w = legacy.gen_layers(study(spark, d)[0].where("factor = 'bias'"), freq=5)
-    return legacy.drift_nav(w, tables.prices(spark, d).select("stock", "dt", "close_adj"), "factor", "layer")
+    return legacy.drift_nav(w, written(tables.prices(spark, d).select("stock", "dt", "close_adj"), "prices"), "factor", "layer")
 
 
 @query("drift_nav")
