@@ -647,7 +647,7 @@ def _(spark, d):
     return rounded(backtest.period_returns(_sweep(spark, d), "signal", "pct", grain="year"), "r")
 
 
-@query("optimal_pct", *SWEEP, sql.measures(), "SELECT signal, pct FROM (SELECT signal, pct, ROW_NUMBER() OVER (PARTITION BY signal ORDER BY sharpe DESC, pct) AS o FROM met WHERE sharpe IS NOT NULL) q WHERE o = 1")
+@query("optimal_pct", *SWEEP, sql.measures(), "SELECT signal, pct FROM (SELECT signal, pct, ROW_NUMBER() OVER (PARTITION BY signal ORDER BY ROUND(sharpe, 8) DESC, pct) AS o FROM met WHERE sharpe IS NOT NULL) q WHERE o = 1")
 def _(spark, d):
     return backtest.optimal_pct(backtest.metrics(_sweep(spark, d), "signal", "pct"))
 
