@@ -1,11 +1,14 @@
-"""The older layer backtest: a lag of one date, weights that drift between rebalancings, and its own conventions.
+"""The older layer backtest: a lag of one date, weights that drift between rebalancings, and limits on trading.
 
-Suspended or limit-locked names (no return on a rebalancing date) keep their weight, which is the part with state; it
-runs per layer, on rows of one layer's holdings only.
+A name that isn't traded, or that is locked at its upper (lower) price limit, can't be bought (sold) on that date and
+keeps its drifted weight; the others share what is left of the target.  That needs the weights of the period before, so
+it runs date by date within a series, on the rows of that series' own names.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,30 +27,76 @@ def gen_base(factors: DataFrame) -> DataFrame:
     return rows.select("factor", "dt", "stock", (1 / F.count(F.lit(1)).over(Window.partitionBy("factor", "dt"))).alias("weight"))
 
 
-def drift_nav(weights: DataFrame, prices: DataFrame, *series: str, fee: float = 0.001) -> DataFrame:
-    """``(series, dt, nav)``: weights bought at a rebalancing grow with their prices until the next one.
+def trading_state(panel: DataFrame, limit: float = 0.1) -> DataFrame:
+    """``(stock, dt, price, can_buy, can_sell)``: not without volume, not at the price limit of that side."""
+    traded, ret = F.coalesce(F.col("volume") > 0, F.lit(False)), F.coalesce("ret", F.lit(0.0))
+    return panel.select("stock", "dt", F.col("close_adj").alias("price"), (traded & (ret < limit)).alias("can_buy"), (traded & (ret > -limit)).alias("can_sell"))
+
+
+def _filled(state: DataFrame, days: DataFrame) -> DataFrame:
+    """The state on every date: last price where there is none, no trading then, and ``gone`` after a stock's last row."""
+    spans = state.groupBy("stock").agg(F.max("dt").alias("last"))
+    grid = spans.join(F.broadcast(days.agg(F.collect_list(F.struct("dt", "i")).alias("d")))).select("stock", "last", F.inline("d"))
+    upto = Window.partitionBy("stock").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    both = grid.join(state, ["stock", "dt"], "left")
+    no = F.lit(False)
+    return both.select("stock", "i", F.last("price", ignorenulls=True).over(upto).alias("price"), F.coalesce("can_buy", no).alias("can_buy"), F.coalesce("can_sell", no).alias("can_sell"), (F.col("dt") > F.col("last")).alias("gone"))
+
+
+def real_weights(weights: DataFrame, daily: DataFrame, *series: str) -> DataFrame:
+    """``(series, i, stock, weight, turnover)``: what is really held after each rebalancing, and how much was traded for it."""
+    marks = weights.select(*series, "i").distinct().withColumn("until", F.lead("i").over(Window.partitionBy(*series).orderBy("i")))
+    rows = weights.select(*series, "stock").distinct().join(marks, list(series)).join(weights.select(*series, "i", "stock", F.col("weight").alias("target")), [*series, "i", "stock"], "left")
+    later = daily.select("stock", F.col("i").alias("until"), F.col("price").alias("end"))
+    rows = rows.join(daily, ["stock", "i"]).join(later, ["stock", "until"], "left").fillna(0.0, ["target"])
+    types = dict(weights.dtypes)
+
+    def held(pdf: pd.DataFrame) -> pd.DataFrame:
+        table = {c: pdf.pivot(index="i", columns="stock", values=c).sort_index() for c in ("target", "price", "end", "can_buy", "can_sell", "gone")}
+        old, out = np.zeros(table["target"].shape[1]), []
+        for i in table["target"].index:
+            want, price, end, buy, sell, gone = (table[c].loc[i].to_numpy() for c in table)
+            want = np.nan_to_num(want.astype(float))
+            buy, sell, gone = (x == True for x in (buy, sell, gone))  # noqa: E712  missing is false
+            kept = ((want < old) & ~sell & ~gone) | ((want >= old) & ~buy & ((want > 0) | (old > 0)))
+            free = np.where(kept, 0.0, want)
+            left = want.sum() - old[kept].sum()
+            now = np.where(kept, old, free * max(left, 0.0) / free.sum() if free.sum() > 0 else 0.0)
+            part = pd.DataFrame({"i": i, "stock": table["target"].columns, "weight": now, "turnover": np.abs(now - old).sum()})
+            out.append(part[now > 0])
+            growth = np.nan_to_num(end.astype(float) / price.astype(float), nan=1.0)
+            grown = now * growth
+            old = grown / (grown.sum() + 1 - now.sum()) if now.sum() > 0 else grown
+        whole = pd.concat(out)
+        for k in series:
+            whole[k] = pdf[k].iloc[0]
+        return whole[[*series, "i", "stock", "weight", "turnover"]]
+
+    return rows.groupBy(*series).applyInPandas(held, ", ".join(f"`{c}` {types[c]}" for c in (*series, "i", "stock")) + ", weight double, turnover double")
+
+
+def drift_nav(weights: DataFrame, state: DataFrame, *series: str, fee: float = 0.002) -> DataFrame:
+    """``(series, dt, turnover, nav)`` from targets ``(series, i, stock, weight)`` and ``trading_state``.
 
     Within a period the value is 1 + sum of w * (p / p_buy - 1); at its end the next period starts from there, less the
-    cost of all that is bought (its weights' sum).  A name without a price keeps its last one.
+    cost of what is traded.  A name without a price keeps its last one.
     """
-    weights = written(weights, "weights")
-    days = calendar(prices)
+    days = calendar(state)
+    daily = written(_filled(state, days), "daily")
+    real = written(real_weights(written(weights, "weights"), daily, *series), "real")
     last = days.agg(F.max("i").alias("last"))
-    marks = weights.select(*series, "i").distinct().withColumn("until", F.lead("i").over(Window.partitionBy(*series).orderBy("i")))
+    marks = real.groupBy(*series, "i").agg(F.first("turnover").alias("turnover")).withColumn("until", F.lead("i").over(Window.partitionBy(*series).orderBy("i")))
     spans = marks.join(F.broadcast(last)).select(*series, F.col("i").alias("mark"), F.explode(F.sequence("i", F.coalesce("until", "last"))).alias("i"))
-    grid = prices.select("stock").distinct().join(F.broadcast(days.agg(F.collect_list(F.struct("dt", "i")).alias("d")))).select("stock", F.inline("d"))
-    held = F.last("p", ignorenulls=True).over(Window.partitionBy("stock").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
-    daily = grid.join(prices.select("stock", "dt", F.col("close_adj").alias("p")), ["stock", "dt"], "left").select("stock", "i", held.alias("p"))
-    bought = weights.join(daily, ["stock", "i"]).select(*series, F.col("i").alias("mark"), "stock", "weight", F.col("p").alias("buy"))
-    each = bought.join(spans, [*series, "mark"]).join(daily, ["stock", "i"])
-    inside = each.groupBy(*series, "mark", "i").agg((1 + F.sum(F.col("weight") * (F.col("p") / F.col("buy") - 1))).alias("v"), F.sum("weight").alias("w"))
-    ends = inside.groupBy(*series, "mark").agg(F.max_by("v", "i").alias("end"), F.first("w").alias("w"))
-    start = F.coalesce(F.product("end").over(Window.partitionBy(*series).orderBy("mark").rowsBetween(Window.unboundedPreceding, -1)), F.lit(1.0))
-    paid = F.product(1 - F.lit(fee) * F.col("w")).over(Window.partitionBy(*series).orderBy("mark").rowsBetween(Window.unboundedPreceding, 0))
-    base = ends.select(*series, "mark", (start * paid).alias("base"))
-    line = inside.join(base, [*series, "mark"])
+    bought = real.join(daily.select("stock", "i", F.col("price").alias("buy")), ["stock", "i"]).select(*series, F.col("i").alias("mark"), "stock", "weight", "buy")
+    inside = bought.join(spans, [*series, "mark"]).join(daily.select("stock", "i", "price"), ["stock", "i"]).groupBy(*series, "mark", "i").agg((1 + F.sum(F.col("weight") * (F.col("price") / F.col("buy") - 1))).alias("v"))
+    ends = inside.groupBy(*series, "mark").agg(F.max_by("v", "i").alias("end")).join(marks.select(*series, F.col("i").alias("mark"), "turnover"), [*series, "mark"])
+    by = Window.partitionBy(*series).orderBy("mark")
+    start = F.coalesce(F.product("end").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(1.0))
+    paid = F.product(1 - F.lit(fee) * F.col("turnover")).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    line = inside.join(ends.select(*series, "mark", "turnover", (start * paid).alias("base")), [*series, "mark"])
     # the last date of a period is also the first of the next: the later period's value counts
-    return line.groupBy(*series, "i").agg(F.max_by(F.col("v") * F.col("base"), "mark").alias("nav")).join(F.broadcast(days), "i").select(*series, "dt", "nav")
+    whole = line.groupBy(*series, "i").agg(F.max_by(F.struct((F.col("v") * F.col("base")).alias("nav"), F.when(F.col("i") == F.col("mark"), F.col("turnover")).otherwise(0.0).alias("turnover")), "mark").alias("x"))
+    return whole.join(F.broadcast(days), "i").select(*series, "dt", "x.turnover", "x.nav")
 
 
 def month_table(nav: DataFrame, *series: str) -> DataFrame:

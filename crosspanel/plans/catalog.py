@@ -296,6 +296,17 @@ def _(spark, d):
     return rounded(evaluate.forward_return(tables.prices(spark, d)), "fwd")
 
 
+CUMULATIVE = [
+    "fw3 AS (SELECT r.stock, c.dt, PRODUCT(1 + r.ret) - 1 AS fwd, COUNT(*) AS n FROM rt r JOIN cal b ON b.dt = r.dt JOIN cal c ON b.i > c.i AND b.i <= c.i + 3 WHERE r.ret IS NOT NULL GROUP BY r.stock, c.dt)",
+]
+
+
+@query("forward_return_cumulative", PANEL, sql.FORWARD, *CUMULATIVE, sql.rounded("fwd", "fw3", "stock, dt", "n = 3"))
+def _(spark, d):
+    returns = written(tables.prices(spark, d).select("stock", "dt", "ret"), "returns")
+    return rounded(evaluate.forward_return(returns, 3, cumulative=True), "fwd")
+
+
 @query("ic", PANEL, STUDY, sql.FORWARD, sql.IC, sql.rounded("ic", "ics", "factor, dt, n"))
 def _(spark, d):
     return rounded(evaluate.ic(*study(spark, d)), "ic")
@@ -362,6 +373,12 @@ def _(spark, d):
     return rounded(evaluate.high_corr_pairs(evaluate.factor_corr(study_wide(spark, d), list(sql.FACTORS)), 0.05), "corr")
 
 
+@query("pruned_factors")
+def _(spark, d):
+    keep, drop = evaluate.pruned(evaluate.factor_corr(study_wide(spark, d), list(sql.FACTORS)), 0.05)
+    return spark.createDataFrame([(f, True) for f in keep] + [(f, False) for f in drop], "factor string, keep boolean")
+
+
 @query("top5_ir", PANEL, STUDY, sql.FORWARD, sql.IC, "SELECT factor, ROUND(ir, 8) AS ir FROM irs ORDER BY ir DESC NULLS LAST, factor LIMIT 5")
 def _(spark, d):
     return rounded(evaluate.top(evaluate.ir_summary(evaluate.ic(*study(spark, d))), "ir").select("factor", "ir"), "ir")
@@ -541,6 +558,11 @@ def _(spark, d):
     return combine.boosted_signal(study_wide(spark, d), list(sql.FACTORS))
 
 
+@query("linear_signal")
+def _(spark, d):
+    return combine.linear_signal(study_wide(spark, d), list(sql.FACTORS))
+
+
 @query("standard_scale", PANEL, STUDY, "sc0 AS (SELECT AVG(ROUND(bias, 8)) AS m, STDDEV_POP(ROUND(bias, 8)) AS s FROM ft WHERE dt < DATE '1998-01-01')", "SELECT stock, dt, ROUND((ROUND(bias, 8) - m) / CASE WHEN s > 0 THEN s ELSE 1 END, 6) AS bias FROM ft, sc0")
 def _(spark, d):
     rows = study_wide(spark, d).select("stock", "dt", "bias")
@@ -674,12 +696,13 @@ def _(spark, d):
 
 def _drift(spark, d) -> DataFrame:
     w = legacy.gen_layers(study(spark, d)[0].where("factor = 'bias'"), freq=5)
-    return legacy.drift_nav(w, written(tables.prices(spark, d).select("stock", "dt", "close_adj"), "prices"), "factor", "layer")
+    state = written(legacy.trading_state(tables.prices(spark, d)), "state")
+    return legacy.drift_nav(w, state, "factor", "layer")
 
 
 @query("drift_nav")
 def _(spark, d):
-    return rounded(_drift(spark, d), "nav")
+    return rounded(_drift(spark, d), "turnover", "nav")
 
 
 @query("legacy_metrics", *SWEEP, sql.measures(name="lm", less=1, spread="STDDEV_POP"), sql.rounded("total, annual, volatility, sharpe", "lm", "signal, pct"))

@@ -185,11 +185,24 @@ def test_selection_of_factors(spark):
     assert evaluate.pruned(corr) == (["a"], ["b"])
 
 
-def test_drift(spark):
+def drift_inputs(spark, locked=()):
     w = spark.createDataFrame([("x", 0, 1, 0.5), ("x", 0, 2, 0.5), ("x", 2, 1, 1.0)], "s string, i int, stock int, weight double")
-    prices = spark.createDataFrame([(s, DAYS[k], p) for s, ps in {1: [1.0, 2.0, 2.0, 4.0], 2: [1.0, 1.0, 2.0, 9.0]}.items() for k, p in enumerate(ps)], "stock int, dt date, close_adj double")
-    got = [r["nav"] for r in legacy.drift_nav(w, prices, "s", fee=0.0).orderBy("dt").collect()]
-    assert got == pytest.approx([1.0, 1.5, 2.0, 4.0])
+    prices = {1: [1.0, 2.0, 2.0, 4.0], 2: [1.0, 1.0, 2.0, 9.0]}
+    rows = [(s, DAYS[k], p, (s, k) not in locked, (s, k) not in locked) for s, ps in prices.items() for k, p in enumerate(ps)]
+    return w, spark.createDataFrame(rows, "stock int, dt date, price double, can_buy boolean, can_sell boolean")
+
+
+def test_drift(spark):
+    got = legacy.drift_nav(*drift_inputs(spark), "s", fee=0.1).orderBy("dt").collect()
+    base = 0.9 * 2.0 * (1 - 0.1 * 1.0)  # 0.5 and 0.5 have both doubled; half is sold and bought
+    assert [r["nav"] for r in got] == pytest.approx([0.9, 0.9 * 1.5, base, 2 * base])
+    assert [r["turnover"] for r in got] == pytest.approx([1, 0, 1, 0])
+
+
+def test_a_locked_name_keeps_its_weight(spark):
+    got = legacy.drift_nav(*drift_inputs(spark, {(2, 2)}), "s", fee=0.0).orderBy("dt").collect()
+    assert [r["nav"] for r in got] == pytest.approx([1.0, 1.5, 2.0, 2.0 * (1 + 0.5 * 1.0 + 0.5 * 3.5)])
+    assert got[2]["turnover"] == pytest.approx(0)
 
 
 def test_wide_files(spark, tmp_path):
