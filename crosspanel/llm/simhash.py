@@ -28,9 +28,9 @@ from crosspanel.llm.components import components
 
 SEED = 42
 #: Members of a bucket that meet in one task; a larger bucket is compared in pairs of such parts.
-PART = 4096
+PART = 32_768
 #: Slots of the one-permutation sketch that estimates Jaccard similarity.
-SLOTS = 96
+SLOTS = 512
 #: What a row that is dealt costs, in comparisons.
 ROW_COST = 400
 
@@ -231,10 +231,11 @@ def _link_rows(fp, size, sk, a, b, radius, ratio):
     ok = np.minimum(size[a], size[b]) >= ratio * np.maximum(size[a], size[b])
     a, b = a[ok], b[ok]
     good = np.zeros(len(a), bool)
-    for s in range(0, len(a), 100_000):
-        x, y = sk[a[s : s + 100_000]], sk[b[s : s + 100_000]]
-        full = ((x != 255) | (y != 255)).sum(1)
-        good[s : s + 100_000] = ((x == y) & (x != 255)).sum(1) >= ratio * np.maximum(full, 1)
+    for s in range(0, len(a), 20_000):
+        x, y = sk[a[s : s + 20_000]], sk[b[s : s + 20_000]]
+        full = np.maximum(((x != 255) | (y != 255)).sum(1), 1)
+        share = ((x == y) & (x != 255)).sum(1) / full
+        good[s : s + 20_000] = (255 * share - 1) / 254 >= ratio - 1e-9  # one in 255 slots agrees by chance
     return a[good], b[good]
 
 
@@ -356,12 +357,14 @@ def groups(docs: DataFrame, shingle: int = 3, radius: int = 3, ratio: float | No
     return each.join(named, same).select(each.id.alias(id_col), each.fp, "component")
 
 
-def near_duplicates_dropped(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of near copies, the one of the smallest id; rows without an id stay.
+def near_duplicates_dropped(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of near copies, the one of the smallest id.
+
+    Rows without an id stay; rows of equal id fare alike.
 
     Two texts link if their fingerprints over ``shingle`` words differ in at most ``radius`` of 64 bits and the
     estimated Jaccard similarity of their shingle sets is ``similarity`` or more.  At 0.8 the expected number of
-    differing bits is 9.7; 13 keeps about nine in ten such pairs and nearly all from 0.85 on.
+    differing bits is 9.7 with a deviation of 2.9, so 16 keeps 99 in 100 such pairs; the estimate's deviation is 0.018.
     """
     found = groups(docs, shingle, radius, similarity, id_col, text_col)
     gone = found.where(F.col(id_col) > F.col("component")).select(id_col)
