@@ -118,19 +118,16 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = PATTERN, id_
 
 
 def decode(tokens: DataFrame, path: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """``(id_col, ids_col, decoded binary)``: the bytes of each row's tokens, from the token-byte table."""
+    """``(id_col, ids_col, decoded binary)``: the bytes of each row's tokens, from the token-byte table.
+
+    The table, of the vocabulary's bounded size, is a constant of the plan: token bytes as hexadecimal digits, looked up
+    by id, joined and turned into bytes.  Ids that the vocabulary hasn't got give no bytes.
+    """
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
     table = {i: w for w, i in vocabulary(path).items()}
-    shared = tokens.sparkSession.sparkContext.broadcast([table.get(i, b"") for i in range(max(table) + 1)])
-
-    def run(batches):
-        piece = shared.value
-        for b in batches:
-            ids = b.column(1)
-            out = [b"".join([piece[i] for i in ids[k].values.to_pylist()]) if ids[k].is_valid else b"" for k in range(b.num_rows)]
-            yield pa.RecordBatch.from_arrays([b.column(0), ids, pa.array(out, pa.binary())], [id_col, ids_col, "decoded"])
-
-    return tokens.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` long, `{ids_col}` array<int>, decoded binary")
+    digits = F.split(F.lit(",".join(table.get(i, b"").hex() for i in range(max(table) + 1))), ",")
+    decoded = F.unhex(F.array_join(F.transform(F.coalesce(ids_col, F.array().cast("array<int>")), lambda i: F.get(digits, i)), ""))
+    return tokens.select(id_col, ids_col, decoded.alias("decoded"))
 
 
 def op6_bpe(spark, sf_dir: str) -> DataFrame:
