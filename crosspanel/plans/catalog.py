@@ -328,7 +328,7 @@ def _(spark, d):
     return rounded(evaluate.ir_summary(evaluate.ic(*study(spark, d))), "ic_mean", "ic_std", "ir", "positive", "skew")
 
 
-@query("layer_weights", PANEL, STUDY, sql.layers(), "SELECT factor, i, layer, stock, ROUND(weight, 8) AS weight FROM lw")
+@query("layer_weights", PANEL, STUDY, sql.layers(), "SELECT factor, CAST(i AS INTEGER) AS i, layer, stock, ROUND(weight, 8) AS weight FROM lw")
 def _(spark, d):
     return rounded(evaluate.layer_weights(study(spark, d)[0]), "weight")
 
@@ -459,7 +459,7 @@ def _(spark, d):
 STEP = ", ".join(f"{c} AS f{k}" for k, c in enumerate(features.STEPS))
 CELLS = [
     f"sq AS (SELECT stock, dt, {STEP}, ROW_NUMBER() OVER (PARTITION BY stock ORDER BY dt) AS k FROM rt)",
-    "sa AS (SELECT a.stock, a.dt, b.k - a.k + 39 AS k, a.s, CAST(b.v / (a.v + 1e-8) AS FLOAT) AS v FROM (SELECT stock, dt, k, UNNEST([0,1,2,3,4,5]) AS s, UNNEST([f0,f1,f2,f3,f4,f5]) AS v FROM sq) a JOIN (SELECT stock, k, UNNEST([0,1,2,3,4,5]) AS s, UNNEST([f0,f1,f2,f3,f4,f5]) AS v FROM sq) b ON a.stock = b.stock AND a.s = b.s AND b.k > a.k - 40 AND b.k <= a.k WHERE a.k >= 40 AND (a.k - 40) % 5 = 0)",
+    "sa AS (SELECT a.stock, a.dt, CAST(b.k - a.k + 39 AS INTEGER) AS k, a.s, CAST(b.v / (a.v + 1e-8) AS FLOAT) AS v FROM (SELECT stock, dt, k, UNNEST([0,1,2,3,4,5]) AS s, UNNEST([f0,f1,f2,f3,f4,f5]) AS v FROM sq) a JOIN (SELECT stock, k, UNNEST([0,1,2,3,4,5]) AS s, UNNEST([f0,f1,f2,f3,f4,f5]) AS v FROM sq) b ON a.stock = b.stock AND a.s = b.s AND b.k > a.k - 40 AND b.k <= a.k WHERE a.k >= 40 AND (a.k - 40) % 5 = 0)",
 ]
 BY_CELL = "SELECT k, s, COUNT(*) AS n, ROUND(SUM(CAST(v AS DOUBLE)), 2) AS total FROM sa GROUP BY k, s"
 
@@ -607,7 +607,7 @@ def _(spark, d):
     return rounded(backtest.long_only(*signals(spark, d), (0.1,), freq=5).select("signal", "dt", "nav"), "nav")
 
 
-@query("turnover", *SWEEP, sql.rounded("turnover", "stn", "signal, pct, i"))
+@query("turnover", *SWEEP, sql.rounded("turnover", "stn", "signal, pct, CAST(i AS INTEGER) AS i"))
 def _(spark, d):
     sig, _returns = signals(spark, d)
     at = backtest.top_pct(sig, backtest.PCTS).join(F.broadcast(evaluate.calendar(sig)), "dt").where("i % 5 = 0").select("signal", "pct", "i", "stock", "weight")
@@ -619,12 +619,12 @@ def _(spark, d):
     return rounded(backtest.layer5(*signals(spark, d), freq=5), "turnover", "nav")
 
 
-@query("perf_metrics", *SWEEP, sql.measures(), sql.rounded("total, annual, volatility, sharpe, max_drawdown, calmar, turnover, win_rate", "met", "signal, pct, duration"))
+@query("perf_metrics", *SWEEP, sql.measures(), sql.rounded("total, annual, volatility, sharpe, max_drawdown, calmar, turnover, win_rate", "met", "signal, pct, CAST(duration AS INTEGER) AS duration"))
 def _(spark, d):
     return rounded(backtest.metrics(_sweep(spark, d), "signal", "pct"), "total", "annual", "volatility", "sharpe", "max_drawdown", "calmar", "turnover", "win_rate")
 
 
-@query("max_drawdown", *SWEEP, sql.measures(), "SELECT signal, pct, duration, ROUND(max_drawdown / 100, 8) AS max_drawdown FROM met")
+@query("max_drawdown", *SWEEP, sql.measures(), "SELECT signal, pct, CAST(duration AS INTEGER) AS duration, ROUND(max_drawdown / 100, 8) AS max_drawdown FROM met")
 def _(spark, d):
     return rounded(backtest.drawdown(_sweep(spark, d), "signal", "pct"), "max_drawdown")
 
@@ -684,7 +684,7 @@ def _(spark, d):
 BIAS = "lg AS (SELECT factor, stock, dt, CASE WHEN value <> 0 THEN value END AS value FROM tidy WHERE factor = 'bias')"
 
 
-@query("legacy_layers", PANEL, STUDY, BIAS, sql.layers("lg", 5, 1), "SELECT factor, i, layer, stock, ROUND(weight, 8) AS weight FROM lw")
+@query("legacy_layers", PANEL, STUDY, BIAS, sql.layers("lg", 5, 1), "SELECT factor, CAST(i AS INTEGER) AS i, layer, stock, ROUND(weight, 8) AS weight FROM lw")
 def _(spark, d):
     return rounded(legacy.gen_layers(study(spark, d)[0].where("factor = 'bias'"), freq=5), "weight")
 
