@@ -109,6 +109,16 @@ def test_near_duplicates(rows, docs):
     assert sum(i in kept for i in copies) == 1 and set(range(40)) <= set(kept)
 
 
+def test_near_duplicates_keep_one_row(spark):
+    rng = random.Random(8)
+    copied, lone, nameless = (sentence(rng, 80) for _ in range(3))
+    rows = [(7, copied), (7, copied), (3, copied), (7, lone), (None, nameless), (None, nameless)]
+    got = simhash.near_duplicates_dropped(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, got)) == Counter([(3, copied), (7, lone), (None, nameless)])
+    same = spark.createDataFrame([(7, copied), (7, copied)], "doc_id long, text string")
+    assert simhash.near_duplicates_dropped(same).count() == 1
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(5, 4), (4, 3), (3, 3), (9, 8), (8, 9), (7, 1), (1, 2)], "src long, dst long")
     assert {tuple(r) for r in components(edges).collect()} == {(5, 3), (4, 3), (3, 3), (9, 8), (8, 8), (7, 1), (2, 1), (1, 1)}
