@@ -31,6 +31,8 @@ SEED = 42
 PART = 32_768
 #: Slots of the one-permutation sketch that estimates Jaccard similarity.
 SLOTS = 512
+#: Nodes of a shingle from which it comes last in the order of prefixes.
+CROWD = 50
 #: Column of a row's own key.
 KEY = "__row"
 #: What a row that is dealt costs, in comparisons.
@@ -359,17 +361,133 @@ def groups(docs: DataFrame, shingle: int = 3, radius: int = 3, ratio: float | No
     return each.join(named, same).select(each.id.alias(id_col), each.fp, "component")
 
 
-def near_duplicates_dropped(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of near copies: that of the smallest id, null ids last, and of those any one.
+def set_hash(h: np.ndarray) -> bytes:
+    """128 bits that stand for a set of shingles."""
+    return xxhash.xxh3_128_digest(h.astype("<u8").tobytes(), SEED)
+
+
+def prefix(h: np.ndarray, similarity: float, last: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, so many that any two sets of ``similarity`` share one of them.
+
+    In one order for all sets: those in ``last`` (sorted) come last, otherwise by a scrambled hash.
+    """
+    n = len(h)
+    if not n:
+        return h
+    m = mix(h)
+    late = last[np.minimum(np.searchsorted(last, m), len(last) - 1)] == m if len(last) else np.zeros(n, bool)
+    return m[np.lexsort((m, late))][: n - math.ceil(similarity * n - 1e-9) + 1]
+
+
+def _prefixes(rows: DataFrame, shingle: int, similarity: float, last: np.ndarray, text_col: str) -> DataFrame:
+    """``(token, id, size, pos)`` of the prefixes of ``rows(KEY, text)``; ``pos`` is the place in the order."""
+    shared = rows.sparkSession.sparkContext.broadcast(last)
+
+    def run(batches):
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in b.column(1)]
+            made = [prefix(h, similarity, shared.value) for h in sets]
+            n = [len(x) for x in made]
+            if sum(n):
+                ids, sizes = np.repeat(b.column(0).to_numpy(), n), np.repeat([len(h) for h in sets], n).astype(np.int32)
+                pos = np.concatenate([np.arange(k, dtype=np.int32) for k in n])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(made))), pa.array(ids), pa.array(sizes), pa.array(pos)], ["token", "id", "size", "pos"])
+
+    return rows.select(KEY, text_col).mapInArrow(run, "token long, id long, size int, pos int")
 
-    Rows are told apart by a key of their own, so equal ids and null ids are rows like any other.
 
-    Two texts link if their fingerprints over ``shingle`` words differ in at most ``radius`` of 64 bits and the
-    estimated Jaccard similarity of their shingle sets is ``similarity`` or more.  At 0.8 the expected number of
-    differing bits is 9.7 with a deviation of 2.9, so 16 keeps 99 in 100 such pairs; the estimate's deviation is 0.018.
+def _alike(pairs: DataFrame, rows: DataFrame, shingle: int, similarity: float, text_col: str) -> DataFrame:
+    """Those of ``pairs(src, dst)`` whose sets have that Jaccard similarity, counted on the sets themselves."""
+
+    def sets(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.unique(shingle_hashes(t.as_py(), shingle)).tobytes() for t in b.column(1)], pa.binary())], ["id", "hashes"])
+
+    def run(batches):
+        for b in batches:
+            good = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), U64) for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["src", "dst"]).filter(pa.array(good, pa.bool_()))
+
+    named = pairs.select(F.col("src").alias(KEY)).union(pairs.select(F.col("dst").alias(KEY))).distinct()
+    held = cut(rows.select(KEY, text_col).join(named, KEY, "left_semi").mapInArrow(sets, "id long, hashes binary"), "sets")
+    both = pairs.join(held.select(F.col("id").alias("src"), F.col("hashes").alias("x")), "src").join(held.select(F.col("id").alias("dst"), F.col("hashes").alias("y")), "dst")
+    return both.select("src", "dst", "x", "y").mapInArrow(run, "src long, dst long")
+
+
+def similar_groups(rows: DataFrame, shingle: int, similarity: float, text_col: str) -> DataFrame:
+    """``(KEY, component)``: rows in one component have equal shingle sets or are joined by pairs of ``similarity``.
+
+    Equal sets are one node.  Two similar sets share a shingle of their prefixes, so the nodes of each shingle are the
+    candidates, and each candidate pair is decided on the exact sets.  Shingles of over ``CROWD`` nodes come last in the
+    order, so that what many texts have hardly is in a prefix.  A shingle's nodes are first held against two of them;
+    after that only pairs which nothing has joined yet are left, and all of those are compared.
+    """
+
+    def digests(batches):
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([set_hash(h) for h in sets], pa.binary())], [KEY, "digest"])
+
+    each = cut(rows.select(KEY, text_col).mapInArrow(digests, f"`{KEY}` long, digest binary"), "digests")
+    nodes = cut(each.groupBy("digest").agg(F.min(KEY).alias("id")), "nodes")
+    texts_ = rows.select(KEY, text_col).join(nodes.select(F.col("id").alias(KEY)), KEY, "left_semi")
+    none = np.zeros(0, U64)
+    crowd = max(CROWD, nodes.count() // 5_000)  # so that the list of crowded shingles is bounded
+    crowded = _prefixes(texts_, shingle, similarity, none, text_col).groupBy("token").count().where(F.col("count") > crowd)
+    last = np.sort(np.array([r["token"] for r in crowded.select("token").collect()], np.int64).view(U64))
+    tokens = cut(_prefixes(texts_, shingle, similarity, last, text_col), "prefixes")
+    met = tokens.groupBy("token").count().where("count > 1").select("token")
+    tokens = cut(tokens.join(met, "token", "left_semi"), "tokens")
+    found = None
+    label = None
+    for pick in (F.min, F.max):  # groups of near copies collapse here, at one pair for each node and shingle
+        lead = tokens.groupBy("token").agg(pick(F.struct("id", "size", "pos")).alias("lead"))
+        pairs = tokens.join(lead, "token").where(F.col("id") != F.col("lead.id")).where(_may("size", "pos", "lead.size", "lead.pos", similarity))
+        pairs = pairs.select(F.least("id", "lead.id").alias("src"), F.greatest("id", "lead.id").alias("dst")).distinct()
+        if label is not None:
+            pairs = _apart(pairs, label)
+        good = cut(_alike(cut(pairs, "pairs"), rows, shingle, similarity, text_col), "alike")
+        found = good if found is None else found.union(good)
+        label = cut(components(found), "labels")
+    named = tokens.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+    mixed = named.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("token")
+    named = cut(named.join(mixed, "token", "left_semi"), "labelled")
+    parts = named.groupBy("token", "label").agg(F.min("size").alias("low"), F.max("size").alias("high"))
+    one, two = (parts.select("token", *[F.col(c).alias(f"{c}{k}") for c in ("label", "low", "high")]) for k in (1, 2))
+    met = one.join(two, "token").where((F.col("label1") < F.col("label2")) & (F.col("high1") >= similarity * F.col("low2") - 1e-6) & (F.col("high2") >= similarity * F.col("low1") - 1e-6)).select("token", "label1", "label2")
+    left, right = (named.select("token", *[F.col(c).alias(f"{c}{k}") for c in ("label", "id", "size", "pos")]) for k in (1, 2))
+    pairs = met.join(left, ["token", "label1"]).join(right, ["token", "label2"]).where(_may("size1", "pos1", "size2", "pos2", similarity))
+    pairs = pairs.select(F.least("id1", "id2").alias("src"), F.greatest("id1", "id2").alias("dst")).distinct()
+    good = cut(_alike(cut(pairs, "pairs"), rows, shingle, similarity, text_col), "alike")
+    label = components(found.union(good))
+    named = nodes.join(label.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
+    return each.join(named, "digest").select(KEY, "component")
+
+
+def _may(size1: str, pos1: str, size2: str, pos2: str, similarity: float):
+    """Whether a pair whose first common shingle has these places can have enough common shingles from there on."""
+    rest = F.least(F.col(size1) - F.col(pos1), F.col(size2) - F.col(pos2))
+    return rest * (1 + similarity) >= similarity * (F.col(size1) + F.col(size2)) - 1e-6
+
+
+def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """``pairs`` that nothing has joined yet."""
+    a, b = (label.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in")) for c in ("src", "dst"))
+    return pairs.join(a, "src", "left").join(b, "dst", "left").where(F.coalesce("src_in", "src") != F.coalesce("dst_in", "dst")).select("src", "dst")
+
+
+def near_duplicates_dropped(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of near copies: that of the smallest id, null ids last, and of those any one.
+
+    Rows are told apart by a key of their own, so equal ids and null ids are rows like any other.  Two texts link if
+    the Jaccard similarity of their sets of ``shingle`` words is ``similarity`` or more; texts without words are alike.
     """
     rows = cut(docs.withColumn(KEY, F.monotonically_increasing_id()), "rows")  # written, so that keys stay as they are
-    found = groups(rows, shingle, radius, similarity, KEY, text_col)
+    found = similar_groups(rows, shingle, similarity, text_col)
     first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(KEY)))
     kept = rows.select(KEY, id_col).join(found, KEY).groupBy("component").agg(first.alias("first")).select(f"first.{KEY}")
     return rows.join(kept, KEY, "left_semi").select(*docs.columns)

@@ -119,6 +119,33 @@ def test_near_duplicates_keep_one_row(spark):
     assert simhash.near_duplicates_dropped(same).count() == 1
 
 
+def test_near_duplicates_at_the_boundary(spark):
+    def words(tag, n):
+        return [f"{tag}{k}" for k in range(n)]
+
+    rows, want = [], set()
+    for k, n in enumerate((8, 12, 20, 24)):  # 4, 8, 16 and 20 shingles of five, and a quarter more in the other text
+        a = words(f"a{k}x", n)
+        more = (n - 4) // 4
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(a + words(f"b{k}x", more)))]
+        want.add(2 * k)
+    rng = random.Random(4)
+    for k in range(10, 30, 2):  # the same set of shingles, nearly: a line of ten shingles comes ten times more
+        a, line = words(f"c{k}x", 104), words(f"l{k}x", 14)
+        rng.shuffle(a)
+        rows += [(k, " ".join(a + line)), (k + 1, " ".join(a + line * 11))]
+    sets = {i: set(simhash.shingle_hashes(t, 5).tolist()) for i, t in rows}
+    alike = {i for i in range(0, 8, 2) if len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) >= 0.8}
+    assert alike == want
+    got = {r["doc_id"] for r in simhash.near_duplicates_dropped(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    every = {i: i for i in sets}
+    for i, x in sets.items():
+        for j, y in sets.items():
+            if j < i and len(x & y) >= 0.8 * len(x | y):
+                every[i] = min(every[i], every[j])
+    assert got == {i for i in sets if every[i] == i} and not got & {1, 3, 5, 7} and len(got) == 14
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(5, 4), (4, 3), (3, 3), (9, 8), (8, 9), (7, 1), (1, 2)], "src long, dst long")
     assert {tuple(r) for r in components(edges).collect()} == {(5, 3), (4, 3), (3, 3), (9, 8), (8, 8), (7, 1), (2, 1), (1, 1)}
