@@ -1,17 +1,23 @@
 """Operator 3: benchmark decontamination by spaced seeds.
 
-A seed is a fixed mask over ``SPAN`` words that ignores some positions.  Masked hashes of test items and of
+A seed is a fixed mask that ignores some positions.  Masked hashes of test items and of
 documents are joined; each hit names a document, an item and how they align.  Around the hit the aligned words
 are compared, and the longest stretch in which at least ``AGREE`` of the words are equal counts, so substituted
 words don't hide a passage.  Such a stretch of ``LEAST`` words, or of the whole item if that is shorter, is a leak.
 
-Words are runs of letters, digits and other non-ASCII signs in lower case.  Items under ``SHORTEST`` words are not
-looked for, those under ``SPAN`` words by an unmasked hash of the whole item.  Null and empty texts have no
+The masks lose nothing: any stretch of ``LEAST`` or more words that agrees enough has one of ``MASKS`` where all
+words are equal, and a shorter item that agrees enough has one of its ``whole_masks``.
+
+Words are runs of letters, digits and other non-ASCII signs in lower case.  Items under five words have to be equal
+as a whole, since one substitution leaves them less than ``AGREE``.  Null and empty texts have no
 words; repeated rows give repeated results; an empty table on either side gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,9 +26,10 @@ from pyspark.sql import functions as F
 from crosspanel.llm._shared import U64, Rolling, cut, mix, signed, table, texts
 from crosspanel.llm.repeats import keyed
 
-SPAN, LEAST, AGREE, SHORTEST = 12, 13, 0.8, 5
-#: Positions that count.  Each position is ignored by one of the first three; the fourth bridges a gap.
-MASKS = ("110110110110", "101101101101", "011011011011", "111100001111")
+LEAST, AGREE = 13, 0.8
+#: Positions that count.  A stretch of 26 words or more that agrees enough has a part of 13 to 25 words that does, and
+#: each pattern of those lengths has one of these masks somewhere (a test goes through all of them).
+MASKS = ("1101111", "110010001011", "110101011", "1110111")
 #: Masked hashes of the benchmark up to which they are sent to all tasks as a filter; more are joined unfiltered.
 FILTER = 4_000_000
 
@@ -53,14 +60,25 @@ def masked(v: np.ndarray, mask: str) -> np.ndarray:
     return h
 
 
-def _masks(short: list[int]) -> list[str]:
-    return [*MASKS, *["1" * n for n in sorted(short)]]
+def whole_masks(n: int) -> list[str]:
+    """Masks of an item of ``n`` words: substitutions that ``AGREE`` allows leave one of them untouched.
+
+    Of one part more than twice the substitutions, those are untouched that no substitution falls into.
+    """
+    wrong = n - math.ceil(AGREE * n - 1e-9)
+    parts = np.array_split(np.arange(n), min(n, 2 * wrong + (wrong > 0)) or 1)
+    return ["".join("0" if any(i in parts[k] for k in gone) else "1" for i in range(n)) for gone in combinations(range(len(parts)), wrong)]
+
+
+def _masks(short: list[int]) -> list[tuple[str, int]]:
+    """Masks, and for how many words an item's own (0: items of ``LEAST`` or more)."""
+    return [*((m, 0) for m in MASKS), *((m, n) for n in sorted(short) for m in whole_masks(n))]
 
 
-def _seeds(rows: DataFrame, masks: list[str], keep: np.ndarray | None, whole: bool) -> DataFrame:
+def _seeds(rows: DataFrame, masks: list[tuple[str, int]], keep: np.ndarray | None, whole: bool) -> DataFrame:
     """``(mask, hash, key, pos)`` of ``rows(key, text)``; with ``keep`` only hashes in it.
 
-    ``whole``: short masks only where they cover the whole text.
+    ``whole``: each text is an item and has just the masks for its length.
     """
     if keep is not None:
         bits = np.zeros(1 << 22, bool)
@@ -72,8 +90,8 @@ def _seeds(rows: DataFrame, masks: list[str], keep: np.ndarray | None, whole: bo
             out = []
             for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 v = words_of(text.as_py())
-                for i, m in enumerate(masks):
-                    if whole and len(m) < SPAN and len(m) != len(v):
+                for i, (m, n) in enumerate(masks):
+                    if whole and n != (len(v) if len(v) < LEAST else 0):
                         continue
                     h = masked(v, m)
                     at = np.arange(len(h))
@@ -117,8 +135,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
             v = [words_of(t.as_py()) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("item_id"), pa.array([len(x) for x in v], pa.int32()), pa.array([x.tobytes() for x in v], pa.binary())], ["key", "item_id", "n", "words"])
 
-    coded = cut(items.mapInArrow(counted, "key long, item_id long, n int, words binary").where(F.col("n") >= SHORTEST), "items")
-    short = [r["n"] for r in coded.where(F.col("n") < SPAN).select("n").distinct().collect()]  # at most SPAN numbers
+    coded = cut(items.mapInArrow(counted, "key long, item_id long, n int, words binary").where("n > 0"), "items")
+    short = [r["n"] for r in coded.where(F.col("n") < LEAST).select("n").distinct().collect()]  # under LEAST numbers
     masks = _masks(short)
     index = cut(_seeds(items.join(coded.select("key"), "key", "left_semi").select("key", "text"), masks, None, True), "seeds")
     keep = None

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -229,6 +230,39 @@ def test_decontaminate(spark, nothing):
     assert decontaminate.leaks(nothing, bench).count() == 0
 
 
+def hit(mask, patterns, length):
+    """Which of ``patterns`` (bits of equal words) have all words of ``mask`` equal somewhere."""
+    m = sum(1 << i for i, c in enumerate(mask) if c == "1")
+    return np.any([(patterns >> o) & m == m for o in range(length - len(mask) + 1)], axis=0)
+
+
+def test_decontaminate_masks_lose_nothing():
+    for n in range(1, 26):  # longer stretches have a part of 13 to 25 words that agrees enough
+        wrong = itertools.combinations(range(n), n // 5)
+        patterns = np.array([((1 << n) - 1) ^ sum(1 << i for i in c) for c in wrong])
+        masks = decontaminate.MASKS if n >= decontaminate.LEAST else decontaminate.whole_masks(n)
+        assert np.any([hit(m, patterns, n) for m in masks], axis=0).all(), n
+
+
+def test_decontaminate_substituted(spark):
+    def words(tag, n):
+        return [f"{tag}{k}" for k in range(n)]
+
+    lengths = [1, 2, 3, 4, 5, 7, 9, 10, 12, 13, 15, 20, 40]
+    items = [words(f"i{n}x", n) for n in lengths]
+    rows = []
+    for k, item in enumerate(items):
+        for start in range(5):  # every fifth word is another; in short items not more than may be
+            changed = {i for i in range(start, len(item), 5)}
+            changed = set(sorted(changed)[: len(item) // 5])
+            text = words("before", 8) + [f"sub{i}" if i in changed else w for i, w in enumerate(item)] + words("after", 8)
+            rows.append((10 * k + start, " ".join(text)))
+    rows += [(1000 + k, " ".join([*item[:-1], "other"])) for k, item in enumerate(items) if len(item) < 5]
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {(10 * k + start, k) for k in range(len(items)) for start in range(5)}
+
+
 # ---- 4 and 9
 
 
