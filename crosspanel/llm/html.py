@@ -3,8 +3,9 @@
 Markup settles most of it: what lies in an ``article`` (or else ``main``) is the article, and menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are not.  Pages that have neither
 element leave blocks in doubt.  For those the pages of a host are taken together: each page's doubtful blocks are
-one stream, stretches of ``LONG`` bytes or more that other pages of the host have too are found with the suffix
-array of ``suffix.py``, blocks that they mostly cover are boilerplate, and the unique runs stay.
+one stream, stretches of ``LONG`` bytes or more that repeat are found with the suffix array of ``suffix.py``, those
+that at least two pages of different content have are boilerplate, and so are blocks that they mostly cover; the rest
+stays.  Pages of a host with equal blocks are one page.
 
 A block's character references are decoded and its white space becomes single spaces; blocks are joined by an
 empty line.  Null and empty pages have an empty text; repeated rows give repeated results; pages without a host
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crosspanel.llm import suffix
-from crosspanel.llm._shared import U64, mix, table
+from crosspanel.llm._shared import U64, Rolling, mix, signed, table
 from crosspanel.llm.repeats import Kind, covered, keyed, repeated_windows
 
 #: Bytes of a stretch that counts as repeated, and of its anchors.
@@ -30,10 +31,12 @@ LONG, ANCHOR = 60, 20
 #: Share of a block that has to be covered for it to be boilerplate.
 MOSTLY = 0.5
 
-_RAW = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|noscript|template|svg|iframe|textarea|object|math|title|head)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+_RAW = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|noscript|template|svg|iframe|textarea|object|math|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>")
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
+#: A head without an end goes up to the first block, or else has no text of its own (scripts and titles are out by then).
+_HEAD = re.compile(r"<head\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?:(?:(?!<body\b).)*?</head\s*>|.*?(?=<(?:" + "|".join(sorted(_BLOCK)) + r")\b)|)", re.S | re.I)
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _DROP = set("nav footer aside form menu button select dialog".split())
 _UNWANTED = re.compile(
@@ -66,7 +69,7 @@ def blocks_of(page: str | None) -> tuple[list[str], bool]:
         if s and not skip:
             text.append(s)
 
-    source, at = _RAW.sub(" ", page or ""), 0
+    source, at = _HEAD.sub(" ", _RAW.sub(" ", page or "")), 0
     seen = set()
     for m in _TAG.finditer(source):
         if m.start() > at:
@@ -126,6 +129,21 @@ def kind() -> Kind:
     return Kind(LONG, ANCHOR, _values, lambda raw, v, a, b: raw[a:b], lambda c, at: suffix.equal_windows(c, at, LONG, ANCHOR), suffix.CROWD)
 
 
+def _shared_windows(pages: DataFrame, spans: DataFrame) -> DataFrame:
+    """Of the repeated windows of ``pages(row_key, text)`` those that two pages have, not one page twice; as ``spans``."""
+
+    def run(batches):
+        for b in batches:
+            for key, text, found in zip(b.column("row_key").to_pylist(), b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
+                at = np.unique(np.concatenate([lo + np.arange(x["n"]) for x in found for lo in x["lo"]]))
+                h = Rolling(_values(text.encode("utf-8", "surrogatepass"))).every(LONG)[at]
+                yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(np.full(len(at), key)), pa.array(at.astype(np.int32))], ["hash", "row_key", "p"])
+
+    rows = pages.join(spans.hint("shuffle_hash"), "row_key").select("row_key", "text", "spans").mapInArrow(run, "hash long, row_key long, p int")
+    shared = rows.groupBy("hash").agg(F.min("row_key").alias("a"), F.max("row_key").alias("b")).where("a < b").select("hash")
+    return rows.join(shared, "hash", "left_semi").groupBy("row_key").agg(F.array(F.struct(F.collect_list("p").alias("lo"), F.lit(1).alias("n"))).alias("spans"))
+
+
 def _kept(blocks: list[str], host: str, spans: list | None) -> list[str]:
     """Blocks that repeated stretches of the page's stream don't mostly cover."""
     raw = _stream(host, blocks).encode("utf-8", "surrogatepass")
@@ -158,14 +176,15 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     parsed = base.mapInArrow(parse, f"id {types['id']}, url {types['url']}, host string, row_key long, blocks array<string>, settled boolean")
     joined = F.array_join("blocks", "\n\n")
     clear = parsed.where("settled").select("id", "url", joined.alias("text"))
-    doubtful = parsed.where("not settled")
+    # pages of equal content are one: a page doesn't make its own text boilerplate
+    doubtful = parsed.where("not settled").withColumn("row_key", F.xxhash64("host", F.array_join(F.array_distinct("blocks"), "\n")))
 
     def streams(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("row_key"), pa.array([_stream(h, x) for h, x in zip(b.column("host").to_pylist(), b.column("blocks").to_pylist(), strict=True)])], ["row_key", "text"])
 
-    # equal rows are one page: a page doesn't make its own text boilerplate
-    spans = repeated_windows(doubtful.select("host", "row_key", "blocks").mapInArrow(streams, "row_key long, text string").dropDuplicates(["row_key"]), kind())
+    pages_ = doubtful.select("host", "row_key", "blocks").mapInArrow(streams, "row_key long, text string").dropDuplicates(["row_key"])
+    spans = _shared_windows(pages_, repeated_windows(pages_, kind()))
 
     def keep(batches):
         for b in batches:

@@ -329,6 +329,24 @@ def test_html_by_host(spark):
     assert got[9]  # the same text on another host isn't boilerplate there
 
 
+def test_html_keeps_what_one_page_repeats(spark):
+    rng = random.Random(9)
+    notice, line = sentence(rng, 30), sentence(rng, 25)
+    own = [sentence(rng, 12) for _ in range(2)]
+    other, copied = sentence(rng, 50), sentence(rng, 50)
+    made = [page("b.org", 1, "".join(f"<div>{line} {x}</div>" for x in own) + f"<div>{notice}</div>"), page("b.org", 2, f"<div>{notice}</div><div>{other}</div>")]
+    made += [page("b.org", k, f"<script>{k}</script><div>{copied}</div>") for k in (3, 4)]  # one page under two ids
+    got = {r["page_id"]: r["text"] for r in html.main_text(spark.createDataFrame(made, "page_id long, url string, html string")).collect()}
+    assert got == {1: "\n\n".join(f"{line} {x}" for x in own), 2: other, 3: copied, 4: copied}
+
+
+def test_html_head_without_end():
+    for start in ("<head>", "<head><meta charset=utf-8><script>'<div>'</script>", "<head><title>t</title>"):
+        assert html.blocks_of(f"<html>{start}<body><article><p>One two</p></article></body></html>") == (["One two"], True)
+        assert html.blocks_of(f"{start}<article><p>One two</p></article>") == (["One two"], True)
+    assert html.blocks_of("<head><meta name=x>loose</head><body><p>One</p></body>") == (["One"], False)
+
+
 # ---- 6
 
 
