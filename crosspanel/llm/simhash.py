@@ -7,8 +7,13 @@ threshold, so a fingerprint is dealt to each value that its partition can take w
 that meet are verified on all bits.  Links leave a bucket as a star, not as all pairs; stars are joined to
 components.
 
+Near copies (``near_duplicates_dropped``) are texts whose sets of shingles are similar.  At a similarity of 0.8
+fingerprints of 64 bits differ in some ten of them, where no partition prunes any more, so fingerprints give the
+candidates that are close and a prefix filter over the sets gives the rest; both are decided on the exact sets.
+
 Null and empty texts have fingerprint zero and link like any other; repeated texts share a fingerprint; an
-empty table gives an empty result; other columns are left out.
+empty table gives an empty result; other columns are left out.  A very long text is read once by one task and leaves
+it as a fingerprint, or as the set of its shingles (8 bytes a word).
 """
 
 from __future__ import annotations
@@ -27,12 +32,15 @@ from crosspanel.llm._shared import U64, cut, mix, signed, text_bytes, texts
 from crosspanel.llm.components import components
 
 SEED = 42
-#: Members of a bucket that meet in one task; a larger bucket is compared in pairs of such parts.
-PART = 32_768
-#: Slots of the one-permutation sketch that estimates Jaccard similarity.
-SLOTS = 512
+#: Members of a bucket that meet in one task.  A larger one is dealt again by the bits that its key leaves out, and what
+#: is still larger is compared in pairs of such parts.
+PART = 4_096
 #: Nodes of a shingle from which it comes last in the order of prefixes.
 CROWD = 50
+#: Rows of a shingle that meet in one task in the last pass over candidates.
+BLOCK = 2_000
+#: Differing bits up to which fingerprints of sets make candidates of similar sets.
+RADIUS = 3
 #: Column of a row's own key.
 KEY = "__row"
 #: What a row that is dealt costs, in comparisons.
@@ -62,40 +70,20 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def sketch(hashes: np.ndarray) -> bytes:
-    """Eight bits of the least hash in each of ``SLOTS`` slots; 255 marks an empty slot."""
-    h = mix(hashes)
-    slot, rest = (h % U64(SLOTS)).astype(np.int64), h // U64(SLOTS)
-    least = np.full(SLOTS, 2**64 - 1, U64)
-    np.minimum.at(least, slot, rest)
-    return np.where(least == U64(2**64 - 1), 255, least % U64(255)).astype(np.uint8).tobytes()
-
-
-def fingerprints(docs: DataFrame, shingle: int = 3, sketched: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, fp long, size int, sketch binary)``; size (distinct shingles) and sketch only if asked for."""
+def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, fp long)`` of each row."""
 
     def run(batches):
         for b in batches:
-            fps, sizes, sketches = [], [], []
-            for t in b.column(1):
-                h = shingle_hashes(t.as_py(), shingle)
-                fps.append(fingerprint(h))
-                if sketched:
-                    h = np.unique(h)
-                    sizes.append(len(h))
-                    sketches.append(sketch(h))
-            n = b.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(signed(np.array(fps, U64))), pa.array(sizes, pa.int32()) if sketched else pa.nulls(n, pa.int32()), pa.array(sketches, pa.binary()) if sketched else pa.nulls(n, pa.binary())],
-                ["id", "fp", "size", "sketch"],
-            )
-
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long, size int, sketch binary")
+            fps = [fingerprint(shingle_hashes(t.as_py(), shingle)) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(signed(np.array(fps, U64)))], ["id", "fp"])
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long")
 
 
 @dataclass(frozen=True)
 class Plan:
-    """Bits of each partition and its threshold; no partition at all means that everything meets."""
+    """Bits of each partition and its threshold; -1 leaves a partition out."""
 
     bits: tuple[tuple[int, ...], ...]
     thresholds: tuple[int, ...]
@@ -175,72 +163,53 @@ def allocate(costs: list[list[float]], total: int) -> tuple[float, list[int]]:
     return best[total]
 
 
-def make_plan(n: int, together: np.ndarray, radius: int, classes: int = 1, most_parts: int = 8, row_cost: float = ROW_COST) -> Plan:
-    """The cheapest plan: partitions and thresholds, or none where comparing everything costs less."""
-    n = float(n)
-    found = [(row_cost * n + n * n / (2 * classes), Plan((), ()))]
-    for parts in range(2, min(most_parts, radius + 1) + 1):
+def make_plan(n: int, together: np.ndarray, radius: int, most_parts: int = 8) -> Plan:
+    """The cheapest partitions and thresholds; at least two partitions, unless the radius is 0."""
+    n = float(max(n, 1))
+    found = []
+    for parts in range(min(2, radius + 1), max(1, min(most_parts, radius + 1)) + 1):
         groups, costs = correlated_groups(together, n, parts), []
         for g in groups:
             most = min(radius, 3, len(g))
             share = chance(g, together, n, most)
             balls = np.cumsum([math.comb(len(g), t) for t in range(most + 1)])
-            costs.append([0.0] + [row_cost * n * float(balls[t]) + balls[t] * n * n * share[0] / (2 * classes) for t in range(most + 1)])
+            costs.append([0.0] + [ROW_COST * n * float(balls[t]) + balls[t] * n * n * share[0] / 2 for t in range(most + 1)])
         if parts * min(radius, 3) >= radius - parts + 1:
             cost, ts = allocate(costs, radius - parts + 1)
             found.append((cost, Plan(tuple(map(tuple, groups)), tuple(ts))))
     return min(found, key=lambda x: x[0])[1]
 
 
-def _extract(fps: np.ndarray, bits) -> np.ndarray:
-    v = np.zeros(len(fps), U64)
-    for k, b in enumerate(bits):
-        v |= ((fps >> U64(b)) & U64(1)) << U64(k)
-    return v
+def _number(bits) -> int:
+    """Bits as a signed 64-bit number."""
+    x = sum(1 << b for b in bits)
+    return x - (1 << 64) if x >> 63 else x
 
 
-def _probes(rows: DataFrame, plan: Plan, ratio: float | None) -> DataFrame:
-    """``(key, id, fp, size, sketch)``: each fingerprint at every partition value within the threshold.
+def _probes(rows: DataFrame, plan: Plan) -> DataFrame:
+    """``(part, key, id, fp)``: each fingerprint at every value of a partition within its threshold."""
+    each = []
+    for i, (bits, most) in enumerate(zip(plan.bits, plan.thresholds, strict=True)):
+        for flipped in (c for t in range(most + 1) for c in combinations(bits, t)):
+            each.append(F.struct(F.lit(i).alias("part"), F.lit(_number(bits)).alias("mask"), F.lit(_number(flipped)).alias("flip")))
+    dealt = rows.select("id", "fp", F.explode(F.array(*each)).alias("p"))
+    return dealt.select("p.part", F.xxhash64("p.part", F.col("fp").bitwiseAND(F.col("p.mask")).bitwiseXOR(F.col("p.flip"))).alias("key"), "id", "fp")
 
-    With ``ratio`` (least quotient of the sizes of a pair) a key also has a size class, and a row goes to its own
-    class and the next, so that any pair that may link meets.
-    """
-    masks = [[0] + [sum(1 << k for k in c) for t in range(1, ts + 1) for c in combinations(range(len(bits)), t)] if ts >= 0 else [] for bits, ts in zip(plan.bits, plan.thresholds, strict=True)]
 
-    def run(batches):
-        for b in batches:
-            fps = np.asarray(b.column("fp")).view(U64)
-            classes = [np.zeros(len(fps), U64)]
-            if ratio:
-                c = np.floor(np.log(np.maximum(np.asarray(b.column("size")), 1)) / -math.log(ratio)).astype(U64)
-                classes = [c, c + U64(1)]
-            for c in classes:
-                if not plan.bits:
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(c)), *b.columns], ["key", *b.schema.names])
-                for i, bits in enumerate(plan.bits):
-                    v = _extract(fps, bits)
-                    for m in masks[i]:
-                        key = (U64(i) << U64(56)) | (c << U64(44)) | (v ^ U64(m))
-                        yield pa.RecordBatch.from_arrays([pa.array(signed(key)), *b.columns], ["key", *b.schema.names])
-
-    return rows.select("id", "fp", "size", "sketch").mapInArrow(run, "key long, id long, fp long, size int, sketch binary")
-
-
-def _link_rows(fp, size, sk, a, b, radius, ratio):
+def _again(rows: DataFrame, plan: Plan, radius: int) -> DataFrame:
+    """Members of crowded buckets, dealt by the bits outside their partition: of ``radius`` + 1 groups of those one is equal."""
+    masks = []
+    for bits in plan.bits:
+        rest = [b for g in plan.bits for b in g if b not in bits]
+        masks.append(F.array(*[F.lit(_number(g.tolist())) for g in np.array_split(np.array(rest, int), radius + 1)]))
+    dealt = rows.select("key", "id", "fp", F.posexplode(F.array(*masks)[F.col("part")]).alias("k", "mask"))
+    return dealt.select(F.xxhash64("key", "k", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), "id", "fp")
+
+
+def _link_rows(fp, a, b, radius):
     """Of the pairs a[i], b[i], those that link."""
     ok = np.bitwise_count(fp[a] ^ fp[b]) <= radius
-    a, b = a[ok], b[ok]
-    if ratio is None or not len(a):
-        return a, b
-    ok = np.minimum(size[a], size[b]) >= ratio * np.maximum(size[a], size[b])
-    a, b = a[ok], b[ok]
-    good = np.zeros(len(a), bool)
-    for s in range(0, len(a), 20_000):
-        x, y = sk[a[s : s + 20_000]], sk[b[s : s + 20_000]]
-        full = np.maximum(((x != 255) | (y != 255)).sum(1), 1)
-        share = ((x == y) & (x != 255)).sum(1) / full
-        good[s : s + 20_000] = (255 * share - 1) / 254 >= ratio - 1e-9  # one in 255 slots agrees by chance
-    return a[good], b[good]
+    return a[ok], b[ok]
 
 
 def _join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -257,11 +226,10 @@ def _join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         a, b = a[ok], b[ok]
 
 
-def _bucket_labels(fp, size, sk, bounds, radius, ratio):
+def _bucket_labels(fp, bounds, radius):
     """Label of each row, the first row of its component within its bucket; ``bounds`` are the buckets' starts and end."""
     n = len(fp)
     label, length = np.arange(n), np.diff(bounds)
-    start = np.repeat(bounds[:-1], length)
     small = np.repeat(length <= 64, length)
     ends = np.repeat(bounds[1:], length)
     at = np.arange(n)
@@ -269,39 +237,35 @@ def _bucket_labels(fp, size, sk, bounds, radius, ratio):
         a = at[small & (at + shift < ends)]
         if not len(a):
             break
-        _join(label, *_link_rows(fp, size, sk, a, a + shift, radius, ratio))
+        _join(label, *_link_rows(fp, a, a + shift, radius))
     for k in np.flatnonzero(length > 64):
         lo, hi = int(bounds[k]), int(bounds[k + 1])
         step = max(1, 2_000_000 // (hi - lo))
         for s in range(lo, hi, step):
             e = min(hi, s + step)
             near = np.bitwise_count(fp[s:e, None] ^ fp[None, s:hi]) <= radius
-            near &= label[s:e, None] != label[None, s:hi]
+            near &= label[s:e, None] != label[None, s:hi]  # what an earlier slice has joined isn't looked at again
             a, b = np.nonzero(near)
             keep = a < b
-            a, b = a[keep] + s, b[keep] + s
-            for c in range(0, len(a), 200_000):  # what an earlier slice has joined isn't looked at again
-                x, y = a[c : c + 200_000], b[c : c + 200_000]
-                ok = label[x] != label[y]
-                _join(label, *_link_rows(fp, size, sk, x[ok], y[ok], radius, ratio))
-    del start
+            _join(label, a[keep] + s, b[keep] + s)
     return label
 
 
-def links(nodes: DataFrame, radius: int, ratio: float | None = None) -> DataFrame:
-    """``(src, dst)``: a star for each set of nodes that link within a bucket.
+def links(nodes: DataFrame, radius: int) -> DataFrame:
+    """``(src, dst)``: a star for each set of ``nodes(id, fp)`` that link at ``radius`` or fewer bits within a bucket.
 
-    ``nodes(id, fp, size, sketch)``: distinct nodes.  They link at ``radius`` or fewer differing bits and, with
-    ``ratio``, only if the Jaccard similarity that their sketches estimate is at least that.  Buckets of over
-    ``PART`` rows are compared in pairs of parts, each pair in a task of its own, so memory is bounded.
+    Buckets of over ``PART`` rows are dealt again by the other bits; those that stay larger are compared in pairs of
+    parts, each pair in a task of its own, so memory is bounded.
     """
-    n, together = bit_statistics(nodes)
-    plan = make_plan(n, together, radius, classes=8 if ratio else 1, row_cost=ROW_COST * (4 if ratio else 1))
-    dealt = _probes(nodes, plan, ratio)
-    crowded = dealt.groupBy("key").count().where(F.col("count") > PART).select("key", F.ceil(F.col("count") / PART).cast("int").alias("parts"))
-    dealt = dealt.join(crowded, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "id", "fp", "size", "sketch")
+    plan = make_plan(*bit_statistics(nodes), radius)
+    first = _probes(nodes, plan)
+    crowded = cut(first.groupBy("key").count().where(F.col("count") > PART).select("key"), "crowded")
+    again = _again(first.join(crowded, "key", "left_semi"), plan, radius)
+    parts = again.groupBy("key").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")).where("parts > 1")
+    again = again.join(parts, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    again = again.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    again = again.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "id", "fp")
+    dealt = first.join(crowded, "key", "left_anti").select("key", F.lit(0).alias("x"), F.lit(0).alias("y"), "id", "fp").union(again)
 
     def run(batches):
         held = None
@@ -318,15 +282,9 @@ def links(nodes: DataFrame, radius: int, ratio: float | None = None) -> DataFram
                 return None, t
             head = t.slice(0, stop)
             ids = np.asarray(head.column("id"))
-            fp = np.asarray(head.column("fp")).astype(np.int64).view(U64)
-            size = sk = None
-            if ratio is not None:
-                size = np.asarray(head.column("size"))
-                sk = np.frombuffer(b"".join(head.column("sketch").to_pylist()), np.uint8).reshape(-1, SLOTS)
-            label = _bucket_labels(fp, size, sk, bounds, radius, ratio)
+            label = _bucket_labels(np.asarray(head.column("fp")).astype(np.int64).view(U64), bounds, radius)
             moved = np.flatnonzero(label != np.arange(stop))
-            ok = ids[moved] != ids[label[moved]]
-            pairs = np.unique(np.stack([ids[moved][ok], ids[label[moved]][ok]]), axis=1)
+            pairs = np.unique(np.stack([ids[moved], ids[label[moved]]]), axis=1)
             return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["src", "dst"]), t.slice(stop)
 
         for b in batches:
@@ -343,22 +301,15 @@ def links(nodes: DataFrame, radius: int, ratio: float | None = None) -> DataFram
     return dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(run, "src long, dst long")
 
 
-def groups(docs: DataFrame, shingle: int = 3, radius: int = 3, ratio: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def groups(docs: DataFrame, shingle: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, fp long, component long)`` for each row: the smallest id that links lead to, its own included."""
-    each = cut(fingerprints(docs, shingle, ratio is not None, id_col, text_col), "fingerprints")
-    shape = ["fp", "size", "sketch"]
-    nodes = cut(each.groupBy(*shape).agg(F.min("id").alias("first")).withColumn("id", F.col("fp") if ratio is None else F.col("first")), "nodes")
-    joined = components(links(nodes.where("id is not null"), radius, ratio))
-    # a component's id is its smallest document, which for nodes named by fingerprint is looked up
-    named = nodes.join(joined, nodes.id == joined.node, "left").select(*shape, "first", F.coalesce("component", "id").alias("c"))
+    each = cut(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
+    nodes = cut(each.groupBy("fp").agg(F.min("id").alias("first")), "nodes")
+    # nodes are named by their fingerprint; a component's id is its smallest document
+    joined = components(links(nodes.select(F.col("fp").alias("id"), "fp"), radius))
+    named = nodes.join(joined, nodes.fp == joined.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("c"))
     least = named.groupBy("c").agg(F.min("first").alias("component"))
-    named = named.join(least, named.c.eqNullSafe(least.c)).select(*shape, "component")
-    same = F.lit(True)
-    for c in shape:
-        same = same & each[c].eqNullSafe(named[c])
-    if ratio is None:
-        same = each.fp == named.fp
-    return each.join(named, same).select(each.id.alias(id_col), each.fp, "component")
+    return each.join(named.join(least, "c").select("fp", "component"), "fp").select(F.col("id").alias(id_col), "fp", "component")
 
 
 def set_hash(h: np.ndarray) -> bytes:
@@ -366,34 +317,62 @@ def set_hash(h: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(h.astype("<u8").tobytes(), SEED)
 
 
-def prefix(h: np.ndarray, similarity: float, last: np.ndarray) -> np.ndarray:
-    """The first shingles of a set, so many that any two sets of ``similarity`` share one of them.
+def prefix(h: np.ndarray, similarity: float, last: np.ndarray) -> tuple[np.ndarray, int]:
+    """The first shingles of a set, so many that any two sets of ``similarity`` share one of them, and how many are rare.
 
-    In one order for all sets: those in ``last`` (sorted) come last, otherwise by a scrambled hash.
+    In one order for all sets: those in ``last`` (sorted) come last, otherwise by a scrambled hash.  Rare are those that
+    aren't in ``last``.
     """
     n = len(h)
     if not n:
-        return h
+        return h, 0
     m = mix(h)
     late = last[np.minimum(np.searchsorted(last, m), len(last) - 1)] == m if len(last) else np.zeros(n, bool)
-    return m[np.lexsort((m, late))][: n - math.ceil(similarity * n - 1e-9) + 1]
+    return m[np.lexsort((m, late))][: n - math.ceil(similarity * n - 1e-9) + 1], n - int(late.sum())
+
+
+def _crowded(rows: DataFrame, shingle: int, most: int, text_col: str) -> np.ndarray:
+    """Shingles that over ``most`` of ``rows`` have, sorted; at most (rows x mean set size) / ``most``.
+
+    Counted over all sets.  They only steer the order of prefixes: any order gives the same result.
+    """
+
+    def run(batches):
+        def counted():
+            token, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(signed(token)), pa.array(n)], ["token", "n"])
+
+        held, size = [], 0
+        for b in batches:
+            for t in b.column(0):
+                held.append(mix(np.unique(shingle_hashes(t.as_py(), shingle))))
+                size += len(held[-1])
+                if size > 1 << 21:
+                    yield counted()
+                    held, size = [], 0
+        if size:
+            yield counted()
+
+    found = rows.select(text_col).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > most)
+    return np.sort(found.select("token").toArrow().column("token").to_numpy().astype(np.int64).view(U64))
 
 
 def _prefixes(rows: DataFrame, shingle: int, similarity: float, last: np.ndarray, text_col: str) -> DataFrame:
-    """``(token, id, size, pos)`` of the prefixes of ``rows(KEY, text)``; ``pos`` is the place in the order."""
+    """``(token, id, size, pos, rare)`` of the prefixes of ``rows(KEY, text)``; ``pos`` is the place in the order."""
     shared = rows.sparkSession.sparkContext.broadcast(last)
 
     def run(batches):
         for b in batches:
             sets = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in b.column(1)]
             made = [prefix(h, similarity, shared.value) for h in sets]
-            n = [len(x) for x in made]
+            n = [len(x) for x, _ in made]
             if sum(n):
-                ids, sizes = np.repeat(b.column(0).to_numpy(), n), np.repeat([len(h) for h in sets], n).astype(np.int32)
+                ids, sizes, rare = (np.repeat(x, n) for x in (b.column(0).to_numpy(), np.array([len(h) for h in sets], np.int32), np.array([r for _, r in made], np.int32)))
                 pos = np.concatenate([np.arange(k, dtype=np.int32) for k in n])
-                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(made))), pa.array(ids), pa.array(sizes), pa.array(pos)], ["token", "id", "size", "pos"])
+                cols = [signed(np.concatenate([x for x, _ in made])), ids, sizes, pos, rare]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["token", "id", "size", "pos", "rare"])
 
-    return rows.select(KEY, text_col).mapInArrow(run, "token long, id long, size int, pos int")
+    return rows.select(KEY, text_col).mapInArrow(run, "token long, id long, size int, pos int, rare int")
 
 
 def _alike(pairs: DataFrame, rows: DataFrame, shingle: int, similarity: float, text_col: str) -> DataFrame:
@@ -418,68 +397,78 @@ def _alike(pairs: DataFrame, rows: DataFrame, shingle: int, similarity: float, t
     return both.select("src", "dst", "x", "y").mapInArrow(run, "src long, dst long")
 
 
-def similar_groups(rows: DataFrame, shingle: int, similarity: float, text_col: str) -> DataFrame:
+def similar_groups(rows: DataFrame, shingle: int, similarity: float, text_col: str, radius: int = RADIUS) -> DataFrame:
     """``(KEY, component)``: rows in one component have equal shingle sets or are joined by pairs of ``similarity``.
 
-    Equal sets are one node.  Two similar sets share a shingle of their prefixes, so the nodes of each shingle are the
-    candidates, and each candidate pair is decided on the exact sets.  Shingles of over ``CROWD`` nodes come last in the
-    order, so that what many texts have hardly is in a prefix.  A shingle's nodes are first held against two of them;
-    after that only pairs which nothing has joined yet are left, and all of those are compared.
+    Equal sets are one node.  Candidates are, in turn,
+
+    1. nodes whose fingerprints (of the sets) link within ``radius`` bits, by the pigeonhole principle: most near copies;
+    2. for what fingerprints can't find, the sets that share a shingle of their prefixes (two similar sets always do):
+       first each of them with the one that has the fewest rare shingles, the centre of a group of copies if there is
+       one, and then all pairs which nothing has joined yet and whose places allow the similarity.
+
+    Each candidate is decided on the exact sets.  Shingles of over ``CROWD`` nodes come last in the order of prefixes.
     """
 
     def digests(batches):
         for b in batches:
             sets = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([set_hash(h) for h in sets], pa.binary())], [KEY, "digest"])
-
-    each = cut(rows.select(KEY, text_col).mapInArrow(digests, f"`{KEY}` long, digest binary"), "digests")
-    nodes = cut(each.groupBy("digest").agg(F.min(KEY).alias("id")), "nodes")
-    texts_ = rows.select(KEY, text_col).join(nodes.select(F.col("id").alias(KEY)), KEY, "left_semi")
-    none = np.zeros(0, U64)
-    crowd = max(CROWD, nodes.count() // 5_000)  # so that the list of crowded shingles is bounded
-    crowded = _prefixes(texts_, shingle, similarity, none, text_col).groupBy("token").count().where(F.col("count") > crowd)
-    last = np.sort(np.array([r["token"] for r in crowded.select("token").collect()], np.int64).view(U64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([set_hash(h) for h in sets], pa.binary()), pa.array(signed(np.array([fingerprint(h) for h in sets], U64)))], [KEY, "digest", "fp"])
+
+    each = cut(rows.select(KEY, text_col).mapInArrow(digests, f"`{KEY}` long, digest binary, fp long"), "digests")
+    nodes = cut(each.groupBy("digest").agg(F.min(KEY).alias("id"), F.min("fp").alias("fp")), "nodes")
+    texts_ = cut(rows.select(KEY, text_col).join(nodes.select(F.col("id").alias(KEY)), KEY, "left_semi"), "texts")
+    last = _crowded(texts_, shingle, max(CROWD, nodes.count() // 5_000), text_col)  # so that the list is bounded
     tokens = cut(_prefixes(texts_, shingle, similarity, last, text_col), "prefixes")
     met = tokens.groupBy("token").count().where("count > 1").select("token")
     tokens = cut(tokens.join(met, "token", "left_semi"), "tokens")
-    found = None
-    label = None
-    for pick in (F.min, F.max):  # groups of near copies collapse here, at one pair for each node and shingle
-        lead = tokens.groupBy("token").agg(pick(F.struct("id", "size", "pos")).alias("lead"))
-        pairs = tokens.join(lead, "token").where(F.col("id") != F.col("lead.id")).where(_may("size", "pos", "lead.size", "lead.pos", similarity))
-        pairs = pairs.select(F.least("id", "lead.id").alias("src"), F.greatest("id", "lead.id").alias("dst")).distinct()
-        if label is not None:
-            pairs = _apart(pairs, label)
-        good = cut(_alike(cut(pairs, "pairs"), rows, shingle, similarity, text_col), "alike")
-        found = good if found is None else found.union(good)
-        label = cut(components(found), "labels")
-    named = tokens.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
-    mixed = named.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("token")
-    named = cut(named.join(mixed, "token", "left_semi"), "labelled")
-    parts = named.groupBy("token", "label").agg(F.min("size").alias("low"), F.max("size").alias("high"))
-    one, two = (parts.select("token", *[F.col(c).alias(f"{c}{k}") for c in ("label", "low", "high")]) for k in (1, 2))
-    met = one.join(two, "token").where((F.col("label1") < F.col("label2")) & (F.col("high1") >= similarity * F.col("low2") - 1e-6) & (F.col("high2") >= similarity * F.col("low1") - 1e-6)).select("token", "label1", "label2")
-    left, right = (named.select("token", *[F.col(c).alias(f"{c}{k}") for c in ("label", "id", "size", "pos")]) for k in (1, 2))
-    pairs = met.join(left, ["token", "label1"]).join(right, ["token", "label2"]).where(_may("size1", "pos1", "size2", "pos2", similarity))
-    pairs = pairs.select(F.least("id1", "id2").alias("src"), F.greatest("id1", "id2").alias("dst")).distinct()
-    good = cut(_alike(cut(pairs, "pairs"), rows, shingle, similarity, text_col), "alike")
-    label = components(found.union(good))
+    lead = tokens.groupBy("token").agg(F.min(F.struct("rare", "id", "size", "pos")).alias("lead"))
+    pairs = tokens.join(lead, "token").where(F.col("id") != F.col("lead.id")).where(_may("size", "pos", "lead.size", "lead.pos", similarity))
+    pairs = pairs.select("id", "lead.id").union(links(nodes.select("id", "fp"), radius)).toDF("a", "b")
+    good = cut(_alike(_once(pairs), texts_, shingle, similarity, text_col), "alike")
+    label = cut(components(good), "labels")
+    named = tokens.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component", "rare")
+    left = cut(_open(_open(named, similarity), similarity), "labelled")
+    pairs = _pairs_by_token(left, similarity)
+    more = cut(_alike(_once(pairs), texts_, shingle, similarity, text_col), "alike")
+    label = components(good.union(more))
     named = nodes.join(label.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     return each.join(named, "digest").select(KEY, "component")
 
 
+def _once(pairs: DataFrame) -> DataFrame:
+    """Each pair of ``pairs(a, b)`` once, written."""
+    return cut(pairs.where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct(), "pairs")
+
+
+def _open(named: DataFrame, similarity: float) -> DataFrame:
+    """Of ``named(token, id, size, pos, label)`` the rows that may be similar to a row of another label of their shingle."""
+    each = named.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.min("size").alias("low"), F.max(F.col("size") - F.col("pos")).alias("rest")).where("a < b")
+    can = F.least(F.col("size") - F.col("pos"), F.col("rest")) * (1 + similarity) >= similarity * (F.col("size") + F.greatest(F.col("low"), F.ceil(F.col("size") * similarity - 1e-6))) - 1e-6
+    return named.join(each, "token").where(can).select(*named.columns)
+
+
+def _pairs_by_token(rows: DataFrame, similarity: float) -> DataFrame:
+    """``(a, b)``: pairs of ``rows`` of a shingle that have different labels and may be similar.
+
+    A shingle with many rows left is dealt to blocks of ``BLOCK`` of them, each of which meets the shingle's rows in a
+    task of its own.
+    """
+    blocks = rows.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sized = cut(rows.join(blocks, "token"), "sized")
+    one = sized.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks")
+    two = sized.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    one, two = (x.select("token", "block", *[F.col(c).alias(f"{c}{k}") for c in ("id", "size", "pos", "label")]) for k, x in ((1, one), (2, two)))
+    pairs = one.join(two, ["token", "block"]).where((F.col("id1") < F.col("id2")) & (F.col("label1") != F.col("label2"))).where(_may("size1", "pos1", "size2", "pos2", similarity))
+    return pairs.select(F.col("id1").alias("a"), F.col("id2").alias("b"))
+
+
 def _may(size1: str, pos1: str, size2: str, pos2: str, similarity: float):
     """Whether a pair whose first common shingle has these places can have enough common shingles from there on."""
     rest = F.least(F.col(size1) - F.col(pos1), F.col(size2) - F.col(pos2))
     return rest * (1 + similarity) >= similarity * (F.col(size1) + F.col(size2)) - 1e-6
 
 
-def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
-    """``pairs`` that nothing has joined yet."""
-    a, b = (label.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in")) for c in ("src", "dst"))
-    return pairs.join(a, "src", "left").join(b, "dst", "left").where(F.coalesce("src_in", "src") != F.coalesce("dst_in", "dst")).select("src", "dst")
-
-
 def near_duplicates_dropped(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of near copies: that of the smallest id, null ids last, and of those any one.
 

@@ -88,22 +88,28 @@ def test_simhash(rows, docs, nothing):
     assert simhash.groups(nothing).count() == 0
 
 
-@pytest.mark.parametrize("n,radius", [(300, 3), (300, 8)])
-def test_links_find_all_pairs(spark, monkeypatch, n, radius):
-    rng = np.random.default_rng(1)
+@pytest.mark.parametrize("radius,part", [(3, 4096), (8, 4096), (3, 4), (8, 16)])
+def test_links_find_all_pairs(spark, monkeypatch, radius, part):
+    rng, n = np.random.default_rng(1), 300
     fp = rng.integers(0, 2**64, n, np.uint64)
+    fp[: n // 2] &= np.uint64(0xFFFFFFFF0000FFFF)  # half of them agree in 16 bits
     for k in range(n // 3):
         fp[3 * k + 1] = fp[3 * k] ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, radius, replace=False)))
-    many = 10**7  # fingerprints of independent bits, enough of them that partitions pay
-    plan = simhash.make_plan(many, np.where(np.eye(64, dtype=bool), many // 2, many // 4), radius)
-    monkeypatch.setattr(simhash, "make_plan", lambda *a, **b: plan)
-    assert plan.bits and sum(plan.thresholds) == radius - len(plan.bits) + 1
-    frame = spark.createDataFrame([(int(i), int(f.astype(np.int64)), None, None) for i, f in enumerate(fp)], "id long, fp long, size int, sketch binary")
+    monkeypatch.setattr(simhash, "PART", part)
+    frame = spark.createDataFrame([(int(i), int(f.astype(np.int64))) for i, f in enumerate(fp)], "id long, fp long")
     want = {k: min(j for j in range(n) if bin(int(fp[k]) ^ int(fp[j])).count("1") <= radius) for k in range(n)}
     got = {r["node"]: r["component"] for r in components(simhash.links(frame, radius)).collect()}
     assert {k: got.get(k, k) for k in range(n)} == want
 
 
+@pytest.mark.parametrize("n", [1, 10, 10_000, 10**7, 10**10])
+def test_plans_have_partitions(n):
+    for radius in (1, 3, 8, 16):
+        plan = simhash.make_plan(n, np.where(np.eye(64, dtype=bool), n // 2, n // 4), radius)
+        assert len(plan.bits) > 1 and sorted(b for g in plan.bits for b in g) == list(range(64))
+        assert sum(plan.thresholds) == radius - len(plan.bits) + 1
+
+
 def test_near_duplicates(rows, docs):
     kept = [r["doc_id"] for r in simhash.near_duplicates_dropped(docs).select("doc_id").collect()]
     copies = [i for i, t in rows if t and t.startswith(rows[49][1][:200])]
