@@ -25,10 +25,12 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crosspanel.llm._shared import U64, cut, mix, signed, text_bytes, texts
+from crosspanel.llm._shared import U64, Rolling, cut, mix, signed, text_bytes, texts, word_hashes
+from crosspanel.llm.blocks import planes, unplane
 from crosspanel.llm.components import components
 
 SEED = 42
@@ -41,6 +43,8 @@ CROWD = 50
 BLOCK = 2_000
 #: Differing bits up to which fingerprints of sets make candidates of similar sets.
 RADIUS = 3
+#: Bits of a shingle by which it is counted.
+SHORT = 48
 #: Column of a row's own key.
 KEY = "__row"
 #: What a row that is dealt costs, in comparisons.
@@ -62,6 +66,12 @@ def shingle_hashes(text: str | None, width: int) -> np.ndarray:
     return np.fromiter((h(joined[s:e], SEED) for s, e in zip(starts, ends[width - 1 :].tolist(), strict=True)), U64, len(starts))
 
 
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """The set of the ``width``-word shingles of a text in lower case as sorted 64-bit hashes; none without words."""
+    words = word_hashes(text_bytes(text).lower())[2]
+    return np.unique(Rolling(words).every(min(width, len(words)))) if len(words) else words
+
+
 def fingerprint(hashes: np.ndarray) -> int:
     """Bit ``b`` is 1 if it is set in over half of ``hashes``; zero for none."""
     ones = np.zeros(64, np.int64)
@@ -320,32 +330,45 @@ def set_hash(h: np.ndarray) -> bytes:
 def prefix(h: np.ndarray, similarity: float, last: np.ndarray) -> tuple[np.ndarray, int]:
     """The first shingles of a set, so many that any two sets of ``similarity`` share one of them, and how many are rare.
 
-    In one order for all sets: those in ``last`` (sorted) come last, otherwise by a scrambled hash.  Rare are those that
-    aren't in ``last``.
+    In one order for all sets: those in ``last`` (sorted, see ``_crowded``) come last, otherwise by a scrambled hash.
+    Rare are those that aren't in ``last``.
     """
     n = len(h)
     if not n:
         return h, 0
     m = mix(h)
-    late = last[np.minimum(np.searchsorted(last, m), len(last) - 1)] == m if len(last) else np.zeros(n, bool)
-    return m[np.lexsort((m, late))][: n - math.ceil(similarity * n - 1e-9) + 1], n - int(late.sum())
+    short = m >> U64(64 - SHORT)
+    late = last[np.minimum(np.searchsorted(last, short), len(last) - 1)] == short if len(last) else np.zeros(n, bool)
+    return m[np.lexsort((m, late))][: prefix_length(n, similarity)], n - int(late.sum())
+
+
+def prefix_length(n: int, similarity: float) -> int:
+    return n - math.ceil(similarity * n - 1e-9) + 1
 
 
 def _crowded(rows: DataFrame, shingle: int, most: int, text_col: str) -> np.ndarray:
-    """Shingles that over ``most`` of ``rows`` have, sorted; at most (rows x mean set size) / ``most``.
+    """Shingles (the upper ``SHORT`` bits of their scrambled hashes) that over ``most`` of ``rows`` have, sorted.
 
-    Counted over all sets.  They only steer the order of prefixes: any order gives the same result.
+    Counted over all sets; there are at most (rows x mean set size) / ``most``.  They only steer the order of prefixes:
+    any order gives the same result.  A task sends its shingles as sorted differences, a few bytes each.
     """
+    buckets = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
         def counted():
             token, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(signed(token)), pa.array(n)], ["token", "n"])
+            at = np.searchsorted(token, np.ceil(np.arange(buckets + 1) * (2.0**SHORT / buckets)).astype(U64))
+            full = np.flatnonzero(np.diff(at))
+            made = []
+            for x, y in zip(at[full].tolist(), at[full + 1].tolist(), strict=True):
+                step = np.diff(token[x:y], prepend=U64(0))
+                made.append((y - x).to_bytes(4, "little") + zstandard.compress(planes(step & U64(0xFFFFFFFF), step >> U64(32), n[x:y]), 1))
+            return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(made, pa.binary())], ["bucket", "counts"])
 
         held, size = [], 0
         for b in batches:
             for t in b.column(0):
-                held.append(mix(np.unique(shingle_hashes(t.as_py(), shingle))))
+                held.append(mix(shingle_set(t.as_py(), shingle)) >> U64(64 - SHORT))
                 size += len(held[-1])
                 if size > 1 << 21:
                     yield counted()
@@ -353,8 +376,27 @@ def _crowded(rows: DataFrame, shingle: int, most: int, text_col: str) -> np.ndar
         if size:
             yield counted()
 
-    found = rows.select(text_col).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > most)
-    return np.sort(found.select("token").toArrow().column("token").to_numpy().astype(np.int64).view(U64))
+    def often(batches):
+        def found():
+            every, at = np.unique(np.concatenate([t for t, _ in held]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([c for _, c in held]))
+            return pa.RecordBatch.from_arrays([pa.array(signed(every[n > most]))], ["token"])
+
+        now, held = None, []
+        for b in batches:
+            for bucket, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if bucket != now and held:
+                    yield found()
+                    held = []
+                now = bucket
+                low, high, n = unplane(zstandard.decompress(raw[4:]), int.from_bytes(raw[:4], "little"), 3)
+                held.append((np.cumsum(low.astype(U64) + (high.astype(U64) << U64(32)), dtype=U64), n))
+        if held:
+            yield found()
+
+    sent = rows.select(text_col).mapInArrow(run, "bucket int, counts binary")
+    tokens = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(often, "token long").toArrow()
+    return np.sort(tokens.column("token").to_numpy().astype(np.int64).view(U64))
 
 
 def _prefixes(rows: DataFrame, shingle: int, similarity: float, last: np.ndarray, text_col: str) -> DataFrame:
@@ -363,7 +405,7 @@ def _prefixes(rows: DataFrame, shingle: int, similarity: float, last: np.ndarray
 
     def run(batches):
         for b in batches:
-            sets = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in b.column(1)]
+            sets = [shingle_set(t.as_py(), shingle) for t in b.column(1)]
             made = [prefix(h, similarity, shared.value) for h in sets]
             n = [len(x) for x, _ in made]
             if sum(n):
@@ -380,7 +422,7 @@ def _alike(pairs: DataFrame, rows: DataFrame, shingle: int, similarity: float, t
 
     def sets(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.unique(shingle_hashes(t.as_py(), shingle)).tobytes() for t in b.column(1)], pa.binary())], ["id", "hashes"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t.as_py(), shingle).tobytes() for t in b.column(1)], pa.binary())], ["id", "hashes"])
 
     def run(batches):
         for b in batches:
@@ -412,12 +454,12 @@ def similar_groups(rows: DataFrame, shingle: int, similarity: float, text_col: s
 
     def digests(batches):
         for b in batches:
-            sets = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in b.column(1)]
+            sets = [shingle_set(t.as_py(), shingle) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([set_hash(h) for h in sets], pa.binary()), pa.array(signed(np.array([fingerprint(h) for h in sets], U64)))], [KEY, "digest", "fp"])
 
     each = cut(rows.select(KEY, text_col).mapInArrow(digests, f"`{KEY}` long, digest binary, fp long"), "digests")
     nodes = cut(each.groupBy("digest").agg(F.min(KEY).alias("id"), F.min("fp").alias("fp")), "nodes")
-    texts_ = cut(rows.select(KEY, text_col).join(nodes.select(F.col("id").alias(KEY)), KEY, "left_semi"), "texts")
+    texts_ = rows.select(KEY, text_col).join(nodes.select(F.col("id").alias(KEY)), KEY, "left_semi")
     last = _crowded(texts_, shingle, max(CROWD, nodes.count() // 5_000), text_col)  # so that the list is bounded
     tokens = cut(_prefixes(texts_, shingle, similarity, last, text_col), "prefixes")
     met = tokens.groupBy("token").count().where("count > 1").select("token")
@@ -425,20 +467,27 @@ def similar_groups(rows: DataFrame, shingle: int, similarity: float, text_col: s
     lead = tokens.groupBy("token").agg(F.min(F.struct("rare", "id", "size", "pos")).alias("lead"))
     pairs = tokens.join(lead, "token").where(F.col("id") != F.col("lead.id")).where(_may("size", "pos", "lead.size", "lead.pos", similarity))
     pairs = pairs.select("id", "lead.id").union(links(nodes.select("id", "fp"), radius)).toDF("a", "b")
-    good = cut(_alike(_once(pairs), texts_, shingle, similarity, text_col), "alike")
+    good = cut(_alike(_once(pairs, tokens, similarity), texts_, shingle, similarity, text_col), "alike")
     label = cut(components(good), "labels")
     named = tokens.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component", "rare")
     left = cut(_open(_open(named, similarity), similarity), "labelled")
     pairs = _pairs_by_token(left, similarity)
-    more = cut(_alike(_once(pairs), texts_, shingle, similarity, text_col), "alike")
+    more = cut(_alike(_once(pairs, tokens, similarity), texts_, shingle, similarity, text_col), "alike")
     label = components(good.union(more))
     named = nodes.join(label.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     return each.join(named, "digest").select(KEY, "component")
 
 
-def _once(pairs: DataFrame) -> DataFrame:
-    """Each pair of ``pairs(a, b)`` once, written."""
-    return cut(pairs.where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct(), "pairs")
+def _once(pairs: DataFrame, tokens: DataFrame, similarity: float) -> DataFrame:
+    """``(src, dst)``: of ``pairs(a, b)`` each one once whose prefixes have enough in common, written.
+
+    Of the set whose prefix ends first in the order, all that the other one shares is in both prefixes or behind.
+    """
+    each = cut(pairs.where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct(), "pairs")
+    one, two = (tokens.select(F.col("id").alias(c), "token", F.col("size").alias(f"{c}_size")) for c in ("src", "dst"))
+    both = each.join(one, "src").join(two, ["dst", "token"]).groupBy("src", "dst").agg(F.count("*").alias("n"), F.first("src_size").alias("x"), F.first("dst_size").alias("y"))
+    rest = F.greatest(*[F.ceil(F.col(c) * similarity - 1e-6) - 1 for c in ("x", "y")])
+    return cut(both.where((F.col("n") + rest) * (1 + similarity) >= similarity * (F.col("x") + F.col("y")) - 1e-6).select("src", "dst"), "plausible")
 
 
 def _open(named: DataFrame, similarity: float) -> DataFrame:
