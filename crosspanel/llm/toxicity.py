@@ -2,11 +2,13 @@
 
 A logistic model over the words of a text and their beginnings.  In labelled sentences identity terms are swapped
 for other terms of their kind, and the squared change of the score is penalised, so that a neutral mention of a
-group is not taken for toxicity.  The model is fitted on a bounded sample (``labelled.SAMPLE``) and applied to
-every whole text; labels, language, source and id are not inputs.
+group is not taken for toxicity.  A labelled text without identity terms has one put into a sentence of its own and
+swapped there: such a term shares its beginnings with words that the labels tell something about.  The model is
+fitted on a bounded sample (``labelled.SAMPLE``) and applied to every whole text; labels, language, source and id are
+not inputs.
 
 Null and empty texts get the score of a text without any known word; without labels every score is the prior
-0.5; repeated rows get equal scores; an empty table gives an empty result.
+0.5; repeated rows get equal scores; an empty table gives an empty result.  A very long text is one set of words.
 """
 
 from __future__ import annotations
@@ -48,6 +50,7 @@ PREFIXES = (3, 4, 5, 6, 7)
 #: Words whose columns a task remembers.
 KEPT = 300_000
 _SWAP = {a: b for line in IDENTITIES for a, b in zip(line.split(), line.split()[1:] + line.split()[:1], strict=True)}
+_TERMS = sorted(_SWAP)
 _WORD, _SENTENCE = re.compile(r"[^\W\d_]+"), re.compile(r"[^.!?\n]+")
 
 
@@ -64,12 +67,21 @@ def words_of(text: str | None) -> set[str]:
 
 
 def swapped(text: str | None) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Features of each sentence that has identity terms, before and after the swap."""
-    found = []
+    """Features of each sentence that has identity terms, before and after the swap.
+
+    Without any, of the text's sentence of the least hash, into which that hash puts a term.
+    """
+    found, plain = [], []
     for sentence in _SENTENCE.findall((text or "").lower()):
         words = set(_WORD.findall(sentence))
         if not words.isdisjoint(_SWAP):
             found.append((features(words), features({_SWAP.get(w, w) for w in words})))
+        elif words:
+            plain.append((zlib.crc32(sentence.encode("utf-8", "surrogatepass")), sorted(words)))
+    if plain and not found:
+        at, words = min(plain)
+        term = _TERMS[at % len(_TERMS)]
+        found.append((features({*words, term}), features({*words, _SWAP[term]})))
     return found
 
 
@@ -101,7 +113,7 @@ class Model:
         return found
 
 
-def fit(rows: DataFrame) -> Model:
+def fit(rows: DataFrame, penalty: float = PENALTY) -> Model:
     """A model from ``rows(text, label)``, which are a bounded sample; features are made by the tasks."""
 
     def run(batches):
@@ -153,7 +165,7 @@ def fit(rows: DataFrame) -> Model:
         p = 1 / (1 + np.exp(-(x @ w)))
         g = x.T @ (p - y).astype(np.float32) / len(y) + ridge * w
         if len(change):
-            g += 2 * PENALTY * change.T @ (change @ w) / len(change)
+            g += 2 * penalty * change.T @ (change @ w) / len(change)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return Model(index, w[:-1] if len(chosen) else np.zeros(1), float(w[-1]))
