@@ -8,14 +8,16 @@ words don't hide a passage.  Such a stretch of ``LEAST`` words, or of the whole
 The masks lose nothing: any stretch of ``LEAST`` or more words that agrees enough has one of ``MASKS`` where all
 words are equal, and a shorter item that agrees enough has one of its ``whole_masks``.
 
-Words are runs of letters, digits and other non-ASCII signs in lower case.  Items under five words have to be equal
-as a whole, since one substitution leaves them less than ``AGREE``.  Null and empty texts have no
-words; repeated rows give repeated results; an empty table on either side gives an empty result.
+Words are runs of letters and digits in lower case; each sign of Chinese, Japanese and Korean scripts is a word.  Items
+under five words have to be equal as a whole, since one substitution leaves them less than ``AGREE``.  Null and empty
+texts have no words; repeated rows give repeated results; an empty table on either side gives an empty result.  Of the
+ways in which an item can lie on a very long text, only those with enough equal words are looked at one by one.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from itertools import combinations
 
 import numpy as np
@@ -34,11 +36,14 @@ MASKS = ("1101111", "110010001011", "110101011", "1110111")
 FILTER = 4_000_000
 
 _BLACK = np.array([c >= 0x80 or chr(c).isalnum() for c in range(256)])
+_SIGN = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af\uf900-\ufaff"
+_WORD = re.compile(f"[{_SIGN}]|[^\\W_{_SIGN}]+")
 
 
 def words_of(text: str | None) -> np.ndarray:
     """Hashes of a text's words."""
-    raw = (text or "").lower().encode("utf-8", "surrogatepass")
+    text = (text or "").lower()
+    raw = (text if text.isascii() else " ".join(_WORD.findall(text))).encode("utf-8", "surrogatepass")
     a = np.frombuffer(raw, np.uint8)
     edge = np.diff(np.concatenate([[0], _BLACK[a].astype(np.int8), [0]]))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -126,16 +131,33 @@ def overlap(a: np.ndarray, b: np.ndarray, diagonal: int) -> tuple[int, int, int]
     return best
 
 
+def best_overlap(v: np.ndarray, item: np.ndarray, diagonals: np.ndarray) -> tuple[int, int, int]:
+    """Length, equal words and first word (negative) of the longest stretch over the ascending ``diagonals``; zeros if none is a leak."""
+    least, best = min(LEAST, len(item)), (0, 0, 0)
+    padded = np.concatenate([np.zeros(len(item), U64), v, np.zeros(len(item), U64)])
+    for a in range(0, len(diagonals), 2_000):
+        part = diagonals[a : a + 2_000]
+        equal = (padded[part[:, None] + len(item) + np.arange(len(item))] == item).sum(1)
+        for d in part[equal >= AGREE * least - 1e-9].tolist():
+            n, start, same = overlap(v, item, d)
+            if n >= least:
+                best = max(best, (n, same, -start))
+            if best[:2] == (len(item), len(item)):  # nothing further on is better
+                return best
+    return best
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """``(id_col, item_id, start, length, equal)``: each document and item that overlap, with the best stretch."""
-    items = cut(benchmark.select(F.monotonically_increasing_id().alias("key"), F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text")), "items")
+    items = cut(benchmark.select(F.monotonically_increasing_id().alias("key"), F.col(item_col).alias("item_id"), F.col(item_text).alias("text")), "items")
 
     def counted(batches):
         for b in batches:
             v = [words_of(t.as_py()) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("item_id"), pa.array([len(x) for x in v], pa.int32()), pa.array([x.tobytes() for x in v], pa.binary())], ["key", "item_id", "n", "words"])
 
-    coded = cut(items.mapInArrow(counted, "key long, item_id long, n int, words binary").where("n > 0"), "items")
+    name = items.schema["item_id"].dataType.simpleString()
+    coded = cut(items.mapInArrow(counted, f"key long, item_id {name}, n int, words binary").where("n > 0"), "items")
     short = [r["n"] for r in coded.where(F.col("n") < LEAST).select("n").distinct().collect()]  # under LEAST numbers
     masks = _masks(short)
     index = cut(_seeds(items.join(coded.select("key"), "key", "left_semi").select("key", "text"), masks, None, True), "seeds")
@@ -147,9 +169,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         keep = np.zeros(1, U64)
     hits = _seeds(base.select("row_key", "text"), masks, keep, False)
     pairs = hits.join(index.select("mask", "hash", F.col("key").alias("item"), F.col("pos").alias("own")), ["mask", "hash"])
-    pairs = pairs.select(F.col("key").alias("row_key"), "item", (F.col("pos") - F.col("own")).alias("diagonal")).distinct()
+    pairs = pairs.select(F.col("key").alias("row_key"), "item", (F.col("pos") - F.col("own")).alias("diagonal"))
+    # at most one diagonal for each word of the text and the item
+    pairs = pairs.groupBy("row_key", "item").agg(F.array_sort(F.collect_set("diagonal")).alias("diagonals"))
     pairs = pairs.join(coded.withColumnRenamed("key", "item"), "item")
-    wanted = cut(pairs.groupBy("row_key").agg(F.collect_list(F.struct("item_id", "diagonal", "words")).alias("want")), "hits")
+    wanted = cut(pairs.groupBy("row_key").agg(F.collect_list(F.struct("item_id", "diagonals", "words")).alias("want")), "hits")
 
     def verified(batches):
         for b in batches:
@@ -157,16 +181,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
             for i, text, want in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), b.column("want").to_pylist(), strict=True):
                 v, best = words_of(text), {}
                 for w in want:
-                    item = np.frombuffer(w["words"], U64)
-                    n, start, equal = overlap(v, item, w["diagonal"])
-                    if n >= min(LEAST, len(item)) and (n, equal, -start) > best.get(w["item_id"], (0, 0, 0)):
-                        best[w["item_id"]] = (n, equal, -start)
+                    found = best_overlap(v, np.frombuffer(w["words"], U64), np.array(w["diagonals"]))
+                    if found > best.get(w["item_id"], (0, 0, 0)):
+                        best[w["item_id"]] = found
                 out += [(i, item, -start, n, equal) for item, (n, equal, start) in best.items()]
             cols = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (b.schema.field("id").type, pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], [id_col, "item_id", "start", "length", "equal"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (b.schema.field("id").type, b.schema.field("want").type.value_type.field("item_id").type, pa.int32(), pa.int32(), pa.int32()), strict=True)], [id_col, "item_id", "start", "length", "equal"])
 
     kind = base.schema["id"].dataType.simpleString()
-    return base.join(wanted.hint("shuffle_hash"), "row_key").select("id", "text", "want").mapInArrow(verified, f"`{id_col}` {kind}, item_id long, start int, length int, equal int")
+    return base.join(wanted.hint("shuffle_hash"), "row_key").select("id", "text", "want").mapInArrow(verified, f"`{id_col}` {kind}, item_id {name}, start int, length int, equal int")
 
 
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:
