@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crosspanel.llm import suffix
-from crosspanel.llm._shared import U64, Rolling, mix, signed, table
+from crosspanel.llm._shared import U64, Rolling, cut, mix, signed, table
 from crosspanel.llm.repeats import Kind, covered, keyed, repeated_windows
 
 #: Bytes of a stretch that counts as repeated, and of its anchors.
@@ -31,7 +31,7 @@ LONG, ANCHOR = 60, 20
 #: Share of a block that has to be covered for it to be boilerplate.
 MOSTLY = 0.5
 
-_RAW = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|noscript|template|svg|iframe|textarea|object|math|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+_RAW = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|noscript|template|svg|iframe|textarea|object|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>")
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -43,12 +43,14 @@ _UNWANTED = re.compile(
     r"(?:(?!no|has|with|without)[a-z0-9]+[-_])*(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|promo(?:tion)?|banner|sidebar|cookies?|consent|notices?|newsletter|subscribe|comments?|disqus|share|sharing|social|related|breadcrumbs?|menu|nav|navbar|navigation|footer|popup|modal|widget|contentinfo|complementary|search)(?:[-_][a-z0-9]+)*",
     re.I,
 )
+#: Names that mark such parts even inside an article, where words like "related" or "share" may be its own.
+_CLEAR = re.compile(r"ads?|adverts?|advertisements?|advertising|sponsored|sidebar|cookies?|consent|newsletter|subscribe|(?:reader[-_]|user[-_])?comments?(?:[-_](?:area|box|form|list|section|thread))?|disqus|(?:share|social)[-_](?:bar|buttons?|links?)|breadcrumbs?|navbar|navigation|popup|modal|contentinfo|complementary|search", re.I)
 
 
-def _unwanted(attributes: str) -> bool:
+def _unwanted(attributes: str, names: re.Pattern) -> bool:
     if "=" not in attributes:
         return False
-    return any(_UNWANTED.fullmatch(name) for m in _NAMES.finditer(attributes) for name in (m[1] or m[2] or m[3] or "").split())
+    return any(names.fullmatch(name) for m in _NAMES.finditer(attributes) for name in (m[1] or m[2] or m[3] or "").split())
 
 
 def blocks_of(page: str | None) -> tuple[list[str], bool]:
@@ -92,7 +94,7 @@ def blocks_of(page: str | None) -> tuple[list[str], bool]:
                 skip, region = (stack[-1][1], stack[-1][2]) if stack else (False, "")
             if m[3].endswith("/"):
                 continue
-            drop = skip or tag in _DROP or (tag == "header" and region == "") or (tag not in ("article", "main", "body", "html") and _unwanted(m[3]))
+            drop = skip or tag in _DROP or (tag == "header" and region == "") or (tag not in ("main", "body", "html") and _unwanted(m[3], _CLEAR if "article" in (tag, region) else _UNWANTED))
             if tag in ("article", "main") and not drop and region != "article":
                 region = tag
                 seen.add(tag)
@@ -173,7 +175,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names[:4]], pa.array([x for x, _ in made], pa.list_(pa.string())), pa.array([s for _, s in made], pa.bool_())], names)
 
     types = {c: base.schema[c].dataType.simpleString() for c in ("id", "url")}
-    parsed = base.mapInArrow(parse, f"id {types['id']}, url {types['url']}, host string, row_key long, blocks array<string>, settled boolean")
+    parsed = cut(base.mapInArrow(parse, f"id {types['id']}, url {types['url']}, host string, row_key long, blocks array<string>, settled boolean"), "parsed")
     joined = F.array_join("blocks", "\n\n")
     clear = parsed.where("settled").select("id", "url", joined.alias("text"))
     # pages of equal content are one: a page doesn't make its own text boilerplate
