@@ -15,9 +15,11 @@ BASE = 0x9E3779B97F4A7C15
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one is made where none is set (tests, one machine)."""
+    """The folder of ``spark.checkpoint.dir``; one is made where none is set and all runs on one machine (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="crosspanel-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder

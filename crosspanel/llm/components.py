@@ -13,7 +13,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Self links and repeated links are fine; an empty table gives an empty result.  Each round is two joins on
     a node with its smallest neighbour, so no neighbourhood is ever gathered in one place, and ends in a
-    written table.
+    written table.  Rounds grow with the logarithm of the longest chain; ``rounds`` of them without an end are an error.
     """
     now = cut(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "edges")
     before = None
@@ -28,5 +28,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         now = cut(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
+    else:
+        raise RuntimeError(f"components are not finished after {rounds} rounds")
     centres = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(centres)

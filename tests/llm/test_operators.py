@@ -269,6 +269,32 @@ def test_decontaminate_substituted(spark):
     assert got == {(10 * k + start, k) for k in range(len(items)) for start in range(5)}
 
 
+def test_decontaminate_scripts_and_long_texts(spark):
+    items = [("a", "今日は天気がとても良いので散歩に行きました"), ("b", "the old — and rather grey — mill stood by the river for two hundred years"), ("c", "go " * 20 + "stop")]
+    texts = [(1, "彼は言った今日は天気がとても良いので散歩に行きました。"), (2, "See: the old and rather grey mill stood by the river for two hundred years!"), (3, "go " * 20_000), (4, "今日は雨")]
+    bench, docs = spark.createDataFrame(items, "item_id string, text string"), spark.createDataFrame(texts, "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench).collect()} == {(1, "a"), (2, "b"), (3, "c")}
+
+
+def test_decontaminate_recall(spark):
+    """Items laid into texts with up to a fifth of their words replaced, against a comparison at every place."""
+    rng = random.Random(12)
+    items = [[f"v{rng.randrange(3000)}" for _ in range(rng.randrange(13, 31))] for _ in range(24)]
+    rows = []
+    for k, item in enumerate(items):
+        gone = set(rng.sample(range(len(item)), rng.randrange(len(item) // 5 + 1)))
+        rows.append((k, " ".join([f"v{rng.randrange(3000)}" for _ in range(30)] + [f"s{i}" if i in gone else w for i, w in enumerate(item)] + [f"v{rng.randrange(3000)}" for _ in range(30)])))
+    want = set()
+    for i, text in rows:
+        v = decontaminate.words_of(text)
+        for k, item in enumerate(items):
+            b = decontaminate.words_of(" ".join(item))
+            if max(decontaminate.overlap(v, b, d)[0] for d in range(-len(b), len(v))) >= min(decontaminate.LEAST, len(b)):
+                want.add((i, k))
+    bench, docs = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string"), spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench).collect()} == want and len(want) >= 24
+
+
 # ---- 4 and 9
 
 
@@ -292,6 +318,13 @@ def test_toxicity(spark, docs, nothing):
     assert np.mean([(got[i] >= 0.5) == y[i] for i in got]) > 0.95
     a, b = ({r["doc_id"]: r["score"] for r in toxicity.scored(spark.createDataFrame([(0, f"{who} went home")], "doc_id long, text string"), model).collect()}[0] for who in ("women", "men"))
     assert abs(a - b) < 0.1
+    assert all(len(toxicity.swapped(t)) == 1 for t in ("plain words here.", "Two. Sentences")) and not toxicity.swapped("123. !")
+    free, tied = (toxicity.fit(rows, p) for p in (0.0, 5.0))
+
+    def change(m):
+        return sum(abs(np.subtract(*m.scores([a, b], {}))) for a, b in zip(toxicity._TERMS, map(toxicity._SWAP.get, toxicity._TERMS), strict=True))
+
+    assert change(tied) < change(free)  # the penalty does something
     assert toxicity.scored(docs, model).where("score is null or score < 0 or score > 1").count() == 0
     assert toxicity.scored(docs, model).count() == docs.count() and toxicity.scored(nothing, model).count() == 0
     assert toxicity.fit(rows.where("false")).scores(["x"], {}) == [0.5]
@@ -325,6 +358,14 @@ def test_html_with_markup(spark):
     assert html.main_text(pages.where("false")).count() == 0
 
 
+def test_html_inside_articles(spark):
+    inner = "<article><section class='related-work'><p>Others</p></section><div class='share-price'><p>12 euros</p></div><p>x <math><mi>y</mi></math></p><div class='comment-list'><p>nice</p></div></article>"
+    comment = "<main><p>Body</p></main><section id='comments'><article class='comment'><p>first</p></article></section><article class='comment'><p>second</p></article>"
+    pages = spark.createDataFrame([page("a.org", 1, inner), page("a.org", 2, comment), (3, "u", "<article><p>open " + "long text " * 200_000)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.main_text(pages).collect()}
+    assert got[1] == "Others\n\n12 euros\n\nx y" and got[2] == "Body" and len(got[3]) == 5 + 10 * 200_000 - 1
+
+
 def test_html_by_host(spark):
     rng = random.Random(6)
     notice = "<div>" + sentence(rng, 30) + "</div>"
@@ -444,3 +485,16 @@ def test_neighbours(spark):
     assert hits >= 135
     assert neighbours.nearest(frame.where("false"), frame.where("false")).count() == 0
     assert neighbours.nearest(frame.where("vec_id < 4"), frame.where("vec_id = 0")).count() == 3
+    twice = neighbours.nearest(frame.union(frame), frame.where("vec_id % 100 = 0").union(frame.where("vec_id = 0"))).collect()
+    assert sorted(map(tuple, twice)) == sorted(map(tuple, got))
+
+
+def test_neighbour_probes_lose_no_row():
+    rng = np.random.default_rng(5)
+    c = rng.integers(0, 2**64, 400, np.uint64)
+    c[200:] = c[:200] ^ np.array([sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 30), replace=False)) for _ in range(200)], np.uint64)
+    index = neighbours.Index(np.arange(400), np.zeros((400, 1)), c, 64)
+    for radius in (0, 2, 3, 9, 20, 33):
+        assert sum(t + 1 for t in neighbours.thresholds(radius, neighbours.PARTS)) == radius + 1
+        for q in c[:40]:
+            assert index.within(q, radius).tolist() == np.flatnonzero(np.bitwise_count(c ^ q) <= radius).tolist()
