@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crosspanel.functions.stats import EPS, cross_section, zscore
 from crosspanel.operators.evaluate import calendar, forward_return, ic, ir_summary
+from crosspanel.operators.features import walk_forward
+from crosspanel.sources.shared import written
 
 #: Names that mark a factor as made by a model rather than from prices.
 MODEL_NAMES = ("gru", "transformer", "lightgbm", "svm", "rf")
@@ -64,6 +67,15 @@ def select_factors(scored: DataFrame, corr: DataFrame, least: int, most: int, le
     return kept[:most]
 
 
+def select_by_category(scored: DataFrame, corr: DataFrame, categories: dict[str, str], each: int = 2, least_ic: float = 0.02, close: float = 0.7) -> DataFrame:
+    """``(category, rank, factor, score)``: the best ``each`` factors of every category; names without one are "other"."""
+    kind = F.create_map(*[F.lit(x) for pair in categories.items() for x in pair]) if categories else F.lit(None)
+    named = scored.withColumn("category", F.coalesce(F.try_element_at(kind, F.col("factor")) if categories else F.lit(None).cast("string"), F.lit("other")))
+    good = select_factors(named, corr, 1, 10**6, least_ic, close)
+    rank = F.row_number().over(Window.partitionBy("category").orderBy(F.col("score").desc(), "factor"))
+    return named.where(F.col("factor").isin(good)).withColumn("rank", rank).where(F.col("rank") <= each).select("category", "rank", "factor", "score")
+
+
 def model1_signal(panel: DataFrame, directions: dict[str, int]) -> DataFrame:
     """``(stock, dt, value)``: mean score of the chosen factors, negative ones turned, for rows that have at least 0.3 of them."""
     names = sorted(directions)
@@ -88,17 +100,23 @@ def _by_date(panel: DataFrame, shares: tuple[float, float]) -> tuple[DataFrame,
     return tuple(panel.join(F.broadcast(part.where((F.col("x") >= a) & (F.col("x") < b)).select("dt")), "dt", "left_semi") for a, b in ((0.0, shares[0]), (shares[0], shares[1])))
 
 
-def boosted_signal(panel: DataFrame, factors: list[str], iterations: int = 20, depth: int = 4) -> DataFrame:
-    """``(stock, dt, value)``: boosted trees fitted on the first 60 % of dates, the next 20 % deciding when to stop."""
-    rows = training_panel(panel, factors)
+def boosted_signal(panel: DataFrame, factors: list[str], iterations: int = 200, depth: int = 6) -> DataFrame:
+    """``(stock, dt, value)``: boosted trees.
+
+    Fitted on the first 60 % of dates, the next 20 % deciding after how many trees to stop; then that many are fitted on both.
+    """
+    rows = written(training_panel(panel, factors), "training")
     train, valid = _by_date(rows, (0.6, 0.8))
     both = train.withColumn("is_valid", F.lit(False)).unionByName(valid.withColumn("is_valid", F.lit(True)))
     put = VectorAssembler(inputCols=factors, outputCol="features")
-    model = GBTRegressor(labelCol="fwd", maxIter=iterations, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, validationIndicatorCol="is_valid", seed=1).fit(put.transform(both))
+    ready = put.transform(both)
+    trees = GBTRegressor(labelCol="fwd", maxIter=iterations, maxDepth=depth, stepSize=0.05, subsamplingRate=0.8, seed=1)
+    best = trees.copy({trees.validationIndicatorCol: "is_valid"}).fit(ready).getNumTrees
+    model = trees.copy({trees.maxIter: max(1, best)}).fit(ready)
     return _predicted(panel, factors, put, model)
 
 
-def forest_signal(panel: DataFrame, factors: list[str], trees: int = 20, depth: int = 5) -> DataFrame:
+def forest_signal(panel: DataFrame, factors: list[str], trees: int = 100, depth: int = 10) -> DataFrame:
     """``(stock, dt, value)``: a random forest fitted on the first 80 % of dates."""
     train, _ = _by_date(training_panel(panel, factors), (0.8, 1.0))
     put = VectorAssembler(inputCols=factors, outputCol="features")
@@ -106,6 +124,44 @@ def forest_signal(panel: DataFrame, factors: list[str], trees: int = 20, depth:
     return _predicted(panel, factors, put, model)
 
 
+def sequence_signal(samples: DataFrame, returns: DataFrame, trees: int = 100, depth: int = 10) -> DataFrame:
+    """``(stock, dt, value)``: a random forest on all steps and fields of ``samples(stock, dt, x)`` side by side.
+
+    Fitted on the first 80 % of the samples' dates, predicted for all.
+    """
+    flat = samples.select("stock", "dt", array_to_vector(F.flatten("x")).alias("features"))
+    train, _ = _by_date(flat.join(forward_return(returns), ["stock", "dt"]), (0.8, 1.0))
+    model = RandomForestRegressor(labelCol="fwd", numTrees=trees, maxDepth=depth, seed=1).fit(train)
+    return model.transform(flat).select("stock", "dt", F.col("prediction").alias("value"))
+
+
+def final_signal(panel: DataFrame, factors: list[str], directions: dict[str, int]) -> DataFrame:
+    """``(stock, dt, value)``: from the panel to the mean of the three models over the rows that all have."""
+    return ensemble(model1_signal(panel, directions), forest_signal(panel, factors), boosted_signal(panel, factors))
+
+
+def walk_forward_signal(panel: DataFrame, factors: list[str], every: int = 12, trailing: int = 24, gap: int = 3) -> DataFrame:
+    """``(model, stock, dt, value)``: a linear model for every ``every``-th date, fitted on the trailing dates.
+
+    Returns are scaled within each date before fitting, and each date is predicted by the latest model up to it.  There
+    are as many fits as models: one for each stretch of ``every`` dates.
+    """
+    plan = written(walk_forward(panel, every, trailing, gap), "walk")
+    rows = training_panel(panel, factors)
+    scaled = written(rows.withColumn("fwd", F.coalesce(zscore("fwd", cross_section()), F.lit(0.0))), "scaled")
+    put = VectorAssembler(inputCols=factors, outputCol="features")
+    filled = panel.select("stock", "dt", *[F.coalesce(F.col(f), F.avg(f).over(cross_section()), F.lit(0.0)).alias(f) for f in factors])
+    ready, found = written(filled, "filled"), None
+    for r in plan.select("model").distinct().orderBy("model").collect():
+        own = plan.where(F.col("model") == F.lit(r["model"]))
+        train = scaled.join(F.broadcast(own.where("role = 'train'").select("dt")), "dt", "left_semi")
+        use = ready.join(F.broadcast(own.where("role = 'use'").select("dt")), "dt", "left_semi")
+        model = LinearRegression(labelCol="fwd", regParam=0.01, solver="normal").fit(put.transform(train))
+        part = model.transform(put.transform(use)).select(F.lit(r["model"]).alias("model"), "stock", "dt", F.col("prediction").alias("value"))
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
 def linear_signal(panel: DataFrame, factors: list[str], most: int = 10_000, strength: float = 0.01) -> DataFrame:
     """``(stock, dt, value)``: a robust (Huber) linear model, in the place of a support vector one.
 
@@ -130,6 +186,3 @@ def ensemble(*signals: DataFrame) -> DataFrame:
         whole = whole.join(s.select("stock", "dt", F.col("value").alias(f"v{k}")), ["stock", "dt"])
     return whole.select("stock", "dt", (sum((F.col(f"v{k}") for k in range(len(signals))), F.lit(0.0)) / len(signals)).alias("value"))
 
-
-def ranked(summary: DataFrame, column: str) -> DataFrame:
-    return summary.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.col(column).desc_nulls_last(), "factor")))

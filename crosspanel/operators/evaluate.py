@@ -153,7 +153,8 @@ def abs_retry(factors: DataFrame, returns: DataFrame, layers: int = 5, freq: int
     """``(factor, use_abs, direction)``: factors that aren't monotone but whose absolute values are, are used so."""
     both = factors.withColumn("kind", F.lit("plain")).unionByName(factors.withColumn("value", F.abs("value")).withColumn("kind", F.lit("abs")))
     tagged = both.select(F.concat_ws("|", "kind", "factor").alias("factor"), "stock", "dt", "value")
-    found = monotonicity(layer_nav(tagged, returns, layers, freq, fee)).select(F.split_part("factor", F.lit("|"), F.lit(1)).alias("kind"), F.split_part("factor", F.lit("|"), F.lit(2)).alias("factor"), "is_monotone", "direction")
+    kind, name = (F.regexp_extract("factor", r"(?s)^(plain|abs)\|(.*)$", k) for k in (1, 2))
+    found = monotonicity(layer_nav(tagged, returns, layers, freq, fee)).select(kind.alias("kind"), name.alias("factor"), "is_monotone", "direction")
     plain = found.where("kind = 'plain'").select("factor", F.col("is_monotone").alias("m"), F.col("direction").alias("d"))
     other = found.where("kind = 'abs'").select("factor", F.col("is_monotone").alias("ma"), F.col("direction").alias("da"))
     use = ~F.col("m") & F.col("ma")
@@ -171,6 +172,22 @@ def factor_corr(panel: DataFrame, names: list[str]) -> DataFrame:
     return row.select(F.inline(each))
 
 
+def signal_analysis(signals: DataFrame, returns: DataFrame, corr: DataFrame, others: int = 3, freq: int = 1, fee: float = 0.002) -> DataFrame:
+    """Per signal: coefficients of values and ranks, layers changed on each ``freq``-th date, and ``corr``, a map of its correlations with up to ``others`` more.
+
+    ``signals`` are tidy with ``signal``, ``corr`` is the result of ``factor_corr`` over them.
+    """
+    tidy = signals.withColumnRenamed("signal", "factor")
+    nav = written(layer_nav(tidy, returns, 5, freq, fee), "nav")
+    plain = ir_summary(ic(tidy, returns)).select("factor", "ic_mean", "ic_std", "ir", F.col("positive").alias("ic_win_rate"))
+    ranks = ir_summary(rank_ic(tidy, returns), "rank_ic").select("factor", "rank_ic_mean", F.col("ir").alias("rank_ir"))
+    both = corr.select("a", "b", "corr").unionByName(corr.select(F.col("b").alias("a"), F.col("a").alias("b"), "corr"))
+    near = both.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy("b"))).where(F.col("k") <= others)
+    near = near.groupBy(F.col("a").alias("factor")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("b", "corr")))).alias("corr"))
+    got = plain.join(ranks, "factor", "left").join(monotonicity(nav), "factor").join(long_short(nav), "factor").join(near, "factor", "left")
+    return got.withColumnRenamed("factor", "signal").withColumn("direction", F.coalesce("direction", F.lit("positive")))
+
+
 def high_corr_pairs(corr: DataFrame, least: float = 0.7) -> DataFrame:
     return corr.where(F.abs("corr") >= least)
 

@@ -14,11 +14,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crosspanel.functions.stats import EPS, cross_section, deviation, history, roll, trailing, zscore
+from crosspanel.operators.membership import filter_members
 
 #: Outputs of ``all_factors`` that need a stock's own history only.
 OWN = ("bias", "turnover_bias", "apb", "new_high_ratio", "id_vol", "id_vol_decorr", "turn20", "cgo", "rcgo", "sue")
 SHADOWS = tuple(f"{kind}_{side}_{stat}" for kind in ("candle", "williams") for side in ("above", "below") for stat in ("mean", "std"))
 
+TABLE = (*OWN, *SHADOWS, "ubl", "tcc", "scc", "arc", "vrc", "src", "krc")
+
 
 def bias(panel: DataFrame, n: int = 20) -> DataFrame:
     return panel.withColumn("bias", deviation("close_price", n))
@@ -176,6 +179,15 @@ def all_factors(panel: DataFrame, n: int = 20, long: int = 252) -> DataFrame:
     return ubl(tcc(df, long, min(long, 60)))
 
 
+def factor_table(panel: DataFrame, stints: DataFrame | None = None, n: int = 20, long: int = 252) -> DataFrame:
+    """All 25 factors as columns (``TABLE``), one row a stock and date; with ``stints`` NULL for dates outside them."""
+    whole = all_factors(panel, n, long).join(scc(panel, n), ["stock", "dt"], "left").join(relative_cost(panel, long), ["stock", "dt"], "left")
+    if stints is None:
+        return whole.select("stock", "dt", *TABLE)
+    inside = filter_members(panel.select("stock", "dt"), stints).distinct().withColumn("inside", F.lit(True))
+    return whole.join(inside, ["stock", "dt"], "left").select("stock", "dt", *[F.when(F.col("inside"), F.col(f)).alias(f) for f in TABLE])
+
+
 def tidy(panel: DataFrame, *factors: str) -> DataFrame:
     """``(factor, stock, dt, value)`` of factor columns."""
     return panel.select("stock", "dt", *factors).unpivot(["stock", "dt"], list(factors), "factor", "value")

@@ -62,7 +62,7 @@ def robust_scaled(samples: DataFrame, stats: DataFrame) -> DataFrame:
     """``x`` less the median, by the absolute deviation; ``stats`` has a row for each cell of a sequence."""
     cell = stats.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("s", "med", "mad"))).alias("c"))
     table = cell.agg(F.sort_array(F.collect_list(F.struct("k", "c"))).alias("t"))
-    scaled = F.zip_with("x", F.transform("t", lambda r: r["c"]), lambda row, c: F.zip_with(row, c, lambda v, p: ((v - p["med"]) / p["mad"]).cast("float")))
+    scaled = F.zip_with("x", F.transform("t", lambda r: r["c"]), lambda row, c: F.zip_with(row, c, lambda v, p: (v - p["med"]) / p["mad"]))
     return samples.join(F.broadcast(table)).withColumn("x", scaled).drop("t")
 
 

@@ -27,10 +27,13 @@ def gen_base(factors: DataFrame) -> DataFrame:
     return rows.select("factor", "dt", "stock", (1 / F.count(F.lit(1)).over(Window.partitionBy("factor", "dt"))).alias("weight"))
 
 
-def trading_state(panel: DataFrame, limit: float = 0.1) -> DataFrame:
-    """``(stock, dt, price, can_buy, can_sell)``: not without volume, not at the price limit of that side."""
+def trading_state(panel: DataFrame, limit: float = 0.1, price: str = "close_adj") -> DataFrame:
+    """``(stock, dt, price, can_buy, can_sell)``: not without volume, not at the price limit of that side.
+
+    ``price`` is the column that trades are priced by, such as ``close_adj`` or ``vwap``.
+    """
     traded, ret = F.coalesce(F.col("volume") > 0, F.lit(False)), F.coalesce("ret", F.lit(0.0))
-    return panel.select("stock", "dt", F.col("close_adj").alias("price"), (traded & (ret < limit)).alias("can_buy"), (traded & (ret > -limit)).alias("can_sell"))
+    return panel.select("stock", "dt", F.col(price).alias("price"), (traded & (ret < limit)).alias("can_buy"), (traded & (ret > -limit)).alias("can_sell"))
 
 
 def _filled(state: DataFrame, days: DataFrame) -> DataFrame:

@@ -119,10 +119,10 @@ def _(spark, d):
     return tables.membership(spark, d)
 
 
-@query("scan_prices_semi", PANEL, MEMBERS, f"SELECT stock, dt, close_price, volume FROM bar WHERE dt >= DATE '{EARLY}' AND dt <= DATE '{LATE}' AND EXISTS (SELECT 1 FROM stints s WHERE s.stock = bar.stock AND s.stock % 5 = 0)")
+@query("scan_prices_semi", PANEL, MEMBERS, f"SELECT stock, dt, close_price, volume FROM bar WHERE dt >= DATE '{EARLY}' AND dt <= DATE '{LATE}' AND EXISTS (SELECT 1 FROM stints s WHERE s.stock = bar.stock)")
 def _(spark, d):
-    wanted = tables.membership(spark, d).where("stock % 5 = 0").select("stock")
-    bars = tables.trade_bars(spark, d).where(F.col("dt").between(F.lit(EARLY).cast("date"), F.lit(LATE).cast("date")))
+    wanted = tables.membership(spark, d).select("stock")
+    bars = tables.trade_bars(spark, d, since=EARLY, until="2000-07-01")  # the whole month of LATE
     return bars.join(wanted, "stock", "left_semi").select("stock", "dt", "close_price", "volume")
 
 
@@ -136,18 +136,21 @@ def _(spark, d):
 ORACLES["like_semi"] = ORACLES["like_semi"].removeprefix("WITH \n")
 
 
-@query("long_to_wide", PANEL, "SELECT stock, " + ", ".join(f"MAX(CASE WHEN dt = DATE '1995-0{m}-01' THEN close_price END) AS m{m}" for m in (1, 2, 3)) + " FROM bar WHERE dt IN (DATE '1995-01-01', DATE '1995-02-01', DATE '1995-03-01') GROUP BY stock")
+#: The months of the given tables.
+CALENDAR = [f"{y}-{m:02d}-01" for y in range(1995, 2002) for m in range(1, 13)]
+WIDE = [f"m{day[:7].replace('-', '_')}" for day in CALENDAR]
+
+
+@query("long_to_wide", PANEL, "SELECT stock, " + ", ".join(f"MAX(CASE WHEN dt = DATE '{day}' THEN close_price END) AS {m}" for day, m in zip(CALENDAR, WIDE, strict=True)) + " FROM bar GROUP BY stock")
 def _(spark, d):
-    months = [f"1995-0{m}-01" for m in (1, 2, 3)]
-    bars = tables.trade_bars(spark, d).withColumn("dt", F.col("dt").cast("string")).where(F.col("dt").isin(*months))
-    return files.long_to_wide(bars, "close_price", months).toDF("stock", "m1", "m2", "m3")
+    bars = tables.trade_bars(spark, d).withColumn("dt", F.col("dt").cast("string"))
+    return files.long_to_wide(bars, "close_price", CALENDAR).toDF("stock", *WIDE)
 
 
-@query("wide_to_long", PANEL, "SELECT stock, dt, close_price AS value FROM bar WHERE dt IN (DATE '1995-01-01', DATE '1995-02-01', DATE '1995-03-01')")
+@query("wide_to_long", PANEL, "SELECT stock, dt, close_price AS value FROM bar WHERE close_price IS NOT NULL")
 def _(spark, d):
-    months = [f"1995-0{m}-01" for m in (1, 2, 3)]
-    bars = tables.trade_bars(spark, d).withColumn("dt", F.col("dt").cast("string")).where(F.col("dt").isin(*months))
-    return files.wide_to_long(files.long_to_wide(bars, "close_price", months))
+    bars = tables.trade_bars(spark, d).withColumn("dt", F.col("dt").cast("string"))
+    return files.wide_to_long(files.long_to_wide(bars, "close_price", CALENDAR))
 
 
 @query("factor_summary", PANEL, STUDY, "SELECT factor, COUNT(DISTINCT stock) AS n_stocks, COUNT(DISTINCT dt) AS n_dates, COUNT(value) AS n_values, ROUND(100 * (1 - COUNT(value) / CAST(COUNT(DISTINCT stock) * COUNT(DISTINCT dt) AS DOUBLE)), 6) AS missing_pct FROM tidy GROUP BY factor")
@@ -190,9 +193,9 @@ def _(spark, d):
     return membership.member_matrix(tables.membership(spark, d), tables.trade_bars(spark, d).select("dt"))
 
 
-@query("mask_nonmembers", PANEL, STUDY, MEMBERS, f"SELECT stock, dt, CASE WHEN EXISTS (SELECT 1 FROM stints m WHERE m.stock = tidy.stock AND {INSIDE('tidy.dt')}) THEN value END AS value FROM tidy WHERE factor = 'bias'")
+@query("mask_nonmembers", PANEL, STUDY, MEMBERS, f"SELECT factor, stock, dt, CASE WHEN EXISTS (SELECT 1 FROM stints m WHERE m.stock = tidy.stock AND {INSIDE('tidy.dt')}) THEN value END AS value FROM tidy")
 def _(spark, d):
-    return membership.mask_nonmembers(study(spark, d)[0].where("factor = 'bias'").select("stock", "dt", "value"), tables.membership(spark, d), "value")
+    return membership.mask_nonmembers(study(spark, d)[0], tables.membership(spark, d), "value")
 
 
 @query("universe", PANEL, MEMBERS, f"SELECT DISTINCT stock FROM stints WHERE in_date <= {D(LATE)}")
@@ -262,21 +265,53 @@ def _(spark, d):
     return rounded(factors.scc(tables.prices(spark, d)), "scc")
 
 
-N = 20
-COST = [
-    f"rc0 AS (SELECT stock, dt, close_adj, ROW_NUMBER() OVER (PARTITION BY stock ORDER BY dt) AS k, LIST(close_adj) OVER {sql.over(N)} AS p, LIST(turnover) OVER {sql.over(N)} AS t FROM rt)",
-    f"rc1 AS (SELECT stock, dt, close_adj, p, t, UNNEST(RANGE(1, {N + 1})) AS j FROM rc0 WHERE k > {N})",
-    f"rc2 AS (SELECT stock, dt, j, t[j] AS tj, SUM(t[j]) OVER (PARTITION BY stock, dt ORDER BY j) / j AS tm, CASE WHEN j = 1 THEN 0 ELSE close_adj / p[j - 1] - 1 END AS rr FROM rc1)",
-    f"rc3 AS (SELECT stock, dt, rr, tj * POWER(1 - tm, {N} - j) AS w FROM rc2)",
-    "rc4 AS (SELECT stock, dt, rr, w / SUM(w) OVER (PARTITION BY stock, dt) AS w FROM rc3)",
-    "rc5 AS (SELECT *, SUM(w * rr) OVER (PARTITION BY stock, dt) AS m FROM rc4)",
-    "rc6 AS (SELECT stock, dt, m AS arc, SUM(w * POWER(rr - m, 2)) AS vrc, SUM(w * POWER(rr - m, 3)) AS m3, SUM(w * POWER(rr - m, 4)) AS m4 FROM rc5 GROUP BY stock, dt, m)",
-]
+def _cost(n: int) -> list[str]:
+    return [
+        f"rc0 AS (SELECT stock, dt, close_adj, ROW_NUMBER() OVER (PARTITION BY stock ORDER BY dt) AS k, LIST(close_adj) OVER {sql.over(n)} AS p, LIST(turnover) OVER {sql.over(n)} AS t FROM rt)",
+        f"rc1 AS (SELECT stock, dt, close_adj, p, t, UNNEST(RANGE(1, {n + 1})) AS j FROM rc0 WHERE k > {n})",
+        "rc2 AS (SELECT stock, dt, j, t[j] AS tj, SUM(t[j]) OVER (PARTITION BY stock, dt ORDER BY j) / j AS tm, CASE WHEN j = 1 THEN 0 ELSE close_adj / p[j - 1] - 1 END AS rr FROM rc1)",
+        f"rc3 AS (SELECT stock, dt, rr, tj * POWER(1 - tm, {n} - j) AS w FROM rc2)",
+        "rc4 AS (SELECT stock, dt, rr, w / SUM(w) OVER (PARTITION BY stock, dt) AS w FROM rc3)",
+        "rc5 AS (SELECT *, SUM(w * rr) OVER (PARTITION BY stock, dt) AS m FROM rc4)",
+        "rc6 AS (SELECT stock, dt, m AS arc, SUM(w * POWER(rr - m, 2)) AS vrc, SUM(w * POWER(rr - m, 3)) AS m3, SUM(w * POWER(rr - m, 4)) AS m4 FROM rc5 GROUP BY stock, dt, m)",
+    ]
+
+
+MOMENTS = "ROUND(arc, 8) AS arc, ROUND(vrc, 8) AS vrc, ROUND(CASE WHEN vrc > 1e-8 THEN m3 / POWER(vrc, 1.5) ELSE 0 END, 6) AS src, ROUND(CASE WHEN vrc > 1e-8 THEN m4 / (vrc * vrc) - 3 ELSE 0 END, 6) AS krc"
+
+
+@query("relative_cost", PANEL, *_cost(20), f"SELECT stock, dt, {MOMENTS} FROM rc6")
+def _(spark, d):
+    return rounded(rounded(factors.relative_cost(tables.prices(spark, d), 20), "arc", "vrc"), "src", "krc", digits=6)
 
 
-@query("relative_cost", PANEL, *COST, "SELECT stock, dt, ROUND(arc, 8) AS arc, ROUND(vrc, 8) AS vrc, ROUND(CASE WHEN vrc > 1e-8 THEN m3 / POWER(vrc, 1.5) ELSE 0 END, 6) AS src, ROUND(CASE WHEN vrc > 1e-8 THEN m4 / (vrc * vrc) - 3 ELSE 0 END, 6) AS krc FROM rc6")
+@query("relative_cost_year", WEEK, *_cost(252), f"SELECT stock, dt, {MOMENTS} FROM rc6")
 def _(spark, d):
-    return rounded(rounded(factors.relative_cost(tables.prices(spark, d), N), "arc", "vrc"), "src", "krc", digits=6)
+    return rounded(rounded(factors.relative_cost(tables.prices(spark, d, "week")), "arc", "vrc"), "src", "krc", digits=6)
+
+
+TABLE = [
+    WEEK, MEMBERS, STUDY, *UBL, *TCC, *SCC, *_cost(252),
+    f"t1 AS (SELECT stock, dt, {CGO} AS cgo FROM rt)",
+    f"t2 AS (SELECT stock, dt, 1 / ({sql.roll('AVG', 'z2', 252, 60)} + 1e-8) AS tcc FROM zx)",
+    "t3 AS (SELECT stock, dt, " + ", ".join(f"{sql.roll(agg, c, 20)} AS {kind}_{side}_{stat}" for kind, side, c in (("candle", "above", "cu"), ("candle", "below", "cl"), ("williams", "above", "wu"), ("williams", "below", "wl")) for stat, agg in (("mean", "AVG"), ("std", "STDDEV_SAMP"))) + " FROM sh1)",
+    "t4 AS (SELECT stock, dt, ((a - AVG(a) OVER (PARTITION BY dt)) / (STDDEV_SAMP(a) OVER (PARTITION BY dt) + 1e-8) + (b - AVG(b) OVER (PARTITION BY dt)) / (STDDEV_SAMP(b) OVER (PARTITION BY dt) + 1e-8)) / 2 AS ubl FROM ub1)",
+    "t5 AS (SELECT stock, dt, AVG(c) AS scc FROM sp JOIN sd0 ON sd0.i = sp.anchor GROUP BY stock, dt)",
+    f"t6 AS (SELECT stock, dt, {MOMENTS} FROM rc6)",
+    f"inside AS (SELECT DISTINCT bar.stock, bar.dt FROM bar JOIN stints m ON m.stock = bar.stock AND {INSIDE('bar.dt')})",
+]
+FROM_TABLE = {"id_vol_decorr": "ROUND(ft.id_vol, 8)", "cgo": "ROUND(t1.cgo, 8)", "rcgo": "ROUND(t1.cgo, 8)", "sue": "CAST(NULL AS DOUBLE)", **{f: f"ROUND(t6.{f}, {k})" for f, k in (("arc", 8), ("vrc", 8), ("src", 6), ("krc", 6))}}
+
+
+@query(
+    "factor_table", *TABLE,
+    "SELECT ft.stock, ft.dt, " + ", ".join(f"CASE WHEN inside.stock IS NOT NULL THEN {FROM_TABLE.get(f, f'ROUND({f}, 8)')} END AS {f}" for f in factors.TABLE)
+    + " FROM ft" + "".join(f" LEFT JOIN {t} ON {t}.stock = ft.stock AND {t}.dt = ft.dt" for t in ("t1", "t2", "t3", "t4", "t5", "t6", "inside")),
+)
+def _(spark, d):
+    panel = written(tables.prices(spark, d, "week"), "panel")
+    got = factors.factor_table(panel, tables.membership(spark, d))
+    return rounded(rounded(got, *[f for f in factors.TABLE if f not in ("sue", "src", "krc")]), "src", "krc", digits=6)
 
 
 ALL = [STUDY, *SHADOW, *UBL[2:], "al AS (SELECT ft.*, c.a, c.b FROM ft LEFT JOIN ub0 c ON c.stock = ft.stock AND c.dt = ft.dt)"]
@@ -384,6 +419,33 @@ def _(spark, d):
     return rounded(evaluate.top(evaluate.ir_summary(evaluate.ic(*study(spark, d))), "ir").select("factor", "ir"), "ir")
 
 
+RANK_IC = f"rks AS (SELECT factor, dt, COUNT(*) AS n, {sql.corr('a', 'b')} AS rank_ic FROM rr GROUP BY factor, dt HAVING COUNT(*) >= 10 AND {sql.corr('a', 'b')} IS NOT NULL)"
+RANK_IR = "rirs AS (SELECT factor, AVG(rank_ic) AS rank_ic_mean, STDDEV_SAMP(rank_ic) AS rank_ic_std, AVG(rank_ic) / (STDDEV_SAMP(rank_ic) + 1e-8) AS ir, AVG(CASE WHEN rank_ic > 0 THEN 1.0 ELSE 0.0 END) AS positive, SKEWNESS(rank_ic) AS skew, COUNT(rank_ic) AS n FROM rks GROUP BY factor)"
+
+
+@query("rank_ir_summary", PANEL, STUDY, sql.FORWARD, *RANKS, RANK_IC.replace(sql.corr("a", "b") + " AS", f"ROUND({sql.corr('a', 'b')}, 8) AS"), RANK_IR, sql.rounded("rank_ic_mean, rank_ic_std, ir, positive, skew", "rirs", "factor, n"))
+def _(spark, d):
+    return rounded(evaluate.ir_summary(rounded(evaluate.rank_ic(*study(spark, d)), "rank_ic"), "rank_ic"), "rank_ic_mean", "rank_ic_std", "ir", "positive", "skew")  # so that a zero is a zero
+
+
+@query("top5_ic", PANEL, STUDY, sql.FORWARD, sql.IC, "SELECT factor, ROUND(ic_mean, 8) AS ic_mean, ROUND(ic_std, 8) AS ic_std, ROUND(ir, 8) AS ir FROM irs WHERE ic_mean IS NOT NULL ORDER BY irs.ic_mean DESC, factor LIMIT 5")
+def _(spark, d):
+    known = evaluate.ir_summary(evaluate.ic(*study(spark, d))).where("ic_mean is not null")
+    return rounded(evaluate.top(known, "ic_mean").select("factor", "ic_mean", "ic_std", "ir"), "ic_mean", "ic_std", "ir")
+
+
+@query("top5_rank_ic", PANEL, STUDY, sql.FORWARD, *RANKS, RANK_IC, RANK_IR, "SELECT factor, ROUND(rank_ic_mean, 8) AS rank_ic_mean, ROUND(rank_ic_std, 8) AS rank_ic_std, ROUND(ir, 8) AS rank_ir FROM rirs WHERE rank_ic_mean IS NOT NULL ORDER BY rirs.rank_ic_mean DESC, factor LIMIT 5")
+def _(spark, d):
+    known = evaluate.ir_summary(evaluate.rank_ic(*study(spark, d)), "rank_ic").where("rank_ic_mean is not null").withColumnRenamed("ir", "rank_ir")
+    return rounded(evaluate.top(known, "rank_ic_mean").select("factor", "rank_ic_mean", "rank_ic_std", "rank_ir"), "rank_ic_mean", "rank_ic_std", "rank_ir")
+
+
+@query("top5_long_short", PANEL, STUDY, sql.layers(), sql.SPREAD, "SELECT factor, ROUND(total, 8) AS total, ROUND(annual, 8) AS annual, ROUND(sharpe, 8) AS sharpe FROM ls WHERE total IS NOT NULL ORDER BY ls.total DESC, factor LIMIT 5")
+def _(spark, d):
+    known = evaluate.long_short(evaluate.layer_nav(*study(spark, d))).where("total is not null")
+    return rounded(evaluate.top(known, "total").select("factor", "total", "annual", "sharpe"), "total", "annual", "sharpe")
+
+
 SUMMARY = [STUDY, sql.FORWARD, sql.IC, sql.layers(), sql.MONOTONE, sql.SPREAD]
 
 
@@ -405,14 +467,14 @@ def _(spark, d):
 
 # ---- features ---------------------------------------------------------------------------------------------------
 
-AGREE = "ag AS (SELECT t.dt, value AS x, fwd AS y FROM tidy t JOIN fwd ON fwd.stock = t.stock AND fwd.dt = t.dt WHERE factor = 'bias' AND value IS NOT NULL)"
+AGREE = "ag AS (SELECT factor, t.dt, value AS x, fwd AS y FROM tidy t JOIN fwd ON fwd.stock = t.stock AND fwd.dt = t.dt WHERE value IS NOT NULL)"
 
 
-@query("agreement", PANEL, STUDY, sql.FORWARD, AGREE, f"SELECT dt, COUNT(*) AS n, ROUND({sql.corr('x', 'y')}, 8) AS r, ROUND({sql.corr('x', 'y')} * (COUNT(*) - 1) / COUNT(*), 8) AS r_scaled, ROUND(2 * COVAR_POP(x, y) / NULLIF(VAR_POP(x) + VAR_POP(y) + POWER(AVG(x) - AVG(y), 2), 0), 8) AS ccc FROM ag GROUP BY dt")
+@query("agreement", PANEL, STUDY, sql.FORWARD, AGREE, f"SELECT factor, dt, COUNT(*) AS n, ROUND({sql.corr('x', 'y')}, 8) AS r, ROUND({sql.corr('x', 'y')} * (COUNT(*) - 1) / COUNT(*), 8) AS r_scaled, ROUND(2 * COVAR_POP(x, y) / NULLIF(VAR_POP(x) + VAR_POP(y) + POWER(AVG(x) - AVG(y), 2), 0), 8) AS ccc FROM ag GROUP BY factor, dt")
 def _(spark, d):
     tidy, returns = study(spark, d)
-    both = tidy.where("factor = 'bias'").join(evaluate.forward_return(returns), ["stock", "dt"])
-    return rounded(features.agreement(both, "value", "fwd", "dt"), "r", "r_scaled", "ccc")
+    both = tidy.join(evaluate.forward_return(returns), ["stock", "dt"])
+    return rounded(features.agreement(both, "value", "fwd", "factor", "dt"), "r", "r_scaled", "ccc")
 
 
 STANDARD = ["z0 AS (SELECT stock, dt, (ret - AVG(ret) OVER ()) / STDDEV_POP(ret) OVER () AS z FROM rt WHERE ret IS NOT NULL)"]
@@ -484,10 +546,19 @@ def _(spark, d):
     return rounded(features.robust_stats(features.sequences(tables.prices(spark, d))), "med", "mad")
 
 
-@query("robust_norm")
+FITTED = [
+    "fd AS (SELECT dt FROM (SELECT dt, ROW_NUMBER() OVER (ORDER BY dt) - 1 AS i, COUNT(*) OVER () AS n FROM (SELECT DISTINCT dt FROM sa) q) w WHERE i < FLOOR(n * CAST(0.8 AS DOUBLE)))",
+    "fm AS (SELECT k, s, MEDIAN(CAST(v AS DOUBLE)) AS med FROM sa WHERE dt IN (SELECT dt FROM fd) GROUP BY k, s)",
+    "fa AS (SELECT sa.k, sa.s, MAX(med) AS med, MEDIAN(ABS(CAST(v AS DOUBLE) - med)) + 1e-8 AS mad FROM sa JOIN fm ON fm.k = sa.k AND fm.s = sa.s WHERE dt IN (SELECT dt FROM fd) GROUP BY sa.k, sa.s)",
+]
+
+
+@query("robust_norm", PANEL, *CELLS, *FITTED, "SELECT stock, dt, sa.k, sa.s, ROUND((CAST(v AS DOUBLE) - med) / mad, 3) AS v FROM sa JOIN fa ON fa.k = sa.k AND fa.s = sa.s")
 def _(spark, d):
-    x = features.sequences(tables.prices(spark, d))
-    return features.robust_scaled(x, features.robust_stats(x))
+    x = written(features.sequences(tables.prices(spark, d)), "sequences")
+    train = x.join(F.broadcast(features.date_split(x).where("is_train").select("dt")), "dt", "left_semi")
+    scaled = features.robust_scaled(x, features.robust_stats(train))
+    return scaled.select("stock", "dt", F.posexplode("x").alias("k", "row")).select("stock", "dt", "k", F.posexplode("row").alias("s", "v")).withColumn("v", F.round(F.col("v"), 3))
 
 
 # ---- combination ------------------------------------------------------------------------------------------------
@@ -563,19 +634,45 @@ def _(spark, d):
     return combine.linear_signal(study_wide(spark, d), list(sql.FACTORS))
 
 
-@query("standard_scale", PANEL, STUDY, "sc0 AS (SELECT AVG(ROUND(bias, 8)) AS m, STDDEV_POP(ROUND(bias, 8)) AS s FROM ft WHERE dt < DATE '1998-01-01')", "SELECT stock, dt, ROUND((ROUND(bias, 8) - m) / CASE WHEN s > 0 THEN s ELSE 1 END, 6) AS bias FROM ft, sc0")
+EARLY_STATS = "sc0 AS (SELECT " + ", ".join(f"AVG(ROUND({f}, 8)) AS m_{f}, STDDEV_POP(ROUND({f}, 8)) AS s_{f}" for f in sql.FACTORS) + " FROM ft WHERE dt < DATE '1998-01-01')"
+
+
+@query("standard_scale", PANEL, STUDY, EARLY_STATS, "SELECT stock, dt, " + ", ".join(f"ROUND((ROUND({f}, 8) - m_{f}) / CASE WHEN s_{f} > 0 THEN s_{f} ELSE 1 END, 6) AS {f}" for f in sql.FACTORS) + " FROM ft, sc0")
 def _(spark, d):
-    rows = study_wide(spark, d).select("stock", "dt", "bias")
-    return rounded(combine.standard_scale(rows.where("dt < date'1998-01-01'"), rows, ["bias"]), "bias", digits=6)
+    rows = study_wide(spark, d).select("stock", "dt", *sql.FACTORS)
+    return rounded(combine.standard_scale(rows.where("dt < date'1998-01-01'"), rows, list(sql.FACTORS)), *sql.FACTORS, digits=6)
 
 
-@query("final_signal", PANEL, STUDY, *MODEL1, "SELECT m2.stock, m2.dt, ROUND((value + ROUND(turn20, 8) + ROUND(apb, 8)) / 3, 8) AS value FROM m2 JOIN ft ON ft.stock = m2.stock AND ft.dt = m2.dt")
+@query("ensemble_mean", PANEL, STUDY, *MODEL1, "SELECT m2.stock, m2.dt, ROUND((value + ROUND(turn20, 8) + ROUND(apb, 8)) / 3, 8) AS value FROM m2 JOIN ft ON ft.stock = m2.stock AND ft.dt = m2.dt")
 def _(spark, d):
     wide = study_wide(spark, d)
     others = [wide.select("stock", "dt", F.col(f).alias("value")) for f in ("turn20", "apb")]
     return rounded(combine.ensemble(combine.model1_signal(wide, TURNED), *others), "value")
 
 
+@query("final_signal")
+def _(spark, d):
+    return combine.final_signal(study_wide(spark, d), list(sql.FACTORS), TURNED)
+
+
+@query("ml_factor")
+def _(spark, d):
+    panel = written(tables.prices(spark, d), "panel")
+    return combine.sequence_signal(features.sequences(panel), panel.select("stock", "dt", "ret"))
+
+
+@query("walk_forward_signal")
+def _(spark, d):
+    return combine.walk_forward_signal(study_wide(spark, d), list(sql.FACTORS))
+
+
+@query("select_by_category")
+def _(spark, d):
+    kinds = {"bias": "price", "apb": "price", "new_high_ratio": "price", "id_vol": "risk", "turn20": "turnover", "turnover_bias": "turnover"}
+    corr = evaluate.factor_corr(study_wide(spark, d), list(sql.FACTORS))
+    return combine.select_by_category(combine.factor_score(_summary(spark, d)), corr, kinds, least_ic=0.0)
+
+
 # ---- backtest ---------------------------------------------------------------------------------------------------
 
 BACK = [PANEL, STUDY, sql.SIGNAL]
@@ -586,10 +683,22 @@ def _sweep(spark, d) -> DataFrame:
     return written(backtest.long_only(*signals(spark, d), backtest.PCTS, freq=5), "nav")
 
 
-@query("signal_analysis", PANEL, *SUMMARY, "SELECT irs.factor AS signal, ROUND(ic_mean, 8) AS ic_mean, ROUND(ir, 8) AS ir, COALESCE(direction, 'positive') AS direction, ROUND(total, 8) AS total FROM irs JOIN ls ON ls.factor = irs.factor JOIN mono ON mono.factor = irs.factor WHERE irs.factor IN ('bias', 'turn20', 'apb')")
+DAILY = ["sgf AS (SELECT * FROM tidy WHERE factor IN ('bias', 'turn20', 'apb'))", sql.layers("sgf", 1, 1, 0.002)]
+BETWEEN = ["fcr2 AS (SELECT a, b, corr FROM fcr UNION ALL SELECT b, a, corr FROM fcr)"]
+
+
+@query(
+    "signal_analysis", PANEL, STUDY, sql.FORWARD, sql.IC, *RANKS, RANK_IC, RANK_IR, *DAILY, sql.MONOTONE, sql.SPREAD, CORR, *BETWEEN,
+    "SELECT irs.factor AS signal, ROUND(irs.ic_mean, 8) AS ic_mean, ROUND(irs.ic_std, 8) AS ic_std, ROUND(irs.ir, 8) AS ir, ROUND(irs.positive, 8) AS ic_win_rate, ROUND(rank_ic_mean, 8) AS rank_ic_mean, ROUND(rirs.ir, 8) AS rank_ir, is_monotone, COALESCE(direction, 'positive') AS direction, ROUND(total, 8) AS total, ROUND(annual, 8) AS annual, ROUND(sharpe, 8) AS sharpe, "
+    + ", ".join(f"(SELECT ROUND(MAX(corr), 8) FROM fcr2 WHERE a = irs.factor AND b = '{f}') AS corr_{f}" for f in sql.SIGNALS)
+    + " FROM irs JOIN rirs ON rirs.factor = irs.factor JOIN ls ON ls.factor = irs.factor JOIN mono ON mono.factor = irs.factor",
+)
 def _(spark, d):
-    got = _summary(spark, d).where(F.col("factor").isin(*sql.SIGNALS))
-    return rounded(got.select(F.col("factor").alias("signal"), "ic_mean", "ir", F.coalesce("direction", F.lit("positive")).alias("direction"), "total"), "ic_mean", "ir", "total")
+    corr = evaluate.factor_corr(study_wide(spark, d), list(sql.SIGNALS))
+    got = evaluate.signal_analysis(*signals(spark, d), corr)
+    plain = ("ic_mean", "ic_std", "ir", "ic_win_rate", "rank_ic_mean", "rank_ir", "total", "annual", "sharpe")
+    near = [F.try_element_at("corr", F.lit(f)).alias(f"corr_{f}") for f in sql.SIGNALS]
+    return rounded(got.select("signal", *plain, "is_monotone", "direction", *near), *plain, *[f"corr_{f}" for f in sql.SIGNALS])
 
 
 @query("top_pct_select", *BACK, sql.rounded("weight", f"({sql.TOP}) q2", "signal, pct, dt, stock"))
@@ -674,24 +783,35 @@ def _(spark, d):
     return backtest.optimal_pct(backtest.metrics(_sweep(spark, d), "signal", "pct"))
 
 
-@query("oos_backtest")
+LATER = [
+    sql.strategy(sql.TOP, freq=1),
+    "cutoff AS (SELECT FLOOR(COUNT(*) * CAST(0.8 AS DOUBLE)) AS c FROM sd)",
+    "trn AS (SELECT snav.* FROM snav JOIN sd ON sd.dt = snav.dt WHERE sd.i < (SELECT c FROM cutoff))",
+    sql.measures("trn"),
+    "best AS (SELECT signal, pct FROM (SELECT signal, pct, ROW_NUMBER() OVER (PARTITION BY signal ORDER BY ROUND(sharpe, 8) DESC, pct) AS o FROM met WHERE sharpe IS NOT NULL AND NOT ISNAN(sharpe)) q WHERE o = 1)",
+    "sg2 AS (SELECT sg.* FROM sg JOIN sd ON sd.dt = sg.dt WHERE sd.i >= (SELECT c FROM cutoff))",
+    sql.renamed(sql.strategy(f"SELECT q3.* FROM ({sql.TOP.replace('FROM sg,', 'FROM sg2,')}) q3 JOIN best ON best.signal = q3.signal AND best.pct = q3.pct", freq=1, source="sg2"), "2", "sd", "sel", "sw", "sn", "sc", "stn", "sh", "snav"),
+]
+
+
+@query("oos_backtest", *BACK, *LATER, sql.rounded("turnover, nav", "snav2", "signal, pct, dt"))
 def _(spark, d):
-    return backtest.out_of_sample(*signals(spark, d))
+    return rounded(backtest.out_of_sample(*signals(spark, d)), "turnover", "nav")
 
 
 # ---- older conventions ------------------------------------------------------------------------------------------
 
-BIAS = "lg AS (SELECT factor, stock, dt, CASE WHEN value <> 0 THEN value END AS value FROM tidy WHERE factor = 'bias')"
+NONZERO = "lg AS (SELECT factor, stock, dt, CASE WHEN value <> 0 THEN value END AS value FROM tidy)"
 
 
-@query("legacy_layers", PANEL, STUDY, BIAS, sql.layers("lg", 5, 1), "SELECT factor, CAST(i AS INTEGER) AS i, layer, stock, ROUND(weight, 8) AS weight FROM lw")
+@query("legacy_layers", PANEL, STUDY, NONZERO, sql.layers("lg", 5, 1), "SELECT factor, CAST(i AS INTEGER) AS i, layer, stock, ROUND(weight, 8) AS weight FROM lw")
 def _(spark, d):
-    return rounded(legacy.gen_layers(study(spark, d)[0].where("factor = 'bias'"), freq=5), "weight")
+    return rounded(legacy.gen_layers(study(spark, d)[0], freq=5), "weight")
 
 
-@query("legacy_base", PANEL, STUDY, "SELECT factor, dt, stock, ROUND(CAST(1 AS DOUBLE) / COUNT(*) OVER (PARTITION BY factor, dt), 8) AS weight FROM tidy WHERE value IS NOT NULL AND factor = 'bias'")
+@query("legacy_base", PANEL, STUDY, "SELECT factor, dt, stock, ROUND(CAST(1 AS DOUBLE) / COUNT(*) OVER (PARTITION BY factor, dt), 8) AS weight FROM tidy WHERE value IS NOT NULL")
 def _(spark, d):
-    return rounded(legacy.gen_base(study(spark, d)[0].where("factor = 'bias'")), "weight")
+    return rounded(legacy.gen_base(study(spark, d)[0]), "weight")
 
 
 def _drift(spark, d) -> DataFrame:

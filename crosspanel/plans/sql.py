@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 FACTORS = ("bias", "apb", "id_vol", "turn20", "turnover_bias", "new_high_ratio")
 SIGNALS = ("bias", "turn20", "apb")
 
@@ -139,6 +141,11 @@ def measures(source: str = "snav", keys: str = "signal, pct", name: str = "met",
   FROM {name}_g g JOIN {name}_w w ON {on} AND w.o = 1)"""
 
 
+def renamed(text: str, suffix: str, *names: str) -> str:
+    """``text`` with ``suffix`` behind each of ``names``, so that it can stand beside the original."""
+    return re.sub(rf"\b({'|'.join(names)})\b(?!\()", rf"\g<1>{suffix}", text)
+
+
 def rounded(columns: str, source: str, plain: str = "", where: str = "") -> str:
     """A query of ``plain`` columns and of ``columns`` rounded to 8 places."""
     keep = f"{plain}, " if plain else ""

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PRICES = "stock_code string, trade_dt string, close_price double, open_price double, high_price double, low_price double, close_adj double, volume double, amount double, vwap double, adj_factor double"
@@ -53,6 +54,46 @@ def read_factors(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     return whole.select("factor", "stock", "dt", "value")
 
 
+def read_signals(spark: SparkSession, paths: dict[str, str]) -> tuple[DataFrame, list[str]]:
+    """``(signal, stock, dt, value)`` from a wide CSV for each signal, and the names whose file isn't there."""
+    found, missing = {}, []
+    for name, path in paths.items():
+        try:
+            spark.read.option("header", True).csv(path)
+            found[name] = path
+        except AnalysisException:
+            missing.append(name)
+    return read_factors(spark, found).withColumnRenamed("factor", "signal"), missing
+
+
+def column_with(columns: list[str], *parts: str) -> str | None:
+    """The first column whose name has one of ``parts``, whatever its case."""
+    return next((c for c in columns if any(p.upper() in c.upper() for p in parts)), None)
+
+
+def read_benchmark(spark: SparkSession, path: str) -> DataFrame | None:
+    """``(dt, market_return)`` of an index file whose columns are found by parts of their names.
+
+    Without a column of returns they are changes of a price column; None if there is no date or neither of both, so
+    that an equal-weight benchmark can take its place.
+    """
+    raw = spark.read.option("header", True).csv(path)
+    day = column_with(raw.columns, "DATE", "DT", "日期")
+    gain, price = column_with(raw.columns, "RETURN", "收益率"), column_with(raw.columns, "CLOSE", "PRICE", "INDEX")
+    if day is None or (gain is None and price is None):
+        return None
+    rows = raw.select(date_of(f"`{day}`").alias("dt"), F.col(f"`{gain or price}`").try_cast("double").alias("x")).where(F.col("dt").isNotNull())
+    if gain is None:  # one row a date: small whatever the number of stocks
+        rows = rows.withColumn("x", F.try_divide(F.col("x"), F.lag("x").over(Window.partitionBy(F.lit(1)).orderBy("dt"))) - 1)
+    return rows.where(F.col("x").isNotNull() & ~F.isnan("x")).select("dt", F.col("x").alias("market_return"))
+
+
+def read_membership(spark: SparkSession, path: str) -> DataFrame:
+    """``(stock, in_date, out_date)`` stints; those without a first date are left out."""
+    rows = read_csv(spark, path, MEMBERSHIP, ("in_date", "out_date"))
+    return rows.where(F.col("in_date").isNotNull()).select(F.col("stock_code").alias("stock"), "in_date", "out_date")
+
+
 def long_to_wide(panel: DataFrame, value: str, dates: list) -> DataFrame:
     """A column for each of ``dates``.  Raises (when run) if a stock has two rows of a date, which a pivot would hide."""
     one = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("duplicate stock and date"))).otherwise(F.first(value))

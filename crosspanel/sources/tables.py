@@ -28,10 +28,15 @@ def bars(trades: DataFrame, stock: str, dt, price, volume, amount, order: list[s
     )
 
 
-def trade_bars(spark: SparkSession, sf_dir: str, grain: str = "month") -> DataFrame:
-    """Bars of each supplier from its line items."""
+def trade_bars(spark: SparkSession, sf_dir: str, grain: str = "month", since: str | None = None, until: str | None = None) -> DataFrame:
+    """Bars of each supplier from its line items; of ship dates from ``since`` on and before ``until``, which reaches the scan."""
     dt = F.to_date(F.date_trunc(grain, F.to_date("l_shipdate")))
-    return bars(table(spark, sf_dir, "lineitem"), "l_suppkey", dt, F.col("l_extendedprice") / F.col("l_quantity"), F.col("l_quantity"), F.col("l_extendedprice"), ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey"])
+    items = table(spark, sf_dir, "lineitem")
+    if since:
+        items = items.where(F.col("l_shipdate") >= F.lit(since).cast("timestamp"))
+    if until:
+        items = items.where(F.col("l_shipdate") < F.lit(until).cast("timestamp"))
+    return bars(items, "l_suppkey", dt, F.col("l_extendedprice") / F.col("l_quantity"), F.col("l_quantity"), F.col("l_extendedprice"), ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey"])
 
 
 def event_bars(spark: SparkSession, sf_dir: str) -> DataFrame:

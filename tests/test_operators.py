@@ -234,3 +234,61 @@ def test_stream_gives_the_batch_bars_of_closed_windows(spark, tmp_path):
     batch = bars(events, "user_id", F.to_date("ts"), F.col("value"), F.lit(1.0), F.col("value"), ["ts", "event_id"])
     whole = {tuple(r) for r in batch.select("stock", "dt", "open_price", "high_price", "low_price", "close_price", "volume", "amount").collect()}
     assert got and got <= whole and {r for r in whole if r[1] < dt.date(2020, 1, 7)} <= got
+
+
+def test_loaders_by_parts_of_names(spark, tmp_path):
+    (tmp_path / "index.csv").write_text("Trade_Date,Market_Return\n20200101,0.01\n20200102,\n2020-01-03,-0.02\n")
+    (tmp_path / "level.csv").write_text("日期,index_close\n20200102,110\n20200101,100\n20200103,99\n")
+    (tmp_path / "other.csv").write_text("a,b\n1,2\n")
+    got = [(str(r["dt"]), r["market_return"]) for r in files.read_benchmark(spark, str(tmp_path / "index.csv")).orderBy("dt").collect()]
+    assert got == [("2020-01-01", 0.01), ("2020-01-03", -0.02)]
+    got = [(str(r["dt"]), round(r["market_return"], 12)) for r in files.read_benchmark(spark, str(tmp_path / "level.csv")).orderBy("dt").collect()]
+    assert got == [("2020-01-02", 0.1), ("2020-01-03", -0.1)]
+    assert files.read_benchmark(spark, str(tmp_path / "other.csv")) is None
+
+    (tmp_path / "s.csv").write_text(",20200101,20200102\nA,1.5,\nB,,2\n")
+    sig, missing = files.read_signals(spark, {"s": str(tmp_path / "s.csv"), "gone": str(tmp_path / "gone.csv")})
+    assert sorted((r["signal"], r["stock"], str(r["dt"]), r["value"]) for r in sig.collect()) == [("s", "A", "2020-01-01", 1.5), ("s", "B", "2020-01-02", 2.0)]
+    assert missing == ["gone"]
+
+    (tmp_path / "m.csv").write_text("stock_code,in_date,out_date,cur_sign,short_code\nA,20200101,,1,a\nB,20200101,20200601,0,b\nC,,,0,c\n")
+    got = sorted((r["stock"], str(r["in_date"]), str(r["out_date"])) for r in files.read_membership(spark, str(tmp_path / "m.csv")).collect())
+    assert got == [("A", "2020-01-01", "None"), ("B", "2020-01-01", "2020-06-01")]
+
+
+def test_contracts_of_csv_tables(spark, tmp_path):
+    for name, schema, line in (
+        ("prices", files.PRICES, "A,20200101,1,2,3,4,5,6,7,8,9"),
+        ("value", files.MARKET_VALUE, "A,20200101,10,9"),
+        ("turnover", files.TURNOVER, "A,20200101,10"),
+        ("index", files.MARKET_INDEX, "20200101,10,0.1"),
+    ):
+        columns = [c.strip().split(" ")[0] for c in schema.split(",")]
+        (tmp_path / name).write_text(",".join(columns) + "\n" + line + "\n" + line.replace("20200101", "soon").replace("10", "NaN") + "\n")
+        got = files.read_csv(spark, str(tmp_path / name), schema)
+        assert got.columns == columns and got.count() == 2 and got.where("trade_dt = date'2020-01-01'").count() == 1
+
+
+def test_names_with_a_bar_keep_their_names(spark):
+    rows = [("a|b", s, DAYS[k], float((s * 7 + k) % 11)) for s in range(12) for k in range(20)]
+    tidy = panel(spark, rows, "factor string, stock long, dt date, value double")
+    returns = panel(spark, [(s, DAYS[k], 0.001 * ((s + k) % 5)) for s in range(12) for k in range(20)], "stock long, dt date, ret double")
+    assert [r["factor"] for r in evaluate.abs_retry(tidy, returns).collect()] == ["a|b"]
+    assert evaluate.signal_analysis(tidy.withColumnRenamed("factor", "signal"), returns, panel(spark, [("a|b", "c", 3, 0.5)], "a string, b string, n long, corr double")).first()["corr"] == {"c": 0.5}
+
+
+def test_trees_learn_a_plain_rule(spark):
+    rows = [(s, DAYS[k], float((s * 5 + k * 3) % 13), None if k == 0 else 0.01 * ((s * 5 + (k - 1) * 3) % 13)) for s in range(20) for k in range(40)]
+    p = panel(spark, rows, "stock long, dt date, x double, ret double")
+    for made in (combine.forest_signal(p, ["x"], 10, 5), combine.boosted_signal(p, ["x"], 40, 3), combine.walk_forward_signal(p, ["x"], 10, 12, 2)):
+        both = made.join(p.select("stock", "dt", "x"), ["stock", "dt"])
+        assert both.agg(F.corr("value", "x")).first()[0] > 0.9
+
+
+def test_date_range_reaches_the_scan(spark, tmp_path):
+    from crosspanel.sources.tables import trade_bars
+
+    rows = [(1, 1, 1, 1, dt.datetime(2020, m, 5), 2.0, 10.0) for m in range(1, 7)]
+    spark.createDataFrame(rows, "l_suppkey long, l_orderkey long, l_linenumber int, l_partkey long, l_shipdate timestamp, l_quantity double, l_extendedprice double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = trade_bars(spark, str(tmp_path), since="2020-02-01", until="2020-04-01")
+    assert got.count() == 2 and "PushedFilters: [IsNotNull(l_shipdate), GreaterThanOrEqual(l_shipdate" in got._jdf.queryExecution().toString()
