@@ -43,6 +43,8 @@ CROWD = 50
 BLOCK = 2_000
 #: Differing bits up to which fingerprints of sets make candidates of similar sets.
 RADIUS = 3
+#: Row keys (8 bytes each) up to which they are broadcast to the texts; more keys are joined by a shuffle.
+BROADCAST = 1_000_000
 #: Bits of a shingle by which it is counted.
 SHORT = 48
 #: Column of a row's own key.
@@ -434,11 +436,18 @@ def _alike(pairs: DataFrame, rows: DataFrame, shingle: int, similarity: float, t
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["src", "dst"]).filter(pa.array(good, pa.bool_()))
 
     named = pairs.select(F.col("src").alias(KEY)).union(pairs.select(F.col("dst").alias(KEY))).distinct()
-    held = cut(rows.select(KEY, text_col).join(named, KEY, "left_semi").mapInArrow(sets, "id long, hashes binary"), "sets")
+    held = cut(_of_keys(rows, cut(named, "named")).mapInArrow(sets, "id long, hashes binary"), "sets")
     both = pairs.join(held.select(F.col("id").alias("src"), F.col("hashes").alias("x")), "src").join(held.select(F.col("id").alias("dst"), F.col("hashes").alias("y")), "dst")
     return both.select("src", "dst", "x", "y").mapInArrow(run, "src long, dst long")
 
 
+def _of_keys(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` of the written table ``keys(KEY)``; where the keys are too many to broadcast, written after one shuffle."""
+    if keys.count() <= BROADCAST:
+        return rows.join(F.broadcast(keys), KEY, "left_semi")
+    return cut(rows.join(keys, KEY, "left_semi"), "texts")
+
+
 def similar_groups(rows: DataFrame, shingle: int, similarity: float, text_col: str, radius: int = RADIUS) -> DataFrame:
     """``(KEY, component)``: rows in one component have equal shingle sets or are joined by pairs of ``similarity``.
 
@@ -459,7 +468,7 @@ def similar_groups(rows: DataFrame, shingle: int, similarity: float, text_col: s
 
     each = cut(rows.select(KEY, text_col).mapInArrow(digests, f"`{KEY}` long, digest binary, fp long"), "digests")
     nodes = cut(each.groupBy("digest").agg(F.min(KEY).alias("id"), F.min("fp").alias("fp")), "nodes")
-    texts_ = rows.select(KEY, text_col).join(nodes.select(F.col("id").alias(KEY)), KEY, "left_semi")
+    texts_ = _of_keys(rows.select(KEY, text_col), nodes.select(F.col("id").alias(KEY)))
     last = _crowded(texts_, shingle, max(CROWD, nodes.count() // 5_000), text_col)  # so that the list is bounded
     tokens = cut(_prefixes(texts_, shingle, similarity, last, text_col), "prefixes")
     met = tokens.groupBy("token").count().where("count > 1").select("token")
@@ -528,7 +537,7 @@ def near_duplicates_dropped(docs: DataFrame, shingle: int = 5, similarity: float
     found = similar_groups(rows, shingle, similarity, text_col)
     first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(KEY)))
     kept = rows.select(KEY, id_col).join(found, KEY).groupBy("component").agg(first.alias("first")).select(f"first.{KEY}")
-    return rows.join(kept, KEY, "left_semi").select(*docs.columns)
+    return _of_keys(rows, cut(kept, "kept")).select(*docs.columns)
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
