@@ -2,7 +2,7 @@
 
 Pre-tokens are coded in blocks (``blocks.py``), each distinct word of the whole corpus is sent to one place and
 merged there once (by tiktoken), its ids go back to the blocks that have it, and each document is put together by position.
-Decoding joins the token-byte table, whose size is that of the vocabulary file.
+Decoding looks ids up in the token-byte table, whose size is that of the vocabulary file.
 
 Nulls and empty texts have no ids and decode to no bytes; null and repeated ids keep a row each; an empty
 table gives an empty result; other columns are left out.
@@ -120,15 +120,14 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = PATTERN, id_
 def decode(tokens: DataFrame, path: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """``(id_col, ids_col, decoded binary)``: the bytes of each row's tokens, from the token-byte table.
 
-    The table, of the vocabulary's bounded size, is one row of token bytes (as hexadecimal digits) by id, which is
-    broadcast and joined; a row for each token would send all tokens through a shuffle to be put in order again.  Ids
-    that the vocabulary hasn't got give no bytes.
+    The table, of the vocabulary's bounded size, is a constant of the plan: token bytes as hexadecimal digits, looked up
+    by id, joined and turned into bytes.  Ids that the vocabulary hasn't got give no bytes.
     """
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    known = {i: w for w, i in vocabulary(path).items()}
-    table = tokens.sparkSession.createDataFrame([([known.get(i, b"").hex() for i in range(max(known) + 1)],)], "digits array<string>")
-    decoded = F.unhex(F.array_join(F.transform(F.coalesce(ids_col, F.array().cast("array<int>")), lambda i: F.get("digits", i)), ""))
-    return tokens.select(id_col, ids_col).join(F.broadcast(table)).select(id_col, ids_col, decoded.alias("decoded"))
+    table = {i: w for w, i in vocabulary(path).items()}
+    digits = F.split(F.lit(",".join(table.get(i, b"").hex() for i in range(max(table) + 1))), ",")
+    decoded = F.unhex(F.array_join(F.transform(F.coalesce(ids_col, F.array().cast("array<int>")), lambda i: F.get(digits, i)), ""))
+    return tokens.select(id_col, ids_col, decoded.alias("decoded"))
 
 
 def op6_bpe(spark, sf_dir: str) -> DataFrame:
