@@ -7,8 +7,8 @@ The model is a bigram model with absolute discounting:
 
 Both sum to one over the known words, the end and the unknown word.  Its n-grams are dealt by context to shards,
 and each shard is one trie: contexts, monotone pointers into the level below, and their successors with the
-discounted probability in 8 bits.  All sequences are Elias-Fano coded in one flat buffer which is viewed in place,
-as a mapped file is.  A successor is searched relative to its context, within the range that the pointers give.
+discounted probability in 8 bits.  All sequences are Elias-Fano coded, in one memory map of the task, and are read
+and searched in that form.  A successor is searched relative to its context, within the range that the pointers give.
 
 A block is some megabytes of text that one task has read in a row; it sends each distinct pair of words once, with
 its count in training texts, and gets back the probability of each.  A context with more than ``2 / shards`` of all
@@ -23,6 +23,7 @@ empty result; other columns are left out.
 
 from __future__ import annotations
 
+import mmap
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,25 +40,31 @@ from crosspanel.llm.blocks import pack, planes, unpack, unplane
 DISCOUNT = 0.8
 #: Characters that end a block.
 BLOCK_CHARS = 6 << 20
+#: Bytes of text whose words' pairs make up a shard at most (more shuffle partitions make smaller shards).
+SHARD_BYTES = 64 << 20
 #: Bits of a word's hash by which it is known among the successors of a context; the end has the highest value.
 BITS = 40
 END = (1 << BITS) - 1
 
 
+#: Bits of a block of the high bits; ones are counted up to each block.
+DIRECTORY = 512
+_ONES = np.argsort(1 - np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little"), axis=1, kind="stable").astype(np.int64)
+
+
 class EliasFano:
     """An ascending sequence of unsigned numbers: low bits as they are, high bits as counts in unary.
 
-    ``data`` is one buffer of bytes: a header of 4 words, the low bits, the high bits.
+    ``data`` is one buffer of bytes: a header of 4 words, the low bits, the high bits, and the ones before each block
+    of high bits.  All of it stays as it is: numbers are read and searched in the coded form.
     """
 
     def __init__(self, data: np.ndarray):
-        self.data = data
-        self.n, self.low, self.buckets, self.at = (int(x) for x in data[:32].view("<u8"))
-        self.lows = data[32 : self.at]
-        ones = np.unpackbits(data[self.at :], bitorder="little")
-        # directory of the high bits: the first position of each bucket
-        ends = np.flatnonzero(ones[: self.n + self.buckets] == 0)[: self.buckets]
-        self.first = np.concatenate([[0], ends - np.arange(len(ends))])
+        self.n, self.low, self.buckets, at = (int(x) for x in data[:32].view("<u8"))
+        blocks = -(-(self.n + self.buckets) // DIRECTORY)
+        self.lows = data[32:at]
+        self.highs = data[at : at + blocks * DIRECTORY // 8].view("<u8").reshape(-1, DIRECTORY // 64)
+        self.before = data[at + blocks * DIRECTORY // 8 : at + blocks * (DIRECTORY // 8 + 8)].view("<u8").astype(np.int64, copy=False)
 
     @staticmethod
     def build(values: np.ndarray) -> np.ndarray:
@@ -72,10 +79,11 @@ class EliasFano:
             packed.append(np.packbits(bits.astype(np.uint8).ravel(), bitorder="little"))
         lows = np.concatenate([*packed, np.zeros(8, np.uint8)])
         lows = np.append(lows, np.zeros(-len(lows) % 8, np.uint8))
-        unary = np.zeros(n + buckets, np.uint8)
+        unary = np.zeros(-(-(n + buckets) // DIRECTORY) * DIRECTORY, np.uint8)
         unary[high + np.arange(n)] = 1
+        ones = unary.reshape(-1, DIRECTORY).sum(1, dtype=np.int64)
         head = np.array([n, low, buckets, 32 + len(lows)], "<u8").view(np.uint8)
-        return np.concatenate([head, lows, np.packbits(unary, bitorder="little")])
+        return np.concatenate([head, lows, np.packbits(unary, bitorder="little"), (np.cumsum(ones) - ones).astype("<u8").view(np.uint8)])
 
     def low_bits(self, i: np.ndarray) -> np.ndarray:
         bit = i * self.low
@@ -84,15 +92,47 @@ class EliasFano:
             out |= self.lows[at + k].astype(U64) << U64(8 * k)
         return (out >> (bit & 7).astype(U64)) & U64((1 << self.low) - 1)
 
-    def values(self) -> np.ndarray:
-        high = np.repeat(np.arange(self.buckets, dtype=U64), np.diff(self.first))
-        return (high << U64(self.low)) | self.low_bits(np.arange(self.n))
-
-    def search(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Position of the first number that isn't below each of ``q``, and where its bucket of high bits ends."""
+    def select(self, k: np.ndarray, ones: bool) -> np.ndarray:
+        """Positions of the ``k``-th ones (or zeros) of the high bits, from 0 on."""
+        before = self.before if ones else np.arange(len(self.before)) * DIRECTORY - self.before
+        out = np.empty(len(k), np.int64)
+        for a in range(0, len(k), 1 << 16):
+            rest = k[a : a + (1 << 16)]
+            row = np.arange(len(rest))
+            at = np.searchsorted(before, rest, side="right") - 1
+            rest = rest - before[at]
+            words = self.highs[at] if ones else ~self.highs[at]
+            for _ in range(2):  # the word in the block, then the byte in the word
+                count = np.cumsum(np.bitwise_count(words), 1, dtype=np.int64)
+                own = (count <= rest[:, None]).sum(1)
+                rest = rest - np.where(own > 0, count[row, np.maximum(own - 1, 0)], 0)
+                at, one = at * words.shape[1] + own, words[row, own]
+                words = one.view(np.uint8).reshape(-1, 8) if one.itemsize > 1 else one
+            out[a : a + (1 << 16)] = at * 8 + _ONES[one, rest]
+        return out
+
+    def get(self, i: np.ndarray) -> np.ndarray:
+        """The numbers at ``i``."""
+        high = (self.select(i, True) - i).astype(U64)
+        return (high << U64(self.low)) | self.low_bits(i)
+
+    def gaps(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers at ``i`` and what is added to them at ``i + 1``."""
+        at = self.get(i).astype(np.int64)
+        return at, self.get(i + 1).astype(np.int64) - at
+
+    def start(self, bucket: np.ndarray) -> np.ndarray:
+        """Position of the first number of each bucket of equal high bits."""
+        out = np.zeros(len(bucket), np.int64)
+        some = np.flatnonzero(bucket > 0)
+        out[some] = self.select(bucket[some] - 1, False) - (bucket[some] - 1)
+        return out
+
+    def find(self, q: np.ndarray, begin: np.ndarray | int = 0, stop: np.ndarray | int | None = None) -> np.ndarray:
+        """Position of each of ``q`` within ``begin`` to ``stop``, -1 if it isn't there."""
         high = np.minimum(q >> U64(self.low), U64(self.buckets)).astype(np.int64)
-        first = np.append(self.first, self.n)
-        lo, end = first[high], first[high + 1]
+        lo = np.maximum(self.start(high), begin)
+        end = np.minimum(self.start(np.minimum(high + 1, self.buckets)), self.n if stop is None else stop)
         hi, want = end.copy(), q & U64((1 << self.low) - 1)
         todo = np.flatnonzero(lo < hi)
         while len(todo):
@@ -101,62 +141,67 @@ class EliasFano:
             lo[todo[below]] = mid[below] + 1
             hi[todo[~below]] = mid[~below]
             todo = todo[lo[todo] < hi[todo]]
-        return lo, end
-
-    def find(self, q: np.ndarray) -> np.ndarray:
-        """Position of each of ``q``, -1 if it isn't there."""
-        at, end = self.search(q)
         found = np.full(len(q), -1)
-        maybe = np.flatnonzero(at < end)
-        same = self.low_bits(at[maybe]) == (q[maybe] & U64((1 << self.low) - 1))
-        found[maybe[same]] = at[maybe[same]]
+        maybe = np.flatnonzero(lo < end)
+        same = self.low_bits(lo[maybe]) == want[maybe]
+        found[maybe[same]] = lo[maybe[same]]
         return found
 
 
 class Trie:
-    """Contexts and their successors in one flat buffer of levels, viewed in place."""
+    """Contexts and their successors in levels of one memory map, searched as they are.
+
+    Counts of contexts are kept as their running sums, which ascend like pointers.
+    """
 
-    def __init__(self, data: bytes | np.ndarray):
-        a = np.frombuffer(data, np.uint8) if isinstance(data, bytes) else data
+    def __init__(self, data: bytes | mmap.mmap):
+        a = np.frombuffer(data, np.uint8)
         ends = a[:40].view("<u8").astype(np.int64).tolist()
         self.floor = float(a[40:48].view("<f8")[0])
         part = [a[x:y] for x, y in zip([48, *ends], ends, strict=False)]
-        self.contexts, self.pointers, self.successors = (EliasFano(p) for p in part[:3])
-        self.count, self.code = part[3].view("<u8"), part[4]
-        self.bounds = self.pointers.values().astype(np.int64)
-        self.kinds = np.diff(self.bounds)
+        self.contexts, self.pointers, self.sums, self.successors = (EliasFano(p) for p in part[:4])
+        self.code = part[4]
 
     @staticmethod
-    def build(contexts: np.ndarray, key: np.ndarray, count: np.ndarray, discount: float = DISCOUNT) -> np.ndarray:
-        """Of ascending contexts, and keys (context's place in the upper bits, successor in the ``BITS`` lower ones) with counts."""
+    def build(contexts: np.ndarray, key: np.ndarray, count: np.ndarray, discount: float = DISCOUNT) -> mmap.mmap:
+        """Of ascending contexts, and keys (context's place in the upper bits, successor in the ``BITS`` lower ones) with counts.
+
+        The map is anonymous: it belongs to the task and goes with it.
+        """
         of = (key >> U64(BITS)).astype(np.int64)
-        total = np.bincount(of, count, len(contexts)).astype("<u8")
+        total = np.bincount(of, count, len(contexts)).astype(np.int64)
         kinds = np.bincount(of, minlength=len(contexts))
         p = np.log10(np.maximum(count - discount, 1e-9) / np.maximum(total[of], 1))
         floor = min(float(p.min()) if len(p) else -1.0, -1e-6)
         code = (1 + np.rint(254 * (1 - p / floor))).astype(np.uint8)  # 1: floor, 255: certain
-        parts = [EliasFano.build(contexts), EliasFano.build(np.concatenate([[0], np.cumsum(kinds)]).astype(U64)), EliasFano.build(key), total.view(np.uint8), code]
-        parts = [np.append(x, np.zeros(-len(x) % 8, np.uint8)) for x in parts]
-        ends = 48 + np.cumsum([len(x) for x in parts])
-        return np.concatenate([ends.astype("<u8").view(np.uint8), np.array([floor], "<f8").view(np.uint8), *parts])
+        parts = [EliasFano.build(x) for x in (contexts, *(np.concatenate([[0], np.cumsum(n)]).astype(U64) for n in (kinds, total)), key)] + [code]
+        at = 48 + np.cumsum([0, *(len(x) + -len(x) % 8 for x in parts)])
+        out = mmap.mmap(-1, int(at[-1]))
+        out[:48] = at[1:].astype("<u8").tobytes() + np.array([floor], "<f8").tobytes()
+        for a, x in zip(at.tolist(), parts, strict=False):
+            out[a : a + len(x)] = x.tobytes()
+        return out
+
+    def counts(self, node: np.ndarray) -> np.ndarray:
+        """How often each context occurs in training texts."""
+        return self.sums.gaps(node)[1]
 
     def ask(self, contexts: np.ndarray, of: np.ndarray, successors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Count and number of successors of each context, and the code of each successor of ``contexts[of]`` (0: none)."""
-        node = self.contexts.find(contexts)
-        known = node >= 0
-        safe = np.where(known, node, 0)
-        if not self.contexts.n:
-            zero = np.zeros(len(contexts), np.int64)
-            return zero, zero, np.zeros(len(successors), np.uint8)
-        count, kinds = np.where(known, self.count[safe], 0).astype(np.int64), np.where(known, self.kinds[safe], 0)
+        count, kinds, begin = (np.zeros(len(contexts), np.int64) for _ in range(3))
         code = np.zeros(len(successors), np.uint8)
+        if not self.contexts.n:
+            return count, kinds, code
+        node = self.contexts.find(contexts)
+        known = np.flatnonzero(node >= 0)
+        begin[known], kinds[known] = self.pointers.gaps(node[known])
+        count[known] = self.counts(node[known])
         for a in range(0, len(of), 1 << 18):
             part = of[a : a + (1 << 18)]
             ask = np.flatnonzero(kinds[part] > 0)
-            own = safe[part[ask]]
-            at = self.successors.find((own.astype(U64) << U64(BITS)) | successors[a + ask])
-            hit = (at >= self.bounds[own]) & (at < self.bounds[own + 1])
-            code[a + ask[hit]] = self.code[at[hit]]
+            own = part[ask]
+            at = self.successors.find((node[own].astype(U64) << U64(BITS)) | successors[a + ask], begin[own], begin[own] + kinds[own])
+            code[a + ask[at >= 0]] = self.code[at[at >= 0]]
         return count, kinds, code
 
 
@@ -312,7 +357,7 @@ def answered(requests: list[bytes], split: Split, discount: float) -> tuple[list
         own = o[1][n - o[4] :]  # sizes of the parts of split contexts
         out.append(head + zstandard.compress(_wide(c[x]) + planes(kinds[x]) + planes(own) + o[5] + code[y].tobytes(), 1))
         a, b = a + n, b + pairs
-    every = trie.count.astype(np.int64)
+    every = trie.counts(np.arange(len(contexts)))
     hot = np.isin(contexts, split.words)
     return out, int((every[~hot] > 0).sum()), contexts[hot], every[hot]
 
@@ -384,8 +429,9 @@ def scored(docs: DataFrame, held_out: F.Column, id_col: str = "doc_id", text_col
     ``docs`` is read three times and has to give equal partitions each time, as a table does.
     """
     spark = docs.sparkSession
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
+    size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
 
     def census(batches):
         for _, block in _blocks(batches):
@@ -437,7 +483,7 @@ def scored(docs: DataFrame, held_out: F.Column, id_col: str = "doc_id", text_col
         if held:
             yield from done()
 
-    asked = rows.mapInArrow(ask, "block long, shard int, payload binary").repartition("shard").sortWithinPartitions("shard", "block")
+    asked = rows.mapInArrow(ask, "block long, shard int, payload binary").repartition(shards, "shard").sortWithinPartitions("shard", "block")
     replies = cut(asked.mapInArrow(answer, "block long, word long, n long, payload binary"), "replies")
     seen = replies.where("block is null").groupBy("word").agg(F.sum("n").alias("n"))
     known = seen.agg(F.sum(F.when(F.col("word").isNull(), F.col("n")).otherwise((F.col("n") > 0).cast("long"))).alias("n")).first()["n"] or 0

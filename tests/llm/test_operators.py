@@ -417,14 +417,18 @@ def test_elias_fano():
         for top in (3, 10**6, 2**63):
             x = np.sort(rng.integers(0, top, n, np.uint64))
             e = lm.EliasFano(lm.EliasFano.build(x))
-            assert (e.values() == x).all()
+            assert (e.get(np.arange(n)) == x).all()
             q = np.concatenate([x[:: max(1, n // 50)], rng.integers(0, top, 50, np.uint64)])
             at = e.find(q)
             assert ((at >= 0) == np.isin(q, x)).all() and (x[at[at >= 0]] == q[at >= 0]).all()
+            a, b = n // 3, n - n // 4
+            at = e.find(q, np.full(len(q), a), np.full(len(q), b))
+            assert ((at >= 0) == np.isin(q, x[a:b])).all() and (x[at[at >= 0]] == q[at >= 0]).all()
 
 
-@pytest.mark.parametrize("shards", ["1", "4", "40"])
-def test_lm(spark, rows, docs, nothing, shards):
+@pytest.mark.parametrize(("shards", "size"), [("1", lm.SHARD_BYTES), ("4", lm.SHARD_BYTES), ("40", lm.SHARD_BYTES), ("1", 4000)])
+def test_lm(spark, rows, docs, nothing, shards, size, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_BYTES", size)
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", shards)
     try:
