@@ -93,7 +93,7 @@ def _seeds(rows: DataFrame, masks: list[tuple[str, int]], keep: np.ndarray | Non
     def run(batches):
         for b in batches:
             out = []
-            for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for row, text in enumerate(b.column(1)):
                 v = words_of(text.as_py())
                 for i, (m, n) in enumerate(masks):
                     if whole and n != (len(v) if len(v) < LEAST else 0):
@@ -106,12 +106,12 @@ def _seeds(rows: DataFrame, masks: list[tuple[str, int]], keep: np.ndarray | Non
                         at = at[every[np.minimum(np.searchsorted(every, h[at]), len(every) - 1)] == h[at]]
                         h = h[at]
                     if len(h):
-                        out.append((np.full(len(h), i, np.int32), h, np.full(len(h), key), at.astype(np.int32)))
+                        out.append((np.full(len(h), i, np.int32), h, np.full(len(h), row), at.astype(np.int32)))
             if out:
                 m, h, k, p = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(signed(h)), pa.array(k), pa.array(p)], ["mask", "hash", "key", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(signed(h)), b.column(0).take(pa.array(k)), pa.array(p)], ["mask", "hash", "key", "pos"])
 
-    return rows.mapInArrow(run, "mask int, hash long, key long, pos int")
+    return rows.mapInArrow(run, f"mask int, hash long, key {rows.dtypes[0][1]}, pos int")
 
 
 def overlap(a: np.ndarray, b: np.ndarray, diagonal: int) -> tuple[int, int, int]:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from crosspanel.llm import suffix
 from crosspanel.llm._shared import U64, Rolling, cut, mix, signed, table
-from crosspanel.llm.repeats import Kind, covered, keyed, repeated_windows
+from crosspanel.llm.repeats import Kind, covered, keyed, repeated_windows, row_key
 
 #: Bytes of a stretch that counts as repeated, and of its anchors.
 LONG, ANCHOR = 60, 20
@@ -139,9 +139,9 @@ def _shared_windows(pages: DataFrame, spans: DataFrame) -> DataFrame:
             for key, text, found in zip(b.column("row_key").to_pylist(), b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
                 at = np.unique(np.concatenate([lo + np.arange(x["n"]) for x in found for lo in x["lo"]]))
                 h = Rolling(_values(text.encode("utf-8", "surrogatepass"))).every(LONG)[at]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(np.full(len(at), key)), pa.array(at.astype(np.int32))], ["hash", "row_key", "p"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array([key] * len(at), pa.binary()), pa.array(at.astype(np.int32))], ["hash", "row_key", "p"])
 
-    rows = pages.join(spans.hint("shuffle_hash"), "row_key").select("row_key", "text", "spans").mapInArrow(run, "hash long, row_key long, p int")
+    rows = pages.join(spans.hint("shuffle_hash"), "row_key").select("row_key", "text", "spans").mapInArrow(run, "hash long, row_key binary, p int")
     shared = rows.groupBy("hash").agg(F.min("row_key").alias("a"), F.max("row_key").alias("b")).where("a < b").select("hash")
     return rows.join(shared, "hash", "left_semi").groupBy("row_key").agg(F.array(F.struct(F.collect_list("p").alias("lo"), F.lit(1).alias("n"))).alias("spans"))
 
@@ -175,17 +175,17 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names[:4]], pa.array([x for x, _ in made], pa.list_(pa.string())), pa.array([s for _, s in made], pa.bool_())], names)
 
     types = {c: base.schema[c].dataType.simpleString() for c in ("id", "url")}
-    parsed = cut(base.mapInArrow(parse, f"id {types['id']}, url {types['url']}, host string, row_key long, blocks array<string>, settled boolean"), "parsed")
+    parsed = cut(base.mapInArrow(parse, f"id {types['id']}, url {types['url']}, host string, row_key binary, blocks array<string>, settled boolean"), "parsed")
     joined = F.array_join("blocks", "\n\n")
     clear = parsed.where("settled").select("id", "url", joined.alias("text"))
     # pages of equal content are one: a page doesn't make its own text boilerplate
-    doubtful = parsed.where("not settled").withColumn("row_key", F.xxhash64("host", F.array_join(F.array_distinct("blocks"), "\n")))
+    doubtful = parsed.where("not settled").withColumn("row_key", row_key("host", F.array_join(F.array_distinct("blocks"), "\n")))
 
     def streams(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("row_key"), pa.array([_stream(h, x) for h, x in zip(b.column("host").to_pylist(), b.column("blocks").to_pylist(), strict=True)])], ["row_key", "text"])
 
-    pages_ = doubtful.select("host", "row_key", "blocks").mapInArrow(streams, "row_key long, text string").dropDuplicates(["row_key"])
+    pages_ = doubtful.select("host", "row_key", "blocks").mapInArrow(streams, "row_key binary, text string").dropDuplicates(["row_key"])
     spans = _shared_windows(pages_, repeated_windows(pages_, kind()))
 
     def keep(batches):

@@ -57,9 +57,15 @@ def segments(v: np.ndarray, width: int, k: int):
     return first, last - first, at, g[at], roll.of(first, last - 1 + width)
 
 
+def row_key(*columns: str | F.Column) -> F.Column:
+    """16 bytes that stand for the values of ``columns``: two hashes of 64 bits, which are equal for equal rows only."""
+    two = [F.lpad(F.hex(h), 16, "0") for h in (F.xxhash64(*columns), F.xxhash64(F.lit(1), *columns))]
+    return F.unhex(F.concat(*two))
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``docs`` with ``row_key``, which stands for a row's id and text: equal rows share it and fare alike."""
-    return docs.withColumn("row_key", F.xxhash64(F.col(id_col), F.col(text_col)))
+    return docs.withColumn("row_key", row_key(F.col(id_col), F.col(text_col)))
 
 
 def _found(docs: DataFrame, text_col: str, kind: Kind, whole: bool) -> DataFrame:
@@ -69,14 +75,14 @@ def _found(docs: DataFrame, text_col: str, kind: Kind, whole: bool) -> DataFrame
     def run(batches):
         for b in batches:
             out, places = [], []
-            for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for row, text in enumerate(b.column(1)):
                 s, m, _, a, seg = segments(kind.values((text.as_py() or "").encode("utf-8", "surrogatepass")), kind.width, kind.k)
                 if len(s) and whole:
                     turn = np.lexsort((s, a, seg))
                     a, seg = a[turn], seg[turn]
                     first = np.flatnonzero(np.concatenate([[True], (seg[1:] != seg[:-1]) | (a[1:] != a[:-1])]))
                     places.append(s[turn])
-                    out.append((a[first], seg[first], np.full(len(first), key), np.diff(np.append(first, len(s))), m[turn[first]]))
+                    out.append((a[first], seg[first], np.full(len(first), row), np.diff(np.append(first, len(s))), m[turn[first]]))
                 elif len(s):
                     out.append(np.unique(a, return_counts=True))
             if not out:
@@ -84,11 +90,11 @@ def _found(docs: DataFrame, text_col: str, kind: Kind, whole: bool) -> DataFrame
             cols = [np.concatenate(x) for x in zip(*out, strict=True)]
             if whole:
                 at = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(cols[3])]).astype(np.int32)), pa.array(np.concatenate(places).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(cols[0])), pa.array(signed(cols[1])), pa.array(cols[2]), at, pa.array(cols[4].astype(np.int32))], names)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(cols[0])), pa.array(signed(cols[1])), b.column(0).take(pa.array(cols[2])), at, pa.array(cols[4].astype(np.int32))], names)
             else:
                 yield pa.RecordBatch.from_arrays([pa.array(signed(cols[0])), pa.array(cols[1])], names)
 
-    return docs.select("row_key", text_col).mapInArrow(run, "anchor long, seg long, row_key long, s array<int>, m int" if whole else "anchor long, n long")
+    return docs.select("row_key", text_col).mapInArrow(run, "anchor long, seg long, row_key binary, s array<int>, m int" if whole else "anchor long, n long")
 
 
 def repeated_windows(docs: DataFrame, kind: Kind, text_col: str = "text") -> DataFrame:
@@ -120,7 +126,7 @@ def repeated_windows(docs: DataFrame, kind: Kind, text_col: str = "text") -> Dat
                         pa.array([w["anchor"] for w in want], pa.int64()),
                         pa.array([w["kinds"] for w in want], pa.int64()),
                         pa.array([w["alone"] for w in want], pa.bool_()),
-                        pa.array([key] * len(want), pa.int64()),
+                        pa.array([key] * len(want), pa.binary()),
                         pa.array([w["s"] for w in want], pa.int32()),
                         pa.array([w["m"] for w in want], pa.int32()),
                         pa.array([where[w["s"]] - w["s"] for w in want], pa.int32()),
@@ -129,7 +135,7 @@ def repeated_windows(docs: DataFrame, kind: Kind, text_col: str = "text") -> Dat
                     names,
                 )
 
-    spread = cut(held.mapInArrow(contexts, "anchor long, kinds long, alone boolean, row_key long, s int, m int, at int, payload binary"), "extended")
+    spread = cut(held.mapInArrow(contexts, "anchor long, kinds long, alone boolean, row_key binary, s int, m int, at int, payload binary"), "extended")
 
     def resolved(batches):
         now, held_ = None, []
@@ -150,7 +156,7 @@ def repeated_windows(docs: DataFrame, kind: Kind, text_col: str = "text") -> Dat
         if held_:
             yield from _span_batches(done())
 
-    few = spread.where(F.col("kinds") <= kind.crowd).repartition("anchor").sortWithinPartitions("anchor", "row_key", "s").mapInArrow(resolved, "row_key long, lo int, hi int")
+    few = spread.where(F.col("kinds") <= kind.crowd).repartition("anchor").sortWithinPartitions("anchor", "row_key", "s").mapInArrow(resolved, "row_key binary, lo int, hi int")
     many = spread.where(F.col("kinds") > kind.crowd)
     counted = _counted(many)
     found = few.union(counted).select("row_key", F.array("lo").alias("lo"), (F.col("hi") - F.col("lo")).alias("n"))
@@ -166,14 +172,14 @@ def _counted(many: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            a, key, s, alone = (np.asarray(b.column(c).to_numpy(zero_copy_only=False)) for c in ("anchor", "row_key", "s", "alone"))
+            a, s, alone = (np.asarray(b.column(c).to_numpy(zero_copy_only=False)) for c in ("anchor", "s", "alone"))
             hashes = [np.frombuffer(x, "<u8") for x in b.column("payload").to_pylist()]
             n = np.array([len(h) for h in hashes], np.int64)
             if n.sum():
                 off = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(a, n)), pa.array(signed(np.concatenate(hashes))), pa.array(np.repeat(alone, n)), pa.array(np.repeat(key, n)), pa.array((np.repeat(s, n) + off).astype(np.int32))], ["anchor", "hash", "alone", "row_key", "p"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(a, n)), pa.array(signed(np.concatenate(hashes))), pa.array(np.repeat(alone, n)), b.column("row_key").take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array((np.repeat(s, n) + off).astype(np.int32))], ["anchor", "hash", "alone", "row_key", "p"])
 
-    rows = many.mapInArrow(run, "anchor long, hash long, alone boolean, row_key long, p int")
+    rows = many.mapInArrow(run, "anchor long, hash long, alone boolean, row_key binary, p int")
     again = rows.groupBy("anchor", "hash").count().where("count > 1").select("anchor", "hash")
     return rows.where("alone").join(again, ["anchor", "hash"]).select("row_key", F.col("p").alias("lo"), (F.col("p") + 1).alias("hi"))
 
@@ -181,7 +187,7 @@ def _counted(many: DataFrame) -> DataFrame:
 def _span_batches(found: list):
     if found:
         key, lo, hi = zip(*found, strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], ["row_key", "lo", "hi"])
+        yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], ["row_key", "lo", "hi"])
 
 
 def covered(spans: list | None, width: int) -> tuple[np.ndarray, np.ndarray]:

@@ -15,7 +15,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from crosspanel.llm import bpe, decontaminate, html, lm, neighbours, quality, simhash, substring, suffix, toxicity
+from crosspanel.llm import bpe, decontaminate, html, lm, neighbours, quality, repeats, simhash, substring, suffix, toxicity
 from crosspanel.llm.components import components
 
 SCHEMA = "doc_id long, text string, row string, block long, word long, key string, score double, n long"
@@ -408,6 +408,13 @@ def test_bpe(rows, docs, nothing):
     assert bpe.encode(nothing).count() == 0
 
 
+def test_row_keys(spark):
+    made = spark.createDataFrame([(1, "a"), (1, "a"), (1, None), (None, "a"), (None, None), (1, ""), (2, "a")], "id long, text string")
+    keys = [r["row_key"] for r in repeats.keyed(made, "id", "text").collect()]
+    assert {len(k) for k in keys} == {16} and keys[0] == keys[1] and len(set(keys)) == 6
+    assert len({k[:8] for k in keys}) == len({k[8:] for k in keys}) == 6
+
+
 # ---- 8
 
 
