@@ -97,38 +97,48 @@ def tcc(panel: DataFrame, n: int = 252, at_least: int = 60) -> DataFrame:
     return df.withColumn("tcc", 1 / (roll(F.avg, "_z2", n, at_least) + EPS)).drop("_z2")
 
 
-def scc(panel: DataFrame, n: int = 20, at_least: int | None = None) -> DataFrame:
+def scc(panel: DataFrame, n: int = 20, at_least: int | None = None, block: int = 2000) -> DataFrame:
     """``(stock, dt, scc)``: mean correlation of a stock's returns with all others over the last ``n`` dates.
 
     A pair counts with at least ``n // 2`` common dates and variance on both sides.  Each date gets the slice of its
-    window (rows x ``n``) and correlates all pairs at once with four matrix products; a slice has one row for each
-    stock and date of the window, so its size is that of a cross-section, not of the history.
+    window (rows x ``n``), whose stocks are dealt to blocks of about ``block``; each two blocks meet in one task, which
+    correlates their pairs with four matrix products, and a stock's sums over blocks are added up.  A task holds some
+    ``block`` squared numbers whatever the number of stocks.
     """
     least = n // 2 if at_least is None else at_least
-    calendar = panel.select("dt").distinct().withColumn("i", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("dt")) - 1)
-    rows = panel.select("stock", "dt", "ret").join(F.broadcast(calendar), "dt")
+    one = Window.partitionBy(F.lit(1))  # a row a date
+    dates = panel.where("dt IS NOT NULL").groupBy("dt").agg(F.count("*").alias("width"))
+    calendar = dates.select("dt", (F.row_number().over(one.orderBy("dt")) - 1).alias("i"), F.ceil(F.max("width").over(one) / block).cast("int").alias("blocks"))
+    rows = panel.select("stock", "dt", "ret").join(F.broadcast(calendar), "dt").withColumn("own", F.pmod(F.xxhash64("stock"), F.col("blocks")).cast("int"))
     spread = rows.withColumn("anchor", F.explode(F.sequence("i", F.col("i") + n - 1))).where(F.col("anchor") >= n)
+    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"a": F.least("own", "other"), "b": F.greatest("own", "other")})
     kind = panel.schema["stock"].dataType.simpleString()
 
-    def centrality(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def sums(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         wide = pdf.pivot(index="stock", columns="i", values="ret").sort_index()
+        mine = pdf.drop_duplicates("stock").set_index("stock")["own"].reindex(wide.index).to_numpy() == key[1]
         r = wide.to_numpy(float)
         m = (~np.isnan(r)).astype(float)
         r = np.nan_to_num(r)
-        k, s, q, p = m @ m.T, r @ m.T, (r * r) @ m.T, r @ r.T
+        x, y = (mine, mine) if key[1] == key[2] else (mine, ~mine)
+        k, s, t = m[x] @ m[y].T, r[x] @ m[y].T, m[x] @ r[y].T
+        q, u, p = (r[x] * r[x]) @ m[y].T, m[x] @ (r[y] * r[y]).T, r[x] @ r[y].T
         with np.errstate(divide="ignore", invalid="ignore"):
-            mean, other = s / k, s.T / k
-            cov, va, vb = p / k - mean * other, q / k - mean**2, q.T / k - other**2
+            mean, other = s / k, t / k
+            cov, va, vb = p / k - mean * other, q / k - mean**2, u / k - other**2
             c = cov / np.sqrt(va * vb)
         ok = (k >= least) & (va > EPS) & (vb > EPS)
-        np.fill_diagonal(ok, False)
-        n_ok = ok.sum(1)
-        out = np.where(n_ok > 0, np.where(ok, c, 0).sum(1) / np.maximum(n_ok, 1), np.nan)
-        got = pd.DataFrame({"stock": wide.index, "i": key[0], "scc": out})
-        return got[n_ok > 0]
-
-    found = spread.groupBy("anchor").applyInPandas(centrality, f"stock {kind}, i int, scc double")
-    return found.join(F.broadcast(calendar), "i").select("stock", "dt", "scc")
+        if key[1] == key[2]:
+            np.fill_diagonal(ok, False)
+        c = np.where(ok, c, 0)
+        got = [pd.DataFrame({"stock": wide.index[x], "i": key[0], "total": c.sum(1), "pairs": ok.sum(1)})]
+        if key[1] != key[2]:
+            got.append(pd.DataFrame({"stock": wide.index[y], "i": key[0], "total": c.sum(0), "pairs": ok.sum(0)}))
+        return pd.concat(got)
+
+    found = spread.select("stock", "i", "ret", "own", "anchor", "a", "b").groupBy("anchor", "a", "b").applyInPandas(sums, f"stock {kind}, i int, total double, pairs long")
+    found = found.groupBy("stock", "i").agg(F.sum("total").alias("total"), F.sum("pairs").alias("pairs")).where("pairs > 0")
+    return found.join(F.broadcast(calendar), "i").select("stock", "dt", (F.col("total") / F.col("pairs")).alias("scc"))
 
 
 def relative_cost(panel: DataFrame, n: int = 252) -> DataFrame:

@@ -164,6 +164,27 @@ def test_compounding_by_month(spark):
     assert got == {(1, days[1]): pytest.approx(0.21), (2, days[1]): pytest.approx(0.44), (1, days[4]): pytest.approx(0.21), (2, days[4]): None}
 
 
+def test_scc_is_the_same_in_blocks_of_stocks(spark):
+    day = dt.date(2024, 1, 1)
+    data = [(s, day + dt.timedelta(i), None if (s * i) % 11 == 5 else math.sin(s * 3 + i * i % 17) / 10) for s in range(23) for i in range(9)]
+    panel = spark.createDataFrame(data, "stock long, dt date, ret double")
+    whole, parts = ({(r["stock"], r["dt"]): r["scc"] for r in factors.scc(panel, 5, block=b).collect()} for b in (2000, 4))
+    assert whole and whole.keys() == parts.keys()
+    assert all(abs(whole[k] - parts[k]) < 1e-12 for k in whole)
+    ret = {(s, d): x for s, d, x in data}
+    last = day + dt.timedelta(8)
+    window = [day + dt.timedelta(i) for i in range(4, 9)]
+    found = []
+    for other in range(1, 23):
+        pairs = [(ret[0, d], ret[other, d]) for d in window if ret[0, d] is not None and ret[other, d] is not None]
+        n = len(pairs)
+        a, b = sum(x for x, _ in pairs) / n, sum(y for _, y in pairs) / n
+        va, vb = sum((x - a) ** 2 for x, _ in pairs) / n, sum((y - b) ** 2 for _, y in pairs) / n
+        if n >= 2 and va > 1e-8 and vb > 1e-8:
+            found.append(sum((x - a) * (y - b) for x, y in pairs) / n / math.sqrt(va * vb))
+    assert abs(whole[0, last] - sum(found) / len(found)) < 1e-9
+
+
 def test_relative_cost(spark):
     rng = [10 + math.sin(k) for k in range(15)]
     turn = [0.05 + 0.01 * (k % 3) for k in range(15)]
