@@ -121,36 +121,37 @@ def equal_windows(contexts: list[bytes], at: list[int], width: int, k: int) -> l
     found: list[list[tuple[int, int]]] = []
     reach = [0] * len(contexts)  # bytes after the core that another context shares
     extra: list[list[int]] = [[] for _ in contexts]  # windows that begin before the core
-    s, start, heart = b"", [], []
-    for a, b in zip(lefts, rights, strict=True):
-        start.append(len(s))
-        heart.append(len(s) + len(a) - before)
-        s += a[before:][::-1] + bytes([CORE]) + b[after:] + bytes([END])
-    sa = suffix_array(s)
-    owner = np.repeat(np.arange(len(start)), np.diff([*start, len(s)])).tolist()
-    last = None
-    for i in sa:
-        x = owner[i]
-        ahead = heart[x] - i
-        if ahead < 0:
-            continue
-        if ahead:  # symbols of the window that begins here: some before the core, and what is needed after it
-            need = ahead + 1 + max(0, width - ahead - core)
-            if i + need >= (start[x + 1] if x + 1 < len(start) else len(s)) or ahead > width - k:
+    if len(contexts) > 2:  # two contexts share their core and no more
+        s, start, heart = b"", [], []
+        for a, b in zip(lefts, rights, strict=True):
+            start.append(len(s))
+            heart.append(len(s) + len(a) - before)
+            s += a[before:][::-1] + bytes([CORE]) + b[after:] + bytes([END])
+        sa = suffix_array(s)
+        owner = np.repeat(np.arange(len(start)), np.diff([*start, len(s)])).tolist()
+        last = None
+        for i in sa:
+            x = owner[i]
+            ahead = heart[x] - i
+            if ahead < 0:
                 continue
-            window = s[i : i + need]
-            if last is not None and last[0] == window:
-                extra[x].append(i - start[x])
-                if not last[3]:
-                    extra[last[1]].append(last[2])
-                last = (window, x, i - start[x], True)
-            else:
-                last = (window, x, i - start[x], False)
-    hearts = [i for i in sa if heart[owner[i]] == i]
-    for p, q in zip(hearts, hearts[1:], strict=False):
-        x, y = owner[p], owner[q]
-        same = _prefix(rights[x][after:], rights[y][after:])
-        reach[x], reach[y] = max(reach[x], same), max(reach[y], same)
+            if ahead:  # symbols of the window that begins here: some before the core, and what is needed after it
+                need = ahead + 1 + max(0, width - ahead - core)
+                if i + need >= (start[x + 1] if x + 1 < len(start) else len(s)) or ahead > width - k:
+                    continue
+                window = s[i : i + need]
+                if last is not None and last[0] == window:
+                    extra[x].append(i - start[x])
+                    if not last[3]:
+                        extra[last[1]].append(last[2])
+                    last = (window, x, i - start[x], True)
+                else:
+                    last = (window, x, i - start[x], False)
+        hearts = [i for i in sa if heart[owner[i]] == i]
+        for p, q in zip(hearts, hearts[1:], strict=False):
+            x, y = owner[p], owner[q]
+            same = _prefix(rights[x][after:], rights[y][after:])
+            reach[x], reach[y] = max(reach[x], same), max(reach[y], same)
     for x, c in enumerate(contexts):
         windows = len(c) - width + 1
         lo = at[x] - before
