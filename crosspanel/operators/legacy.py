@@ -2,7 +2,7 @@
 
 A name that isn't traded, or that is locked at its upper (lower) price limit, can't be bought (sold) on that date and
 keeps its drifted weight; the others share what is left of the target.  That needs the weights of the period before, so
-it runs date by date within a series, on the rows of that series' own names.
+a task goes through a series date by date and holds one date's rows at a time.
 """
 
 from __future__ import annotations
@@ -54,28 +54,37 @@ def real_weights(weights: DataFrame, daily: DataFrame, *series: str) -> DataFram
     rows = rows.join(daily, ["stock", "i"]).join(later, ["stock", "until"], "left").fillna(0.0, ["target"])
     types = dict(weights.dtypes)
 
-    def held(pdf: pd.DataFrame) -> pd.DataFrame:
-        table = {c: pdf.pivot(index="i", columns="stock", values=c).sort_index() for c in ("target", "price", "end", "can_buy", "can_sell", "gone")}
-        old, out = np.zeros(table["target"].shape[1]), []
-        for i in table["target"].index:
-            want, price, end, buy, sell, gone = (table[c].loc[i].to_numpy() for c in table)
-            want = np.nan_to_num(want.astype(float))
-            buy, sell, gone = (x == True for x in (buy, sell, gone))  # noqa: E712  missing is false
-            kept = ((want < old) & ~sell & ~gone) | ((want >= old) & ~buy & ((want > 0) | (old > 0)))
-            free = np.where(kept, 0.0, want)
-            left = want.sum() - old[kept].sum()
-            now = np.where(kept, old, free * max(left, 0.0) / free.sum() if free.sum() > 0 else 0.0)
-            part = pd.DataFrame({"i": i, "stock": table["target"].columns, "weight": now, "turnover": np.abs(now - old).sum()})
-            out.append(part[now > 0])
-            growth = np.nan_to_num(end.astype(float) / price.astype(float), nan=1.0)
-            grown = now * growth
-            old = grown / (grown.sum() + 1 - now.sum()) if now.sum() > 0 else grown
-        whole = pd.concat(out)
-        for k in series:
-            whole[k] = pdf[k].iloc[0]
-        return whole[[*series, "i", "stock", "weight", "turnover"]]
-
-    return rows.groupBy(*series).applyInPandas(held, ", ".join(f"`{c}` {types[c]}" for c in (*series, "i", "stock")) + ", weight double, turnover double")
+    def traded(day: pd.DataFrame, old: np.ndarray | None) -> tuple[pd.DataFrame, np.ndarray]:
+        """What is held after one date's trades, and what that has drifted to when the next ones are due."""
+        want, price, end = (day[c].to_numpy(float) for c in ("target", "price", "end"))
+        buy, sell, gone = (day[c].to_numpy(bool) for c in ("can_buy", "can_sell", "gone"))
+        old = np.zeros(len(day)) if old is None else old
+        kept = ((want < old) & ~sell & ~gone) | ((want >= old) & ~buy & ((want > 0) | (old > 0)))
+        free = np.where(kept, 0.0, want)
+        left = want.sum() - old[kept].sum()
+        now = np.where(kept, old, free * max(left, 0.0) / free.sum() if free.sum() > 0 else 0.0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            grown = now * np.nan_to_num(end / price, nan=1.0)
+        out = day[[*series, "i", "stock"]].assign(weight=now, turnover=np.abs(now - old).sum())[now > 0]
+        return out, grown / (grown.sum() + 1 - now.sum()) if now.sum() > 0 else grown
+
+    def held(batches):
+        key, parts, old = None, [], None
+        for pdf in batches:
+            for k, part in pdf.groupby([*series, "i"], sort=False):
+                if k != key:
+                    if parts:
+                        out, old = traded(pd.concat(parts), old)
+                        yield out
+                    if key is None or k[:-1] != key[:-1]:
+                        old = None
+                    key, parts = k, []
+                parts.append(part)
+        if parts:
+            yield traded(pd.concat(parts), old)[0]
+
+    dealt = rows.repartition(*series).sortWithinPartitions(*series, "i", "stock")  # all names of a series on each of its dates
+    return dealt.mapInPandas(held, ", ".join(f"`{c}` {types[c]}" for c in (*series, "i", "stock")) + ", weight double, turnover double")
 
 
 def drift_nav(weights: DataFrame, state: DataFrame, *series: str, fee: float = 0.002) -> DataFrame:
