@@ -1,15 +1,17 @@
 """Operator 5: main text of web pages.
 
 Markup settles most of it: what lies in an ``article`` (or else ``main``) is the article, and menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are not.  Pages that have neither
-element leave blocks in doubt.  For those the pages of a host are taken together: each page's doubtful blocks are
-one stream, stretches of ``LONG`` bytes or more that repeat are found with the suffix array of ``suffix.py``, those
-that at least two pages of different content have are boilerplate, and so are blocks that they mostly cover; the rest
-stays.  Pages of a host with equal blocks are one page.
+footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are not.  It leaves blocks in doubt:
+all of those of a page that has neither element, and those inside an article whose names may mean either, such as
+"related" or "notice".  For those the pages of a host are taken together: each page's doubtful blocks are one stream,
+stretches of ``LONG`` bytes or more that repeat are found with the suffix array of ``suffix.py``, those that at least
+two pages of different content have are boilerplate, and so are doubtful blocks that they mostly cover; the rest stays.
+Pages of a host with equal blocks are one page.
 
 A block's character references are decoded and its white space becomes single spaces; blocks are joined by an
 empty line.  Null and empty pages have an empty text; repeated rows give repeated results; pages without a host
-share the empty one; an empty table gives an empty result.
+share the empty one; an empty table gives an empty result; other columns are left out.  A very long page is read once
+by one task; an element without an end goes up to the end of the page.
 """
 
 from __future__ import annotations
@@ -43,7 +45,7 @@ _UNWANTED = re.compile(
     r"(?:(?!no|has|with|without)[a-z0-9]+[-_])*(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|promo(?:tion)?|banner|sidebar|cookies?|consent|notices?|newsletter|subscribe|comments?|disqus|share|sharing|social|related|breadcrumbs?|menu|nav|navbar|navigation|footer|popup|modal|widget|contentinfo|complementary|search)(?:[-_][a-z0-9]+)*",
     re.I,
 )
-#: Names that mark such parts even inside an article, where words like "related" or "share" may be its own.
+#: Names that mark such parts even inside an article; there the other words may be its own, and repeats decide.
 _CLEAR = re.compile(r"ads?|adverts?|advertisements?|advertising|sponsored|sidebar|cookies?|consent|newsletter|subscribe|(?:reader[-_]|user[-_])?comments?(?:[-_](?:area|box|form|list|section|thread))?|disqus|(?:share|social)[-_](?:bar|buttons?|links?)|breadcrumbs?|navbar|navigation|popup|modal|contentinfo|complementary|search", re.I)
 
 
@@ -53,19 +55,19 @@ def _unwanted(attributes: str, names: re.Pattern) -> bool:
     return any(names.fullmatch(name) for m in _NAMES.finditer(attributes) for name in (m[1] or m[2] or m[3] or "").split())
 
 
-def blocks_of(page: str | None) -> tuple[list[str], bool]:
-    """Texts of a page's blocks in order, and whether its markup settles that they are the article."""
-    found: dict[str, list[str]] = {"article": [], "main": [], "": []}
-    stack: list[tuple[str, bool, str]] = []  # tag, whether it is left out, region
+def blocks_of(page: str | None) -> tuple[list[str], list[bool]]:
+    """Texts of a page's blocks in order, and of each whether its markup leaves in doubt that it is the article's."""
+    found: dict[str, list[tuple[str, bool]]] = {"article": [], "main": [], "": []}
+    stack: list[tuple[str, bool, str, bool]] = []  # tag, whether it is left out, region, whether it is in doubt
     text: list[str] = []
-    skip, region = False, ""
+    skip, region, doubt = False, "", False
 
     def close() -> None:
         if text:
             words = html.unescape("".join(text)).split()
             text.clear()
             if words:
-                found[region].append(" ".join(words))
+                found[region].append((" ".join(words), doubt))
 
     def piece(s: str) -> None:
         if s and not skip:
@@ -91,32 +93,34 @@ def blocks_of(page: str | None) -> tuple[list[str], bool]:
             if tag == "p":
                 while stack and stack[-1][0] in ("p", "b", "i", "em", "strong", "span", "a", "u", "small", "font") and any(x[0] == "p" for x in stack[-8:]) and not m[3].endswith("/"):
                     stack.pop()
-                skip, region = (stack[-1][1], stack[-1][2]) if stack else (False, "")
+                skip, region, doubt = stack[-1][1:] if stack else (False, "", False)
             if m[3].endswith("/"):
                 continue
             drop = skip or tag in _DROP or (tag == "header" and region == "") or (tag not in ("main", "body", "html") and _unwanted(m[3], _CLEAR if "article" in (tag, region) else _UNWANTED))
+            doubt = doubt or (region == "article" and not drop and _unwanted(m[3], _UNWANTED))
             if tag in ("article", "main") and not drop and region != "article":
                 region = tag
                 seen.add(tag)
-            stack.append((tag, drop, region))
+            stack.append((tag, drop, region, doubt))
             skip = drop
         else:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
                     del stack[k:]
-                    skip, region = (stack[-1][1], stack[-1][2]) if stack else (False, "")
+                    skip, region, doubt = stack[-1][1:] if stack else (False, "", False)
                     break
     if at < len(source):
         piece(source[at:])
     close()
     for tag in ("article", "main"):
         if tag in seen and found[tag]:
-            return found[tag], True
-    return found[""] + found["main"], False
+            return [b for b, _ in found[tag]], [d for _, d in found[tag]]
+    rest = [b for b, _ in found[""] + found["main"]]
+    return rest, [True] * len(rest)
 
 
-def _stream(host: str, blocks: list[str]) -> str:
-    return host.replace("\0", "") + "\0" + "\n".join(dict.fromkeys(blocks))
+def _stream(host: str, blocks: list[str], doubts: list[bool]) -> str:
+    return host.replace("\0", "") + "\0" + "\n".join(dict.fromkeys(b for b, d in zip(blocks, doubts, strict=True) if d))
 
 
 def _values(raw: bytes) -> np.ndarray:
@@ -146,54 +150,54 @@ def _shared_windows(pages: DataFrame, spans: DataFrame) -> DataFrame:
     return rows.join(shared, "hash", "left_semi").groupBy("row_key").agg(F.array(F.struct(F.collect_list("p").alias("lo"), F.lit(1).alias("n"))).alias("spans"))
 
 
-def _kept(blocks: list[str], host: str, spans: list | None) -> list[str]:
-    """Blocks that repeated stretches of the page's stream don't mostly cover."""
-    raw = _stream(host, blocks).encode("utf-8", "surrogatepass")
+def _kept(blocks: list[str], doubts: list[bool], host: str, spans: list | None) -> list[str]:
+    """Blocks without the doubtful ones that repeated stretches of the page's stream mostly cover."""
+    raw = _stream(host, blocks, doubts).encode("utf-8", "surrogatepass")
     gone = np.zeros(len(raw) + 1, np.int64)
     for a, b in zip(*covered(spans, LONG), strict=True):
         gone[a] += 1
         gone[b] -= 1
     gone = np.cumsum(np.cumsum(gone) > 0)
     at, drop = raw.find(b"\0") + 1, set()
-    for block in dict.fromkeys(blocks):
+    for block in dict.fromkeys(b for b, d in zip(blocks, doubts, strict=True) if d):
         n = len(block.encode("utf-8", "surrogatepass"))
         if n and gone[at + n - 1] - (gone[at - 1] if at else 0) >= MOSTLY * n:
             drop.add(block)
         at += n + 1
-    return [b for b in blocks if b not in drop]
+    return [b for b, d in zip(blocks, doubts, strict=True) if not (d and b in drop)]
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``(id_col, url_col, text)`` for each row of ``pages``."""
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
     base = keyed(pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("text"), host.alias("host")), "id", "text")
-    names = ["id", "url", "host", "row_key", "blocks", "settled"]
+    names = ["id", "url", "host", "row_key", "blocks", "doubts"]
 
     def parse(batches):
         for b in batches:
             made = [blocks_of(t.as_py()) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names[:4]], pa.array([x for x, _ in made], pa.list_(pa.string())), pa.array([s for _, s in made], pa.bool_())], names)
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names[:4]], pa.array([x for x, _ in made], pa.list_(pa.string())), pa.array([d for _, d in made], pa.list_(pa.bool_()))], names)
 
     types = {c: base.schema[c].dataType.simpleString() for c in ("id", "url")}
-    parsed = cut(base.mapInArrow(parse, f"id {types['id']}, url {types['url']}, host string, row_key binary, blocks array<string>, settled boolean"), "parsed")
-    joined = F.array_join("blocks", "\n\n")
-    clear = parsed.where("settled").select("id", "url", joined.alias("text"))
+    parsed = cut(base.mapInArrow(parse, f"id {types['id']}, url {types['url']}, host string, row_key binary, blocks array<string>, doubts array<boolean>"), "parsed")
+    clear = parsed.where("not array_contains(doubts, true)").select("id", "url", F.array_join("blocks", "\n\n").alias("text"))
     # pages of equal content are one: a page doesn't make its own text boilerplate
-    doubtful = parsed.where("not settled").withColumn("row_key", row_key("host", F.array_join(F.array_distinct("blocks"), "\n")))
+    doubtful = parsed.where("array_contains(doubts, true)").withColumn("row_key", row_key("host", F.array_join(F.array_distinct("blocks"), "\n")))
 
     def streams(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("row_key"), pa.array([_stream(h, x) for h, x in zip(b.column("host").to_pylist(), b.column("blocks").to_pylist(), strict=True)])], ["row_key", "text"])
+            rows = zip(*(b.column(c).to_pylist() for c in ("host", "blocks", "doubts")), strict=True)
+            yield pa.RecordBatch.from_arrays([b.column("row_key"), pa.array([_stream(*r) for r in rows], pa.string())], ["row_key", "text"])
 
-    pages_ = doubtful.select("host", "row_key", "blocks").mapInArrow(streams, "row_key binary, text string").dropDuplicates(["row_key"])
+    pages_ = doubtful.select("host", "row_key", "blocks", "doubts").mapInArrow(streams, "row_key binary, text string").dropDuplicates(["row_key"])
     spans = _shared_windows(pages_, repeated_windows(pages_, kind()))
 
     def keep(batches):
         for b in batches:
-            rows = zip(b.column("blocks").to_pylist(), b.column("host").to_pylist(), b.column("spans").to_pylist(), strict=True)
+            rows = zip(*(b.column(c).to_pylist() for c in ("blocks", "doubts", "host", "spans")), strict=True)
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("url"), pa.array(["\n\n".join(_kept(*r)) for r in rows], pa.string())], ["id", "url", "text"])
 
-    rest = doubtful.join(spans.hint("shuffle_hash"), "row_key", "left").select("id", "url", "host", "blocks", "spans").mapInArrow(keep, f"id {types['id']}, url {types['url']}, text string")
+    rest = doubtful.join(spans.hint("shuffle_hash"), "row_key", "left").select("id", "url", "host", "blocks", "doubts", "spans").mapInArrow(keep, f"id {types['id']}, url {types['url']}, text string")
     return clear.union(rest).select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text")
 
 

@@ -387,11 +387,31 @@ def test_html_keeps_what_one_page_repeats(spark):
     assert got == {1: "\n\n".join(f"{line} {x}" for x in own), 2: other, 3: copied, 4: copied}
 
 
+def test_html_repeats_decide_what_names_leave_in_doubt(spark):
+    rng = random.Random(12)
+    teaser, part = sentence(rng, 30), sentence(rng, 30)
+    texts = [sentence(rng, 40) for _ in range(4)]
+    inner = [f"<article><p>{t}</p><p>{part}</p><div class='related'><p>{teaser}</p></div><div class='notice'><p>{k} {t[::-1]}</p></div></article>" for k, t in enumerate(texts)]
+    made = [(*page("b.org", k, x), "clash", "clash") for k, x in enumerate(inner)] + [(*page("c.org", 9, inner[0]), "clash", "clash")]
+    pages = spark.createDataFrame(made, "page_id long, url string, html string, row_key string, text string")
+    got = {r["page_id"]: r["text"] for r in html.main_text(pages).collect()}
+    for k, t in enumerate(texts):  # the same paragraph outside doubt stays, though all have it
+        assert got[k] == f"{t}\n\n{part}\n\n{k} {t[::-1]}"
+    assert got[9] == f"{texts[0]}\n\n{part}\n\n{teaser}\n\n0 {texts[0][::-1]}"  # one page of its host
+    found = html.repeated_windows(spark.createDataFrame([(bytes([k]) * 16, html._stream("b.org", [teaser, x], [True, True])) for k, x in enumerate(texts)], "row_key binary, text string"), html.kind())
+    streams = [f"b.org\0{teaser}\n{x}".encode() for x in texts]
+    windows = Counter(w for raw_ in streams for w in (raw_[i : i + html.LONG] for i in range(len(raw_) - html.LONG + 1)))
+    for r in found.collect():  # the host's array against a count of all windows
+        s = streams[r["row_key"][0]]
+        starts = {lo + j for x in r["spans"] for lo in x["lo"] for j in range(x["n"])}
+        assert starts == {i for i in range(len(s) - html.LONG + 1) if windows[s[i : i + html.LONG]] > 1}
+
+
 def test_html_head_without_end():
     for start in ("<head>", "<head><meta charset=utf-8><script>'<div>'</script>", "<head><title>t</title>"):
-        assert html.blocks_of(f"<html>{start}<body><article><p>One two</p></article></body></html>") == (["One two"], True)
-        assert html.blocks_of(f"{start}<article><p>One two</p></article>") == (["One two"], True)
-    assert html.blocks_of("<head><meta name=x>loose</head><body><p>One</p></body>") == (["One"], False)
+        assert html.blocks_of(f"<html>{start}<body><article><p>One two</p></article></body></html>") == (["One two"], [False])
+        assert html.blocks_of(f"{start}<article><p>One two</p></article>") == (["One two"], [False])
+    assert html.blocks_of("<head><meta name=x>loose</head><body><p>One</p></body>") == (["One"], [True])
 
 
 # ---- 6
