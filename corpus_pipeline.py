@@ -39,9 +39,11 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that have no passage of the benchmark."""
-    base = keyed(docs, "doc_id", "text")
-    leaks = decontaminate.leaks(base.select("row_key", "text"), table(spark, sf_dir, "benchmark"), id_col="row_key")
-    return base.join(leaks.select("row_key").distinct(), "row_key", "left_anti").select(*docs.columns)
+    own = [f"c{k}" for k in range(len(docs.columns))]  # so that no column of ``docs`` clashes with ``row_key``
+    id_col, text_col = (own[docs.columns.index(c)] for c in ("doc_id", "text"))
+    base = keyed(docs.toDF(*own), id_col, text_col)
+    leaks = decontaminate.leaks(base.select("row_key", F.col(text_col).alias("text")), table(spark, sf_dir, "benchmark"), id_col="row_key")
+    return base.join(leaks.select("row_key").distinct(), "row_key", "left_anti").select(*own).toDF(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

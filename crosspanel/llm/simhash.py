@@ -533,11 +533,13 @@ def near_duplicates_dropped(docs: DataFrame, shingle: int = 5, similarity: float
     Rows are told apart by a key of their own, so equal ids and null ids are rows like any other.  Two texts link if
     the Jaccard similarity of their sets of ``shingle`` words is ``similarity`` or more; texts without words are alike.
     """
-    rows = cut(docs.withColumn(KEY, F.monotonically_increasing_id()), "rows")  # written, so that keys stay as they are
+    own = [f"c{k}" for k in range(len(docs.columns))]  # so that no column of ``docs`` clashes with the names used here
+    id_col, text_col = (own[docs.columns.index(c)] for c in (id_col, text_col))
+    rows = cut(docs.toDF(*own).withColumn(KEY, F.monotonically_increasing_id()), "rows")  # written, so that keys stay as they are
     found = similar_groups(rows, shingle, similarity, text_col)
     first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(KEY)))
     kept = rows.select(KEY, id_col).join(found, KEY).groupBy("component").agg(first.alias("first")).select(f"first.{KEY}")
-    return _of_keys(rows, cut(kept, "kept")).select(*docs.columns)
+    return _of_keys(rows, cut(kept, "kept")).select(*own).toDF(*docs.columns)
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:

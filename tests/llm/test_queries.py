@@ -1,12 +1,19 @@
 """Queries and the pipeline on the smallest tables."""
 
+import base64
 import hashlib
 import os
+from collections import Counter
 
+import numpy as np
+import public_tokenizers
 import pytest
+import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from crosspanel.llm import queries
+from crosspanel.llm import decontaminate, queries
+from tests.llm.test_operators import WORD, ascii_lower, uncovered
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the test tables aren't here")
@@ -34,6 +41,78 @@ def test_query(spark, name):
         assert got.count() == spark.read.parquet(f"{SF}/{table}.parquet").count()
 
 
+def shingles(text):
+    w = WORD.findall(ascii_lower(text))
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def first_of_groups(docs):
+    """Ids of the rows ``(id, text)`` that are the smallest of their group of near copies, from all pairs."""
+    sets = {i: shingles(t) for i, t in docs}
+    group = {i: i for i in sets}
+    links = [(i, j) for i, x in sets.items() for j, y in sets.items() if i < j and len(x & y) >= 0.8 * len(x | y)]
+    for _ in sets:
+        before = dict(group)
+        for i, j in links:
+            group[i] = group[j] = min(group[i], group[j])
+        if before == group:
+            break
+    return {i for i, g in group.items() if i == g}
+
+
+def leaked(docs, items):
+    """Ids of the rows that have a passage of an item, from a comparison at every place."""
+    items = [v for v in map(decontaminate.words_of, items) if len(v)]
+    found = set()
+    for i, t in docs:
+        v = decontaminate.words_of(t)
+        if any(decontaminate.best_overlap(v, x, np.arange(1 - len(x), len(v)))[0] for x in items):
+            found.add(i)
+    return found
+
+
+def test_pipeline_against_brute_force(spark):
+    """Every stage behind the classifier, on all documents of the table."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    items = [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    stage = dict(corpus_pipeline.STAGES)
+    got = {r["doc_id"] for r in stage["near_dedup"](spark, docs, SF).collect()}
+    assert got == first_of_groups(rows) and len(got) < len(rows)
+    words = [WORD.findall(t or "") for _, t in rows]
+    want = {i: t if all(keep) else " ".join(x for x, y in zip(w, keep, strict=True) if y) for (i, t), w, keep in zip(rows, words, uncovered(words, 35), strict=True)}
+    stripped = {r["doc_id"]: (r["text"], r["n_chars"]) for r in stage["substring_dedup"](spark, docs, SF).collect()}
+    assert {i: t for i, (t, _) in stripped.items()} == want and any(want[i] != t for i, t in rows)
+    assert all(n == len(want[i]) for i, (t, n) in stripped.items() if t is not None)
+    clean = {r["doc_id"] for r in stage["decontamination"](spark, docs, SF).collect()}
+    assert clean == {i for i, _ in rows} - leaked(rows, items) and len(clean) < len(rows)
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}
+    coder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    assert {r["doc_id"]: list(r["ids"]) for r in stage["bpe"](spark, docs, SF).collect()} == {i: coder.encode_ordinary(t or "") for i, t in rows}
+
+
+def test_pipeline_on_rows_that_repeat_and_clash(spark):
+    plain = "the quick brown fox met a rather slow hedgehog near the old stone bridge at dawn"
+    rows = [(1, None), (2, ""), (None, plain), (2, ""), (4, "日本語"), (4, "日本語"), (5, "x " * 30_000)]
+    extra = ["row", "row_key", "__row", "id", "score", "kept", "block", "component", "token"]
+    odd = spark.createDataFrame([(i, t, "en", *[f"{c}-{k}" for c in extra]) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, " + ", ".join(f"`{c}` string" for c in extra))
+    odd = odd.withColumn("n_chars", F.length("text").cast("long"))
+    stage = dict(corpus_pipeline.STAGES)
+
+    def texts(frame):
+        assert frame.dtypes == odd.dtypes
+        found = frame.collect()
+        assert all(len({r[c].rpartition("-")[2] for c in extra}) == 1 and all(r[c].startswith(f"{c}-") for c in extra) for r in found)
+        return Counter((r["doc_id"], r["text"]) for r in found)
+
+    assert texts(stage["quality"](spark, odd, SF)) <= Counter(rows)
+    assert texts(stage["near_dedup"](spark, odd, SF)) == Counter([(1, None), (None, plain), (4, "日本語"), (5, "x " * 30_000)])
+    assert texts(stage["substring_dedup"](spark, odd, SF)) == Counter([*rows[:-1], (5, "")])
+    assert texts(stage["decontamination"](spark, odd, SF)) == Counter(rows)
+    got = stage["bpe"](spark, odd, SF).collect()
+    assert Counter((r["doc_id"], r["decoded_sha256"]) for r in got) == Counter((i, hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows)
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     whole = docs.count()
