@@ -28,6 +28,9 @@ COLUMNS = {
     "op8_": "doc_id held_out n_tokens n_known train_tokens base_score score",
     "op9_": "doc_id held_out score predicted",
     "op10_": "query_id rank vec_id score",
+    "op11_": "doc_id n_lines n_dropped kept_sha256",
+    "op12_": "vec_id cluster distance cluster_inertia inertia centroid_sha256",
+    "op13_": "anchor_id positive_id rank negative_id positive_score negative_score",
 }
 
 
@@ -36,7 +39,7 @@ def test_query(spark, name):
     got = queries.queries()[name](spark, SF)
     wanted = next(v for k, v in COLUMNS.items() if name.startswith(k)).split()
     assert set(wanted) <= set(got.columns)
-    table = {"op5_": "pages", "op10_": None, "op3_": None}.get(name[: name.index("_") + 1], "documents")
+    table = {"op5_": "pages", "op10_": None, "op3_": None, "op12_": "embeddings", "op13_": None}.get(name[: name.index("_") + 1], "documents")
     if table:
         assert got.count() == spark.read.parquet(f"{SF}/{table}.parquet").count()
 
