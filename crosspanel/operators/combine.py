@@ -8,19 +8,26 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from crosspanel.functions import networks
 from crosspanel.functions.stats import EPS, cross_section, zscore
+from crosspanel.operators import training
 from crosspanel.operators.evaluate import calendar, forward_return, ic, ir_summary
 from crosspanel.operators.features import walk_forward
+from crosspanel.operators.training import Plan
 from crosspanel.sources.shared import written
 
 #: Names that mark a factor as made by a model rather than from prices.
 MODEL_NAMES = ("gru", "transformer", "lightgbm", "svm", "rf")
 
 
+def filled(panel: DataFrame, factors: list[str]) -> DataFrame:
+    """``(stock, dt, factors)``: missing factors take the date's mean, else 0."""
+    return panel.select("stock", "dt", *[F.coalesce(F.col(f), F.avg(f).over(cross_section()), F.lit(0.0)).alias(f) for f in factors])
+
+
 def training_panel(panel: DataFrame, factors: list[str], k: int = 1) -> DataFrame:
     """``(stock, dt, factors, fwd)``: missing factors take the date's mean, else 0; rows without a later return are left out."""
-    filled = panel.select("stock", "dt", *[F.coalesce(F.col(f), F.avg(f).over(cross_section()), F.lit(0.0)).alias(f) for f in factors])
-    return filled.join(forward_return(panel, k), ["stock", "dt"])
+    return filled(panel, factors).join(forward_return(panel, k), ["stock", "dt"])
 
 
 def factor_direction(series: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -116,12 +123,25 @@ def boosted_signal(panel: DataFrame, factors: list[str], iterations: int = 200,
     return _predicted(panel, factors, put, model)
 
 
-def forest_signal(panel: DataFrame, factors: list[str], trees: int = 100, depth: int = 10) -> DataFrame:
-    """``(stock, dt, value)``: a random forest fitted on the first 80 % of dates."""
-    train, _ = _by_date(training_panel(panel, factors), (0.8, 1.0))
-    put = VectorAssembler(inputCols=factors, outputCol="features")
-    model = RandomForestRegressor(labelCol="fwd", numTrees=trees, maxDepth=depth, seed=1).fit(put.transform(train))
-    return _predicted(panel, factors, put, model)
+#: The network of the second model: batches of 256 rows, one less the concordance as its loss.
+NETWORK = Plan(networks.ccc_loss, batch=256, epochs=100, rate=0.001, patience=10)
+
+
+def network_signal(panel: DataFrame, factors: list[str], plan: Plan = NETWORK, widths: tuple[int, ...] = (128, 64, 32), rate: float = 0.3) -> DataFrame:
+    """``(stock, dt, value)``: a network of dense layers with batch norm and dropout.
+
+    Trained on the first 60 % of dates, the next 20 % deciding when to stop.  Factors and returns are scaled by the training
+    rows, and every row of the panel is predicted.
+    """
+    train, valid = _by_date(written(training_panel(panel, factors), "training"), (0.6, 0.8))
+    names = [*factors, "fwd"]
+    s = train.agg(*[f(c).alias(f"{c}_{k}") for c in names for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()  # two numbers a factor
+    mean, sd = {c: s[f"{c}_m"] or 0.0 for c in names}, {c: s[f"{c}_s"] or 1.0 for c in names}
+    x = F.array(*[(F.col(c) - mean[c]) / sd[c] for c in factors]).alias("x")
+    samples = [part.select(F.lit(name).alias("part"), "stock", "dt", x, ((F.col("fwd") - mean["fwd"]) / sd["fwd"]).alias("y")) for name, part in (("train", train), ("valid", valid))]
+    lanes = training.packed(samples[0].unionByName(samples[1]), F.struct("stock", "dt"), ["stock", "dt"], plan)
+    net = networks.mlp(len(factors), widths, rate)
+    return training.predicted(filled(panel, factors).select("stock", "dt", x), net, training.fit(lanes, net, plan), sd["fwd"], mean["fwd"])
 
 
 def sequence_signal(samples: DataFrame, returns: DataFrame, trees: int = 100, depth: int = 10) -> DataFrame:
@@ -137,7 +157,7 @@ def sequence_signal(samples: DataFrame, returns: DataFrame, trees: int = 100, de
 
 def final_signal(panel: DataFrame, factors: list[str], directions: dict[str, int]) -> DataFrame:
     """``(stock, dt, value)``: from the panel to the mean of the three models over the rows that all have."""
-    return ensemble(model1_signal(panel, directions), forest_signal(panel, factors), boosted_signal(panel, factors))
+    return ensemble(model1_signal(panel, directions), network_signal(panel, factors), boosted_signal(panel, factors))
 
 
 def walk_forward_signal(panel: DataFrame, factors: list[str], every: int = 12, trailing: int = 24, gap: int = 3) -> DataFrame:
@@ -175,8 +195,7 @@ def linear_signal(panel: DataFrame, factors: list[str], most: int = 10_000, stre
 
 
 def _predicted(panel: DataFrame, factors: list[str], put: VectorAssembler, model) -> DataFrame:
-    filled = panel.select("stock", "dt", *[F.coalesce(F.col(f), F.avg(f).over(cross_section()), F.lit(0.0)).alias(f) for f in factors])
-    return model.transform(put.transform(filled)).select("stock", "dt", F.col("prediction").alias("value"))
+    return model.transform(put.transform(filled(panel, factors))).select("stock", "dt", F.col("prediction").alias("value"))
 
 
 def ensemble(*signals: DataFrame) -> DataFrame:

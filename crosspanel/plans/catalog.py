@@ -621,7 +621,7 @@ def _(spark, d):
 
 @query("model2_signal")
 def _(spark, d):
-    return combine.forest_signal(study_wide(spark, d), list(sql.FACTORS))
+    return combine.network_signal(study_wide(spark, d), list(sql.FACTORS))
 
 
 @query("model3_signal")
