@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crosspanel.functions import networks
 from crosspanel.functions.stats import EPS, cross_section, zscore
-from crosspanel.operators import training
+from crosspanel.operators import linear, training, trees
 from crosspanel.operators.evaluate import calendar, forward_return, ic, ir_summary
 from crosspanel.operators.features import walk_forward
 from crosspanel.operators.training import Plan
+from crosspanel.operators.trees import Growth
 from crosspanel.sources.shared import written
 
 #: Names that mark a factor as made by a model rather than from prices.
@@ -100,6 +98,12 @@ def standard_scale(train: DataFrame, rows: DataFrame, columns: list[str]) -> Dat
     return rows.join(F.broadcast(stats)).withColumns(scaled).select(*rows.columns)
 
 
+def scales(rows: DataFrame, columns: list[str]) -> tuple[dict[str, float], dict[str, float]]:
+    """Means and population deviations, two numbers a column; 1 for a deviation that is zero or unknown."""
+    s = rows.agg(*[f(c).alias(f"{c}_{k}") for c in columns for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    return {c: s[f"{c}_m"] or 0.0 for c in columns}, {c: s[f"{c}_s"] or 1.0 for c in columns}
+
+
 def _by_date(panel: DataFrame, shares: tuple[float, float]) -> tuple[DataFrame, DataFrame]:
     days = calendar(panel)
     n = days.agg(F.count(F.lit(1)).alias("n"))
@@ -107,20 +111,16 @@ def _by_date(panel: DataFrame, shares: tuple[float, float]) -> tuple[DataFrame,
     return tuple(panel.join(F.broadcast(part.where((F.col("x") >= a) & (F.col("x") < b)).select("dt")), "dt", "left_semi") for a, b in ((0.0, shares[0]), (shares[0], shares[1])))
 
 
-def boosted_signal(panel: DataFrame, factors: list[str], iterations: int = 200, depth: int = 6) -> DataFrame:
-    """``(stock, dt, value)``: boosted trees.
+def boosted_signal(panel: DataFrame, factors: list[str], how: Growth = Growth()) -> DataFrame:
+    """``(stock, dt, value)``: regularised boosted trees.
 
-    Fitted on the first 60 % of dates, the next 20 % deciding after how many trees to stop; then that many are fitted on both.
+    Fitted on the first 64 % of dates, the next 16 % deciding after how many trees to stop; then that many are fitted on both.
     """
-    rows = written(training_panel(panel, factors), "training")
-    train, valid = _by_date(rows, (0.6, 0.8))
-    both = train.withColumn("is_valid", F.lit(False)).unionByName(valid.withColumn("is_valid", F.lit(True)))
-    put = VectorAssembler(inputCols=factors, outputCol="features")
-    ready = put.transform(both)
-    trees = GBTRegressor(labelCol="fwd", maxIter=iterations, maxDepth=depth, stepSize=0.05, subsamplingRate=0.8, seed=1)
-    best = trees.copy({trees.validationIndicatorCol: "is_valid"}).fit(ready).getNumTrees
-    model = trees.copy({trees.maxIter: max(1, best)}).fit(ready)
-    return _predicted(panel, factors, put, model)
+    fit, valid = _by_date(written(training_panel(panel, factors), "training"), (0.64, 0.8))
+    x = F.array(*factors).alias("x")
+    rows = [part.select(F.lit(later).alias("is_valid"), F.xxhash64("stock", "dt").alias("tie"), x, F.col("fwd").alias("y")) for later, part in ((False, fit), (True, valid))]
+    model = trees.fit(rows[0].unionByName(rows[1]), len(factors), how)
+    return trees.predicted(filled(panel, factors).select("stock", "dt", x), model)
 
 
 #: The network of the second model: batches of 256 rows, one less the concordance as its loss.
@@ -134,9 +134,7 @@ def network_signal(panel: DataFrame, factors: list[str], plan: Plan = NETWORK, w
     rows, and every row of the panel is predicted.
     """
     train, valid = _by_date(written(training_panel(panel, factors), "training"), (0.6, 0.8))
-    names = [*factors, "fwd"]
-    s = train.agg(*[f(c).alias(f"{c}_{k}") for c in names for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()  # two numbers a factor
-    mean, sd = {c: s[f"{c}_m"] or 0.0 for c in names}, {c: s[f"{c}_s"] or 1.0 for c in names}
+    mean, sd = scales(train, [*factors, "fwd"])
     x = F.array(*[(F.col(c) - mean[c]) / sd[c] for c in factors]).alias("x")
     samples = [part.select(F.lit(name).alias("part"), "stock", "dt", x, ((F.col("fwd") - mean["fwd"]) / sd["fwd"]).alias("y")) for name, part in (("train", train), ("valid", valid))]
     lanes = training.packed(samples[0].unionByName(samples[1]), F.struct("stock", "dt"), ["stock", "dt"], plan)
@@ -144,58 +142,41 @@ def network_signal(panel: DataFrame, factors: list[str], plan: Plan = NETWORK, w
     return training.predicted(filled(panel, factors).select("stock", "dt", x), net, training.fit(lanes, net, plan), sd["fwd"], mean["fwd"])
 
 
-def sequence_signal(samples: DataFrame, returns: DataFrame, trees: int = 100, depth: int = 10) -> DataFrame:
-    """``(stock, dt, value)``: a random forest on all steps and fields of ``samples(stock, dt, x)`` side by side.
-
-    Fitted on the first 80 % of the samples' dates, predicted for all.
-    """
-    flat = samples.select("stock", "dt", array_to_vector(F.flatten("x")).alias("features"))
-    train, _ = _by_date(flat.join(forward_return(returns), ["stock", "dt"]), (0.8, 1.0))
-    model = RandomForestRegressor(labelCol="fwd", numTrees=trees, maxDepth=depth, seed=1).fit(train)
-    return model.transform(flat).select("stock", "dt", F.col("prediction").alias("value"))
-
-
 def final_signal(panel: DataFrame, factors: list[str], directions: dict[str, int]) -> DataFrame:
     """``(stock, dt, value)``: from the panel to the mean of the three models over the rows that all have."""
     return ensemble(model1_signal(panel, directions), network_signal(panel, factors), boosted_signal(panel, factors))
 
 
-def walk_forward_signal(panel: DataFrame, factors: list[str], every: int = 12, trailing: int = 24, gap: int = 3) -> DataFrame:
+def walk_forward_sums(panel: DataFrame, factors: list[str]) -> DataFrame:
+    """``(dt, gram)``: sums of products of a one, the factors and the return scaled within its date."""
+    rows = training_panel(panel, factors)
+    return linear.gram_sums(rows.withColumn("fwd", F.coalesce(zscore("fwd", cross_section()), F.lit(0.0))), [*factors, "fwd"])
+
+
+def walk_forward_signal(panel: DataFrame, factors: list[str], every: int = 12, trailing: int = 24, gap: int = 3, strength: float = 0.01) -> DataFrame:
     """``(model, stock, dt, value)``: a linear model for every ``every``-th date, fitted on the trailing dates.
 
-    Returns are scaled within each date before fitting, and each date is predicted by the latest model up to it.  There
-    are as many fits as models: one for each stretch of ``every`` dates.
+    Returns are scaled within each date before fitting, and each date is predicted by the latest model up to it.  All
+    models come from one aggregation: rows are summed up once a date, and a model adds the sums of its dates.
     """
     plan = written(walk_forward(panel, every, trailing, gap), "walk")
-    rows = training_panel(panel, factors)
-    scaled = written(rows.withColumn("fwd", F.coalesce(zscore("fwd", cross_section()), F.lit(0.0))), "scaled")
-    put = VectorAssembler(inputCols=factors, outputCol="features")
-    filled = panel.select("stock", "dt", *[F.coalesce(F.col(f), F.avg(f).over(cross_section()), F.lit(0.0)).alias(f) for f in factors])
-    ready, found = written(filled, "filled"), None
-    for r in plan.select("model").distinct().orderBy("model").collect():
-        own = plan.where(F.col("model") == F.lit(r["model"]))
-        train = scaled.join(F.broadcast(own.where("role = 'train'").select("dt")), "dt", "left_semi")
-        use = ready.join(F.broadcast(own.where("role = 'use'").select("dt")), "dt", "left_semi")
-        model = LinearRegression(labelCol="fwd", regParam=0.01, solver="normal").fit(put.transform(train))
-        part = model.transform(put.transform(use)).select(F.lit(r["model"]).alias("model"), "stock", "dt", F.col("prediction").alias("value"))
-        found = part if found is None else found.unionByName(part)
-    return found
-
-
-def linear_signal(panel: DataFrame, factors: list[str], most: int = 10_000, strength: float = 0.01) -> DataFrame:
-    """``(stock, dt, value)``: a robust (Huber) linear model, in the place of a support vector one.
-
-    Fitted on at most ``most`` rows of the first 80 % of dates, those of the least hash.
-    """
-    train, _ = _by_date(training_panel(panel, factors), (0.8, 1.0))
-    few = train.orderBy(F.xxhash64("stock", "dt"), "stock", "dt").limit(most)
-    put = VectorAssembler(inputCols=factors, outputCol="features")
-    model = LinearRegression(labelCol="fwd", loss="huber", regParam=strength, maxIter=50).fit(put.transform(few))
-    return _predicted(panel, factors, put, model)
+    fits = linear.trailing_fits(walk_forward_sums(panel, factors), plan, len(factors), strength)
+    use = plan.where("role = 'use'").join(fits, "model").select("model", "dt", "weights")  # a row a date
+    x = F.array(F.lit(1.0), *factors)
+    value = F.aggregate(F.zip_with(x, "weights", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    return filled(panel, factors).join(F.broadcast(use), "dt").select("model", "stock", "dt", value.alias("value"))
 
 
-def _predicted(panel: DataFrame, factors: list[str], put: VectorAssembler, model) -> DataFrame:
-    return model.transform(put.transform(filled(panel, factors))).select("stock", "dt", F.col("prediction").alias("value"))
+def linear_signal(panel: DataFrame, factors: list[str], cost: float = 1.0, margin: float = 0.1) -> DataFrame:
+    """``(stock, dt, value)``: linear support vector regression with the squared loss beyond ``margin``, on all rows of the first 80 % of dates.
+
+    Factors and returns are scaled by the training rows; values are those of scaled returns.
+    """
+    train, _ = _by_date(written(training_panel(panel, factors), "training"), (0.8, 1.0))
+    mean, sd = scales(train, [*factors, "fwd"])
+    x = F.array(*[(F.col(c) - mean[c]) / sd[c] for c in factors]).alias("x")
+    w = linear.support_vector(train.select(x, ((F.col("fwd") - mean["fwd"]) / sd["fwd"]).alias("y")), len(factors), cost, margin)
+    return linear.predicted(filled(panel, factors).select("stock", "dt", x), w)
 
 
 def ensemble(*signals: DataFrame) -> DataFrame:

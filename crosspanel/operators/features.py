@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crosspanel.functions.stats import concordance, correlation, history, trailing
+from crosspanel.operators import selection
 from crosspanel.operators.evaluate import calendar, forward_return
 
 #: Fields of a step of a sequence, in order.
@@ -52,10 +53,11 @@ def sequences(panel: DataFrame, length: int = 40, step: int = 5) -> DataFrame:
 
 
 def robust_stats(samples: DataFrame) -> DataFrame:
-    """``(k, s, med, mad)`` of each step and field of the samples' sequences."""
-    cells = samples.select(F.posexplode("x").alias("k", "row")).select("k", F.posexplode("row").alias("s", "v")).withColumn("v", F.col("v").cast("double"))
-    med = cells.groupBy("k", "s").agg(F.median("v").alias("med"))
-    return cells.join(F.broadcast(med), ["k", "s"]).groupBy("k", "s").agg(F.first("med").alias("med"), (F.median(F.abs(F.col("v") - F.col("med"))) + 1e-8).alias("mad"))
+    """``(k, s, med, mad)`` of each step and field of the samples' sequences: exact medians by repeated histograms."""
+    cells = samples.select(F.posexplode("x").alias("k", "row")).select("k", F.posexplode("row").alias("s", "x"))
+    med = selection.median(cells, ["k", "s"]).withColumnRenamed("median", "med")
+    away = cells.join(F.broadcast(med), ["k", "s"]).select("k", "s", F.abs(F.col("x").cast("double") - F.col("med")).alias("x"))
+    return med.join(selection.median(away, ["k", "s"]), ["k", "s"]).select("k", "s", "med", (F.col("median") + 1e-8).alias("mad"))
 
 
 def robust_scaled(samples: DataFrame, stats: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crosspanel.functions.stats import cross_section
-from crosspanel.operators import backtest, combine, evaluate, factors, features, legacy, membership, preprocess
+from crosspanel.operators import backtest, combine, evaluate, factors, features, legacy, membership, preprocess, sequence_factors
 from crosspanel.plans import sql
 from crosspanel.sources import files, tables
 from crosspanel.sources.shared import written
@@ -655,10 +655,35 @@ def _(spark, d):
     return combine.final_signal(study_wide(spark, d), list(sql.FACTORS), TURNED)
 
 
+def _model_factor(spark, d, *models: str) -> DataFrame:
+    """The month panel has one return a month, so months are days here and years are months."""
+    return sequence_factors.model_factors(written(tables.prices(spark, d), "panel"), models, grain="year")
+
+
 @query("ml_factor")
 def _(spark, d):
-    panel = written(tables.prices(spark, d), "panel")
-    return combine.sequence_signal(features.sequences(panel), panel.select("stock", "dt", "ret"))
+    return _model_factor(spark, d, "lightgbm", "svm", "rf")
+
+
+@query("gru_factor")
+def _(spark, d):
+    return _model_factor(spark, d, "gru")
+
+
+@query("transformer_factor")
+def _(spark, d):
+    return _model_factor(spark, d, "transformer")
+
+
+GRAM = ("bias", "turn20", "fwd")
+SCALED = f"sr AS (SELECT tp.stock, tp.dt, {', '.join(f'tp.{f}' for f in sql.FACTORS)}, COALESCE((fwd - AVG(fwd) OVER (PARTITION BY tp.dt)) / (STDDEV_SAMP(fwd) OVER (PARTITION BY tp.dt) + 1e-8), 0) AS fwd FROM tp JOIN fwd ON fwd.stock = tp.stock AND fwd.dt = tp.dt)"
+
+
+@query("walk_forward_sums", PANEL, STUDY, sql.FORWARD, f"tp AS (SELECT stock, dt, {FILL} FROM ft)", SCALED, "SELECT dt, COUNT(*) AS n, " + ", ".join(f"ROUND(SUM({a} * {b}), 6) AS s_{a}_{b}" for k, a in enumerate(GRAM) for b in GRAM[k:]) + " FROM sr GROUP BY dt")
+def _(spark, d):
+    grams, names = combine.walk_forward_sums(study_wide(spark, d), list(sql.FACTORS)), ["one", *sql.FACTORS, "fwd"]
+    at = lambda a, b: F.get("gram", F.lit(names.index(a) * len(names) + names.index(b)))
+    return grams.select("dt", at("one", "one").cast("long").alias("n"), *[F.round(at(a, b), 6).alias(f"s_{a}_{b}") for k, a in enumerate(GRAM) for b in GRAM[k:]])
 
 
 @query("walk_forward_signal")
