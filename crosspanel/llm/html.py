@@ -1,23 +1,26 @@
 """Operator 5: main text of web pages.
 
-Markup settles most of it: what lies in an ``article`` (or else ``main``) is the article, and menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are not.  It leaves blocks in doubt:
-all of those of a page that has neither element, and those inside an article whose names may mean either, such as
-"related" or "notice".  For those the pages of a host are taken together: each page's doubtful blocks are one stream,
+A page is read once from front to back, state by state, so its cost is linear whatever it holds.  Markup settles most
+of it: the article is what lies in ``article`` elements if they have a good part of the text of the ``main`` around
+them (or of a page without ``main``), else what lies in ``main``; menus, headers, footers, sidebars, adverts, forms,
+scripts, styles and reader comments, by their elements or plain names, are not.  It leaves blocks in doubt: all of those
+of a page that has neither element, teasers (small articles in a ``main``), and those whose names may mean either, such as
+"related" or "share-price".  For those the pages of a host are taken together: each page's doubtful blocks are one stream,
 stretches of ``LONG`` bytes or more that repeat are found with the suffix array of ``suffix.py``, those that at least
 two pages of different content have are boilerplate, and so are doubtful blocks that they mostly cover; the rest stays.
 Pages of a host with equal blocks are one page.
 
 A block's character references are decoded and its white space becomes single spaces; blocks are joined by an
-empty line.  Null and empty pages have an empty text; repeated rows give repeated results; pages without a host
-share the empty one; an empty table gives an empty result; other columns are left out.  A very long page is read once
-by one task; an element without an end goes up to the end of the page.
+empty line.  A tag, comment or raw element without an end goes up to the end of the page.  Null and empty pages have an empty text; repeated rows give repeated results; pages without a host
+share the empty one; an empty table gives an empty result; other columns are left out and may
+have any name.  A very long page is read once by one task.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -33,90 +36,174 @@ LONG, ANCHOR = 60, 20
 #: Share of a block that has to be covered for it to be boilerplate.
 MOSTLY = 0.5
 
-_RAW = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|noscript|template|svg|iframe|textarea|object|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>")
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_SPACE, _GAP = re.compile(r"\s*+"), re.compile(r"[\s/]*+")
+_TAG_NAME, _NAME, _VALUE = re.compile(r"[^\s/>]++"), re.compile(r"=?[^\s/>=]*+"), re.compile(r"[^\s>]*+")
+#: Elements whose content is text up to their end tag.
+_RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in ("script", "style", "iframe", "textarea", "title")}
 _BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
-#: A head without an end goes up to the first block, or else has no text of its own (scripts and titles are out by then).
-_HEAD = re.compile(r"<head\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?:(?:(?!<body\b).)*?</head\s*>|.*?(?=<(?:" + "|".join(sorted(_BLOCK)) + r")\b)|)", re.S | re.I)
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-_DROP = set("nav footer aside form menu button select dialog".split())
-_UNWANTED = re.compile(
+_INLINE = set("p b i em strong span a u small font".split())
+_DROP = set("nav footer aside form menu button select dialog noscript template svg object".split())
+#: Names that mark what isn't the article wherever they stand, and names that may.
+_CLEAR = re.compile(r"ads?|adverts?|advertisements?|advertising|sponsored|sidebar|cookies?|consent|newsletter|subscribe|promo|banner|nav|footer|(?:reader|user)[-_]comments?(?:[-_][a-z0-9]+)*|comments?(?:[-_][a-z0-9]+)*|disqus(?:[-_][a-z0-9]+)*|(?:share|social)[-_](?:bar|buttons?|links?)|breadcrumbs?|navbar|navigation|popup|modal|contentinfo|complementary|search", re.I)
+_MAYBE = re.compile(
     r"(?:(?!no|has|with|without)[a-z0-9]+[-_])*(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|promo(?:tion)?|banner|sidebar|cookies?|consent|notices?|newsletter|subscribe|comments?|disqus|share|sharing|social|related|breadcrumbs?|menu|nav|navbar|navigation|footer|popup|modal|widget|contentinfo|complementary|search)(?:[-_][a-z0-9]+)*",
     re.I,
 )
-#: Names that mark such parts even inside an article; there the other words may be its own, and repeats decide.
-_CLEAR = re.compile(r"ads?|adverts?|advertisements?|advertising|sponsored|sidebar|cookies?|consent|newsletter|subscribe|(?:reader[-_]|user[-_])?comments?(?:[-_](?:area|box|form|list|section|thread))?|disqus|(?:share|social)[-_](?:bar|buttons?|links?)|breadcrumbs?|navbar|navigation|popup|modal|contentinfo|complementary|search", re.I)
+#: Longer names mark nothing.
+_LONGEST = 80
+#: An article is the page's if it has this share of the text of the ``main`` around it, or of a page without one.
+_OF_MAIN, _OF_PAGE = 1 / 2, 1 / 3
+
+
+def _tag(s: str, at: int) -> tuple[str, list[str], bool, int]:
+    """Name, class names with id and role, whether it closes itself, and the end of the tag whose name starts at ``at``; without an end it takes all."""
+    m = _TAG_NAME.match(s, at)
+    tag, p, marks, seen, slash = m[0].lower(), m.end(), [], set(), False
+    if s[p : p + 1] == ">":
+        return tag, marks, False, p + 1
+    while True:
+        q = _GAP.match(s, p).end()
+        slash = q > p and s[q - 1] == "/"
+        if q >= len(s):
+            return tag, marks, False, len(s)
+        if s[q] == ">":
+            return tag, marks, slash, q + 1
+        m = _NAME.match(s, q)
+        name, p = m[0].lower(), m.end()
+        q = _SPACE.match(s, p).end()
+        if s[q : q + 1] != "=":
+            continue
+        q = _SPACE.match(s, q + 1).end()
+        quote = s[q : q + 1]
+        if quote in ("'", '"') and quote:
+            p = s.find(quote, q + 1)
+            if p < 0:
+                return tag, marks, False, len(s)
+            value, p = s[q + 1 : p], p + 1
+        else:
+            m = _VALUE.match(s, q)
+            value, p = m[0], m.end()
+        if name in ("class", "id", "role") and name not in seen:
+            seen.add(name)
+            marks += value.split()
+
+
+def _tokens(s: str):
+    """Pieces of text (str) and tags (name, marks, closes itself, is an end tag) of a page, read once from front to back."""
+    at, n = 0, len(s)
+    while at < n:
+        lt = s.find("<", at)
+        if lt < 0:
+            yield s[at:]
+            return
+        if lt > at:
+            yield s[at:lt]
+        c = s[lt + 1 : lt + 2]
+        if s.startswith("<!--", lt):
+            end = s.find("-->", lt + 2)
+            at = n if end < 0 else end + 3
+        elif s.startswith("<![CDATA[", lt):
+            end = s.find("]]>", lt)
+            at = n if end < 0 else end + 3
+        elif c in ("!", "?") or (c == "/" and not s[lt + 2 : lt + 3].isascii()) or (c == "/" and not s[lt + 2 : lt + 3].isalpha()):
+            end = s.find(">", lt)
+            at = n if end < 0 else end + 1
+        elif c == "/":
+            tag, _, _, at = _tag(s, lt + 2)
+            yield tag, [], False, True
+        elif c.isascii() and c.isalpha():
+            tag, marks, closed, at = _tag(s, lt + 1)
+            yield tag, marks, closed, False
+            if tag in _RAW and not closed:
+                m = _RAW[tag].search(s, at)
+                at = n if m is None else m.start()
+        else:
+            yield "<"
+            at = lt + 1
 
 
-def _unwanted(attributes: str, names: re.Pattern) -> bool:
-    if "=" not in attributes:
-        return False
-    return any(names.fullmatch(name) for m in _NAMES.finditer(attributes) for name in (m[1] or m[2] or m[3] or "").split())
+def _marked(marks: list[str], names: re.Pattern) -> bool:
+    return any(len(x) <= _LONGEST and names.fullmatch(x) for x in marks)
 
 
 def blocks_of(page: str | None) -> tuple[list[str], list[bool]]:
     """Texts of a page's blocks in order, and of each whether its markup leaves in doubt that it is the article's."""
-    found: dict[str, list[tuple[str, bool]]] = {"article": [], "main": [], "": []}
-    stack: list[tuple[str, bool, str, bool]] = []  # tag, whether it is left out, region, whether it is in doubt
+    found: list[tuple[str, bool, bool, bool]] = []  # text, whether in an article, in main, in doubt
+    none = (False, False, False, False)
+    stack: list[tuple] = []  # tag, whether it is left out, in an article, in main, in doubt; whether a new paragraph ends one here
+    open_: Counter[str] = Counter()
     text: list[str] = []
-    skip, region, doubt = False, "", False
+    head: list[str] | None = None  # what stands in a head so far: it is dropped once the body begins
+    skip, article, main, doubt = none
 
     def close() -> None:
         if text:
             words = html.unescape("".join(text)).split()
             text.clear()
             if words:
-                found[region].append((" ".join(words), doubt))
-
-    def piece(s: str) -> None:
-        if s and not skip:
-            text.append(s)
-
-    source, at = _HEAD.sub(" ", _RAW.sub(" ", page or "")), 0
-    seen = set()
-    for m in _TAG.finditer(source):
-        if m.start() > at:
-            piece(source[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
+                found.append((" ".join(words), article, main, doubt))
+
+    def pop(k: int) -> tuple[bool, bool, bool, bool]:
+        for x in stack[k:]:
+            open_[x[0]] -= 1
+        del stack[k:]
+        return stack[-1][1:5] if stack else none
+
+    for token in _tokens(page or ""):
+        if isinstance(token, str):
+            if head is not None:
+                head.append(token)
+            elif not skip:
+                text.append(token)
+            continue
+        tag, marks, closed, ends = token
+        if tag == "head":
+            head = None if ends else []
             continue
+        if head is not None and not ends and tag in _BLOCK:
+            head = None
         if tag == "br" or (tag in _VOID and tag != "hr"):
-            piece(" ")
+            if not skip and head is None:
+                text.append(" ")
+            continue
+        if tag in _RAW:
             continue
         if tag in _BLOCK:
             close()
         if tag == "hr":
             continue
-        if not m[1]:
-            if tag == "p":
-                while stack and stack[-1][0] in ("p", "b", "i", "em", "strong", "span", "a", "u", "small", "font") and any(x[0] == "p" for x in stack[-8:]) and not m[3].endswith("/"):
-                    stack.pop()
-                skip, region, doubt = stack[-1][1:] if stack else (False, "", False)
-            if m[3].endswith("/"):
-                continue
-            drop = skip or tag in _DROP or (tag == "header" and region == "") or (tag not in ("main", "body", "html") and _unwanted(m[3], _CLEAR if "article" in (tag, region) else _UNWANTED))
-            doubt = doubt or (region == "article" and not drop and _unwanted(m[3], _UNWANTED))
-            if tag in ("article", "main") and not drop and region != "article":
-                region = tag
-                seen.add(tag)
-            stack.append((tag, drop, region, doubt))
-            skip = drop
-        else:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    skip, region, doubt = stack[-1][1:] if stack else (False, "", False)
-                    break
-    if at < len(source):
-        piece(source[at:])
+        if ends:
+            if open_[tag]:
+                k = len(stack) - 1
+                while stack[k][0] != tag:
+                    k -= 1
+                skip, article, main, doubt = pop(k)
+            continue
+        if tag == "p" and stack and stack[-1][5]:
+            k = len(stack) - 1
+            while stack[k][0] != "p":
+                k -= 1
+            skip, article, main, doubt = pop(k)
+        if closed:
+            continue
+        whole = tag in ("main", "body", "html")
+        skip = skip or tag in _DROP or (tag == "header" and not (article or main)) or (not whole and _marked(marks, _CLEAR))
+        doubt = doubt or (not whole and not skip and _marked(marks, _MAYBE))
+        article, main = article or tag == "article", main or tag == "main"
+        stack.append((tag, skip, article, main, doubt, tag == "p" or (tag in _INLINE and bool(stack) and stack[-1][5])))
+        open_[tag] += 1
+    if head and not skip:
+        text += head
     close()
-    for tag in ("article", "main"):
-        if tag in seen and found[tag]:
-            return [b for b, _ in found[tag]], [d for _, d in found[tag]]
-    rest = [b for b, _ in found[""] + found["main"]]
-    return rest, [True] * len(rest)
+    size = lambda rows: sum(len(x[0]) for x in rows)
+    own, around = [x for x in found if x[1]], [x for x in found if x[2]]
+    inner = size(x for x in own if x[2])
+    if around and not (inner >= _OF_MAIN * size(around) or size(own) - inner > size(around)):
+        return [x[0] for x in around], [x[3] or x[1] for x in around]  # an article in it is a teaser, perhaps
+    if own and (around or size(own) >= _OF_PAGE * size(found)):
+        return [x[0] for x in own], [x[3] for x in own]
+    return [x[0] for x in found], [True] * len(found)
 
 
 def _stream(host: str, blocks: list[str], doubts: list[bool]) -> str:
