@@ -72,13 +72,20 @@ def select_factors(scored: DataFrame, corr: DataFrame, least: int, most: int, le
     return kept[:most]
 
 
-def select_by_category(scored: DataFrame, corr: DataFrame, categories: dict[str, str], each: int = 2, least_ic: float = 0.02, close: float = 0.7) -> DataFrame:
-    """``(category, rank, factor, score)``: the best ``each`` factors of every category; names without one are "other"."""
-    kind = F.create_map(*[F.lit(x) for pair in categories.items() for x in pair]) if categories else F.lit(None)
-    named = scored.withColumn("category", F.coalesce(F.try_element_at(kind, F.col("factor")) if categories else F.lit(None).cast("string"), F.lit("other")))
-    good = select_factors(named, corr, 1, 10**6, least_ic, close)
-    rank = F.row_number().over(Window.partitionBy("category").orderBy(F.col("score").desc(), "factor"))
-    return named.where(F.col("factor").isin(good)).withColumn("rank", rank).where(F.col("rank") <= each).select("category", "rank", "factor", "score")
+def select_by_category(scored: DataFrame, corr: DataFrame, categories: dict[str, str], least: int = 1, most: int = 2, least_ic: float = 0.02, close: float = 0.7, limits: dict[str, tuple[int, int]] | None = None) -> DataFrame:
+    """``(category, rank, factor, score)``: ``select_factors`` in every category by itself; names without one are "other".
+
+    ``limits`` has least and most for a category where they differ.  A category with too few left has its best by score.
+    """
+    kind = F.create_map(*[F.lit(x) for pair in categories.items() for x in pair]) if categories else F.lit(None).cast("map<string,string>")
+    named = written(scored.withColumn("category", F.coalesce(F.try_element_at(kind, F.col("factor")), F.lit("other"))), "scored")
+    rows = []
+    for r in named.select("category").distinct().orderBy("category").collect():  # a row a category
+        low, high = (limits or {}).get(r["category"], (least, most))
+        names = select_factors(named.where(F.col("category") == r["category"]), corr, low, high, least_ic, close)
+        rows += [(r["category"], k, f) for k, f in enumerate(names, 1)]
+    chosen = named.sparkSession.createDataFrame(rows, "category string, rank int, factor string")
+    return chosen.join(named.select("category", "factor", "score"), ["category", "factor"]).select("category", "rank", "factor", "score")
 
 
 def model1_signal(panel: DataFrame, directions: dict[str, int]) -> DataFrame:

@@ -104,11 +104,15 @@ def held_return(weights: DataFrame, returns: DataFrame, days: DataFrame, *series
     """``(series, i, r)``: return on each date of the weights of the last rebalancing up to ``delay`` dates before it."""
     marks = weights.select(*series, "i").distinct().withColumn("until", F.lead("i").over(Window.partitionBy(*series).orderBy("i")))
     last = days.agg(F.max("i").alias("last"))
-    spans = marks.join(F.broadcast(last)).select(*series, F.col("i").alias("mark"), F.explode(F.sequence(F.col("i") + delay, F.greatest(F.col("i") + delay, F.coalesce(F.col("until") - 1 + delay, F.col("last"))))).alias("i")).join(F.broadcast(last)).where(F.col("i") <= F.col("last"))
-    daily = returns.where(F.col("ret").isNotNull()).join(F.broadcast(days), "dt").select("stock", "i", "ret")
+    upto = F.least(F.greatest(F.col("i") + delay, F.coalesce(F.col("until") - 1 + delay, F.col("last"))), F.col("last"))
+    spans = marks.join(F.broadcast(last)).select(*series, F.col("i").alias("mark"), (F.col("i") + delay).alias("since"), upto.alias("upto")).where("since <= upto")
+    # a date's returns go to the marks that any series holds on it (one, if all turn over together); weights aren't copied to dates
+    held_on = spans.groupBy("mark").agg(F.min("since").alias("since"), F.max("upto").alias("upto")).select("mark", F.explode(F.sequence("since", "upto")).alias("i"))
+    daily = returns.where(F.col("ret").isNotNull()).join(F.broadcast(days), "dt").join(held_on, "i").select("stock", "mark", "i", "ret")
     held = weights.withColumnRenamed("i", "mark").join(spans, [*series, "mark"])
-    earned = held.join(daily, ["stock", "i"], "left")
-    return earned.groupBy(*series, "i").agg(F.sum(F.col("weight") * F.coalesce("ret", F.lit(0.0))).alias("r"))
+    earned = held.join(daily, ["stock", "mark"]).where("i BETWEEN since AND upto").groupBy(*series, "i").agg(F.sum(F.col("weight") * F.col("ret")).alias("r"))
+    grid = spans.select(*series, F.explode(F.sequence("since", "upto")).alias("i"))
+    return grid.join(earned, [*series, "i"], "left").fillna(0.0, ["r"])
 
 
 def layer_nav(factors: DataFrame, returns: DataFrame, layers: int = 5, freq: int = 5, fee: float = 0.001, lag: int | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crosspanel.functions.stats import cross_section
-from crosspanel.operators import backtest, combine, evaluate, factors, features, legacy, membership, preprocess, sequence_factors
+from crosspanel.operators import asof, backtest, combine, evaluate, factors, features, legacy, membership, preprocess, sequence_factors, trees
 from crosspanel.plans import sql
 from crosspanel.sources import files, tables
 from crosspanel.sources.shared import written
@@ -408,7 +408,14 @@ def _(spark, d):
     return rounded(evaluate.high_corr_pairs(evaluate.factor_corr(study_wide(spark, d), list(sql.FACTORS)), 0.05), "corr")
 
 
-@query("pruned_factors")
+PRUNED = [
+    "pr AS (SELECT a, b, ROW_NUMBER() OVER (ORDER BY ABS(corr) DESC, a, b) AS k FROM fcr WHERE ABS(corr) >= 0.05)",
+    "walk AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS keep, CAST([] AS VARCHAR[]) AS gone UNION ALL SELECT k, keep, CASE WHEN list_contains(keep, b) OR list_contains(gone, b) THEN gone ELSE list_append(gone, b) END FROM (SELECT p.k, CASE WHEN list_contains(w.gone, p.a) OR list_contains(w.keep, p.a) THEN w.keep ELSE list_append(w.keep, p.a) END AS keep, w.gone, p.b FROM walk w JOIN pr p ON p.k = w.k + 1) q)",
+    "ended AS (SELECT ARG_MAX(keep, k) AS keep, ARG_MAX(gone, k) AS gone FROM walk)",
+]
+
+
+@query("pruned_factors", PANEL, STUDY, CORR, *PRUNED, "SELECT UNNEST(keep) AS factor, TRUE AS keep FROM ended UNION ALL SELECT UNNEST(gone), FALSE FROM ended")
 def _(spark, d):
     keep, drop = evaluate.pruned(evaluate.factor_corr(study_wide(spark, d), list(sql.FACTORS)), 0.05)
     return spark.createDataFrame([(f, True) for f in keep] + [(f, False) for f in drop], "factor string, keep boolean")
@@ -597,7 +604,24 @@ def _(spark, d):
     return rounded(combine.factor_score(_summary(spark, d)).select("factor", "score"), "score")
 
 
-@query("select_factors")
+SCORE = "0.3 * ABS(ic_mean) + 0.3 * ABS(ir) + 0.2 * CASE WHEN is_monotone THEN 1 ELSE 0 END + GREATEST(0, LEAST(COALESCE(annual, 0), 0.1)) + GREATEST(0, LEAST(COALESCE(sharpe / 2, 0), 0.1))"
+
+
+def chosen(category: str, least_ic: float, least: int, most: int) -> list[str]:
+    """Greedy choice by score within each category, as a walk down its ranking; ``picks(category, score list, names)``."""
+    return [
+        *SUMMARY,
+        CORR,
+        "near AS (SELECT f, LIST(g) AS near FROM (SELECT a AS f, b AS g FROM fcr WHERE ABS(corr) > 0.7 UNION ALL SELECT b, a FROM fcr WHERE ABS(corr) > 0.7) q GROUP BY f)",
+        f"scores AS (SELECT irs.factor, {category} AS category, ic_mean, {SCORE} AS score FROM irs JOIN ls ON ls.factor = irs.factor JOIN mono ON mono.factor = irs.factor)",
+        "ranking AS (SELECT scores.*, COALESCE(near, CAST([] AS VARCHAR[])) AS near, ROW_NUMBER() OVER (PARTITION BY category ORDER BY score DESC, factor) AS k FROM scores LEFT JOIN near ON near.f = scores.factor)",
+        f"walk AS (SELECT DISTINCT category, CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS kept FROM ranking UNION ALL SELECT w.category, r.k, CASE WHEN ABS(r.ic_mean) >= {least_ic} AND NOT list_has_any(w.kept, r.near) THEN list_append(w.kept, r.factor) ELSE w.kept END FROM walk w JOIN ranking r ON r.category = w.category AND r.k = w.k + 1)",
+        f"few AS (SELECT category, LIST(factor ORDER BY k)[1:{least}] AS best FROM ranking GROUP BY category)",
+        f"picks AS (SELECT few.category, CASE WHEN LEN(kept) < {least} THEN best ELSE kept END[1:{most}] AS names FROM (SELECT category, ARG_MAX(kept, k) AS kept FROM walk GROUP BY category) q JOIN few ON few.category = q.category)",
+    ]
+
+
+@query("select_factors", PANEL, *chosen("'all'", 0.02, 2, 4), "SELECT CAST(UNNEST(RANGE(LEN(names))) AS INTEGER) AS rank, UNNEST(names) AS factor FROM picks")
 def _(spark, d):
     wide = study_wide(spark, d)
     names = combine.select_factors(combine.factor_score(_summary(spark, d)), evaluate.factor_corr(wide, list(sql.FACTORS)), 2, 4)
@@ -691,11 +715,42 @@ def _(spark, d):
     return combine.walk_forward_signal(study_wide(spark, d), list(sql.FACTORS))
 
 
-@query("select_by_category")
+KINDS = {"bias": "price", "apb": "price", "new_high_ratio": "price", "id_vol": "risk", "turn20": "turnover", "turnover_bias": "turnover"}
+KIND = "CASE irs.factor " + " ".join(f"WHEN '{f}' THEN '{k}'" for f, k in KINDS.items()) + " ELSE 'other' END"
+
+
+@query("select_by_category", PANEL, *chosen(KIND, 0.0, 1, 2), "SELECT p.category, CAST(p.rank AS INTEGER) AS rank, p.factor, ROUND(score, 8) AS score FROM (SELECT category, UNNEST(RANGE(1, LEN(names) + 1)) AS rank, UNNEST(names) AS factor FROM picks) p JOIN scores ON scores.factor = p.factor")
 def _(spark, d):
-    kinds = {"bias": "price", "apb": "price", "new_high_ratio": "price", "id_vol": "risk", "turn20": "turnover", "turnover_bias": "turnover"}
     corr = evaluate.factor_corr(study_wide(spark, d), list(sql.FACTORS))
-    return combine.select_by_category(combine.factor_score(_summary(spark, d)), corr, kinds, least_ic=0.0)
+    return rounded(combine.select_by_category(combine.factor_score(_summary(spark, d)), corr, KINDS, least_ic=0.0), "score")
+
+
+TREE_ROWS = [
+    "ty AS (SELECT tp.*, fwd FROM tp JOIN fwd ON fwd.stock = tp.stock AND fwd.dt = tp.dt)",
+    "tu AS (" + " UNION ALL ".join(f"SELECT {k} AS f, {f} AS x, (SELECT AVG(fwd) FROM ty) - fwd AS g FROM ty" for k, f in enumerate(sql.FACTORS)) + ")",
+    "tc AS (SELECT DISTINCT f, x AS c FROM (SELECT f, x, ROW_NUMBER() OVER (PARTITION BY f ORDER BY x) - 1 AS p, COUNT(*) OVER (PARTITION BY f) AS n FROM tu) q WHERE p IN (SELECT UNNEST([LEAST(j * n // 256, n - 1) FOR j IN RANGE(1, 256)])))",
+    "ts AS (SELECT f, c, SUM(g) FILTER (WHERE x < c) AS gl, COUNT(*) FILTER (WHERE x < c) AS hl, SUM(g) AS gt, COUNT(*) AS ht FROM tc JOIN tu USING (f) GROUP BY f, c)",
+]
+#: Gradients shrunk by 0.1, counts raised by 1, at least 3 rows on each side.
+SHRUNK = "POWER(GREATEST(ABS({g}) - 0.1, 0), 2) / ({h} + 1)"
+GAIN = f"{SHRUNK.format(g='gl', h='hl')} + {SHRUNK.format(g='(gt - gl)', h='(ht - hl)')} - {SHRUNK.format(g='gt', h='ht')}"
+NAMES = "[" + ", ".join(f"'{f}'" for f in sql.FACTORS) + "]"
+
+
+@query("first_split", PANEL, STUDY, sql.FORWARD, f"tp AS (SELECT stock, dt, {FILL} FROM ft)", *TREE_ROWS, f"SELECT {NAMES}[f + 1] AS feature, ROUND(c, 8) AS threshold, ROUND({GAIN}, 8) AS gain, hl AS n_left FROM ts WHERE hl >= 3 AND ht - hl >= 3 AND {GAIN} >= 0 ORDER BY ROUND({GAIN}, 12) DESC, f, c LIMIT 1")
+def _(spark, d):
+    """The first split of the boosted trees, with the bins that they use, on all rows of the training panel."""
+    rows = combine.training_panel(study_wide(spark, d), list(sql.FACTORS))
+    ready = rows.select(F.lit(False).alias("is_valid"), F.xxhash64("stock", "dt").alias("tie"), F.array(*sql.FACTORS).alias("x"), F.col("fwd").alias("y"))
+    return rounded(trees.first_split(ready, list(sql.FACTORS), trees.Growth(gamma=0.0)), "threshold", "gain")
+
+
+@query("asof_join", PANEL, "SELECT l.stock, l.dt, r.dt AS since, ROUND(r.ret, 8) AS jump FROM rt l ASOF LEFT JOIN (SELECT stock, dt, ret FROM rt WHERE ret > 0.1) r ON l.stock = r.stock AND l.dt >= r.dt")
+def _(spark, d):
+    """Of each stock and date the last large rise up to it."""
+    panel = written(tables.prices(spark, d).select("stock", "dt", "ret"), "panel")
+    jumps = panel.where("ret > 0.1").select("stock", "dt", F.col("dt").alias("since"), F.col("ret").alias("jump"))
+    return rounded(asof.asof_join(panel.select("stock", "dt"), jumps, ["stock"], "dt", block=F.year("dt")), "jump")
 
 
 # ---- backtest ---------------------------------------------------------------------------------------------------

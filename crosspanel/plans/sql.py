@@ -153,5 +153,5 @@ def rounded(columns: str, source: str, plain: str = "", where: str = "") -> str:
 
 
 def query(*parts: str) -> str:
-    """Common table expressions, the last part being the query."""
-    return "WITH " + ",\n".join(parts[:-1]) + "\n" + parts[-1]
+    """Common table expressions, the last part being the query; one named ``walk`` refers to itself."""
+    return ("WITH RECURSIVE " if any(p.startswith("walk AS") for p in parts) else "WITH ") + ",\n".join(parts[:-1]) + "\n" + parts[-1]
