@@ -149,11 +149,6 @@ def network_signal(panel: DataFrame, factors: list[str], plan: Plan = NETWORK, w
     return training.predicted(filled(panel, factors).select("stock", "dt", x), net, training.fit(lanes, net, plan), sd["fwd"], mean["fwd"])
 
 
-def final_signal(panel: DataFrame, factors: list[str], directions: dict[str, int]) -> DataFrame:
-    """``(stock, dt, value)``: from the panel to the mean of the three models over the rows that all have."""
-    return ensemble(model1_signal(panel, directions), network_signal(panel, factors), boosted_signal(panel, factors))
-
-
 def walk_forward_sums(panel: DataFrame, factors: list[str]) -> DataFrame:
     """``(dt, gram)``: sums of products of a one, the factors and the return scaled within its date."""
     rows = training_panel(panel, factors)

@@ -30,10 +30,14 @@ def gen_base(factors: DataFrame) -> DataFrame:
 def trading_state(panel: DataFrame, limit: float = 0.1, price: str = "close_adj") -> DataFrame:
     """``(stock, dt, price, can_buy, can_sell)``: not without volume, not at the price limit of that side.
 
-    ``price`` is the column that trades are priced by, such as ``close_adj`` or ``vwap``.
+    ``price`` is the column that trades are priced by; where it is missing or zero, as an average price without trades is,
+    the last adjusted close before that date takes its place.
     """
     traded, ret = F.coalesce(F.col("volume") > 0, F.lit(False)), F.coalesce("ret", F.lit(0.0))
-    return panel.select("stock", "dt", F.col(price).alias("price"), (traded & (ret < limit)).alias("can_buy"), (traded & (ret > -limit)).alias("can_sell"))
+    known = F.col(price)
+    if price != "close_adj":
+        known = F.coalesce(F.when(known != 0, known), F.lag("close_adj").over(Window.partitionBy("stock").orderBy("dt")))
+    return panel.select("stock", "dt", known.alias("price"), (traded & (ret < limit)).alias("can_buy"), (traded & (ret > -limit)).alias("can_sell"))
 
 
 def _filled(state: DataFrame, days: DataFrame) -> DataFrame:

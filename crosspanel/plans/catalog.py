@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crosspanel.functions.stats import cross_section
-from crosspanel.operators import asof, backtest, combine, evaluate, factors, features, legacy, membership, preprocess, sequence_factors, trees
+from crosspanel.operators import asof, backtest, combine, evaluate, factors, features, legacy, membership, preprocess, sequence_factors, strategy, trees
 from crosspanel.plans import sql
 from crosspanel.sources import files, tables
-from crosspanel.sources.shared import written
+from crosspanel.sources.shared import new_folder, written
+from crosspanel.sources.stages import Stages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -676,17 +677,24 @@ def _(spark, d):
 
 @query("final_signal")
 def _(spark, d):
-    return combine.final_signal(study_wide(spark, d), list(sql.FACTORS), TURNED)
+    """From the analysis of the factors to the mean of the three models, read from their saved tables."""
+    stages = Stages(spark, new_folder(spark, "signal"), [f"{d}/{t}.parquet" for t in ("lineitem", "orders")])
+    return strategy.predictions(study_wide(spark, d), list(sql.FACTORS), stages)["final"]
 
 
-def _model_factor(spark, d, *models: str) -> DataFrame:
+def _model_factor(spark, d, *models: str, horizons: tuple[str, ...] = sequence_factors.HORIZONS) -> DataFrame:
     """The month panel has one return a month, so months are days here and years are months."""
-    return sequence_factors.model_factors(written(tables.prices(spark, d), "panel"), models, grain="year")
+    return sequence_factors.model_factors(written(tables.prices(spark, d), "panel"), models, horizons, grain="year")
 
 
 @query("ml_factor")
 def _(spark, d):
-    return _model_factor(spark, d, "lightgbm", "svm", "rf")
+    return _model_factor(spark, d, "svm", "rf")
+
+
+@query("lightgbm_factor")
+def _(spark, d):
+    return _model_factor(spark, d, "lightgbm", horizons=("daily",))
 
 
 @query("gru_factor")
@@ -696,7 +704,7 @@ def _(spark, d):
 
 @query("transformer_factor")
 def _(spark, d):
-    return _model_factor(spark, d, "transformer")
+    return _model_factor(spark, d, "transformer", horizons=("daily",))
 
 
 GRAM = ("bias", "turn20", "fwd")

@@ -6,6 +6,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from crosspanel.sources.stages import files_of
+
 PRICES = "stock_code string, trade_dt string, close_price double, open_price double, high_price double, low_price double, close_adj double, volume double, amount double, vwap double, adj_factor double"
 MARKET_VALUE = "stock_code string, trade_dt string, total_mv double, free_mv double"
 TURNOVER = "stock_code string, trade_dt string, amount double"
@@ -26,12 +28,18 @@ def read_csv(spark: SparkSession, path: str, schema: str, dates: tuple[str, ...]
     return df.withColumns(fixed)
 
 
-def read_jdbc(spark: SparkSession, url: str, query: str, column: str | None = None, bounds: tuple | None = None, partitions: int = 8, **options: str) -> DataFrame:
-    """A database table or query; with ``column`` and ``bounds`` it is read in parallel ranges."""
-    reader = spark.read.format("jdbc").option("url", url).options(**options)
-    if column and bounds:
-        return reader.option("dbtable", f"({query}) q").option("partitionColumn", column).option("lowerBound", bounds[0]).option("upperBound", bounds[1]).option("numPartitions", partitions).load()
-    return reader.option("query", query).load()
+def read_jdbc(spark: SparkSession, url: str, table: str, stocks: list[str] | None = None, column: str = "stock_code", batch: int = 100, **options: str) -> DataFrame:
+    """A database table; with ``stocks`` only their rows, read in parallel by batches of that many names.
+
+    Later filters and selections of columns are handed to the database, together with each batch's condition; a batch whose
+    connection fails is read again by its task alone.
+    """
+    if stocks is None:
+        return spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**options).load()
+    names = sorted(set(stocks))
+    quoted = lambda part: ", ".join("'" + x.replace("'", "''") + "'" for x in part)
+    conditions = [f"{column} IN ({quoted(names[k : k + batch])})" for k in range(0, len(names), batch)] or ["1 = 0"]
+    return spark.read.jdbc(url, table, predicates=conditions, properties=options)
 
 
 def wide_to_long(wide: DataFrame, stock: str = "stock", name: str = "value") -> DataFrame:
@@ -66,6 +74,13 @@ def read_signals(spark: SparkSession, paths: dict[str, str]) -> tuple[DataFrame,
     return read_factors(spark, found).withColumnRenamed("factor", "signal"), missing
 
 
+def read_factor_folder(spark: SparkSession, folder: str, expected: tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]:
+    """``(factor, stock, dt, value)`` of all CSV files of a folder but the summary, and the expected names that have none."""
+    named = {path.rpartition("/")[2].removesuffix(".csv"): path for path, _, _ in files_of(spark, folder) if path.endswith(".csv")}
+    named.pop("factor_summary", None)
+    return read_factors(spark, named), sorted(set(expected) - set(named))
+
+
 def column_with(columns: list[str], *parts: str) -> str | None:
     """The first column whose name has one of ``parts``, whatever its case."""
     return next((c for c in columns if any(p.upper() in c.upper() for p in parts)), None)
@@ -107,10 +122,6 @@ def write_wide_csv(panel: DataFrame, value: str, path: str) -> None:
     long_to_wide(panel, value, dates).write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_table(df: DataFrame, path: str, *partition: str) -> None:
-    df.write.mode("overwrite").partitionBy(*partition).parquet(path)
-
-
 def factor_summary(tidy: DataFrame) -> DataFrame:
     """Per factor: stocks, dates and the percentage of the stock x date grid that has no value."""
     with_value = F.col("value").isNotNull()
