@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 EPS = 1e-8
@@ -33,6 +33,17 @@ def roll(agg: Callable[[Column], Column], x: Column | str, n: int, at_least: int
     return F.when(F.count(x).over(trailing(n)) >= (n if at_least is None else at_least), agg(x).over(trailing(n)))
 
 
+def with_long_mean(panel: DataFrame, x: str, n: int, name: str, at_least: int = 1) -> DataFrame:
+    """``panel`` with the mean of the last ``n`` rows' known values, from ``at_least`` of them on.
+
+    A long window is the difference of two running sums, which cost one step a row instead of ``n``.
+    """
+    upto = history().rowsBetween(Window.unboundedPreceding, 0)
+    df = panel.withColumns({"_s": F.coalesce(F.sum(x).over(upto), F.lit(0.0)), "_c": F.count(x).over(upto)})
+    inside = {c: F.col(c) - F.coalesce(F.lag(c, n).over(history()), F.lit(0)) for c in ("_s", "_c")}
+    return df.withColumns(inside).withColumn(name, F.when(F.col("_c") >= max(1, at_least), F.col("_s") / F.col("_c"))).drop("_s", "_c")
+
+
 def deviation(x: Column | str, n: int) -> Column:
     """Relative distance of a value from its rolling mean."""
     x = F.col(x) if isinstance(x, str) else x

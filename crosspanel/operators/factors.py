@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crosspanel.functions.stats import EPS, cross_section, deviation, history, roll, trailing, zscore
+from crosspanel.functions.stats import EPS, cross_section, deviation, history, roll, with_long_mean, zscore
 from crosspanel.operators.membership import filter_members
 
 #: Outputs of ``all_factors`` that need a stock's own history only.
@@ -56,9 +56,9 @@ def turn20(panel: DataFrame, n: int = 20) -> DataFrame:
 
 def cgo(panel: DataFrame, n: int = 252) -> DataFrame:
     """Distance of the close from the mean of the last ``n`` known closes, from row ``n`` + 1 on; under both its names."""
-    mean = F.avg("close_adj").over(trailing(n))
-    gain = F.when(F.row_number().over(history()) > n, (F.col("close_adj") - mean) / (mean + EPS))
-    return panel.withColumns({"cgo": gain, "rcgo": gain})
+    df = with_long_mean(panel, "close_adj", n, "_mean")
+    gain = F.when(F.row_number().over(history()) > n, (F.col("close_adj") - F.col("_mean")) / (F.col("_mean") + EPS))
+    return df.withColumns({"cgo": gain, "rcgo": gain}).drop("_mean")
 
 
 def sue(panel: DataFrame) -> DataFrame:
@@ -93,8 +93,8 @@ def ubl(panel: DataFrame) -> DataFrame:
 
 def tcc(panel: DataFrame, n: int = 252, at_least: int = 60) -> DataFrame:
     """Inverse of the mean squared cross-sectional score of returns."""
-    df = panel.withColumn("_z2", F.pow(zscore("ret", cross_section()), 2))
-    return df.withColumn("tcc", 1 / (roll(F.avg, "_z2", n, at_least) + EPS)).drop("_z2")
+    df = with_long_mean(panel.withColumn("_z2", F.pow(zscore("ret", cross_section()), 2)), "_z2", n, "_mean", at_least)
+    return df.withColumn("tcc", 1 / (F.col("_mean") + EPS)).drop("_z2", "_mean")
 
 
 def scc(panel: DataFrame, n: int = 20, at_least: int | None = None, block: int = 2000) -> DataFrame:

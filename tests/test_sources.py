@@ -4,11 +4,12 @@ import datetime
 import glob
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from crosspanel.operators import asof, legacy, strategy
-from crosspanel.sources import files, ingest
+from crosspanel.sources import arrays, files, ingest
 from crosspanel.sources.stages import Stages
 
 DAY = datetime.date(2024, 1, 15)
@@ -125,3 +126,26 @@ def test_average_price_falls_back_to_the_close_before(spark):
     panel = spark.createDataFrame(rows, "stock long, dt date, close_adj double, vwap double, volume double, ret double")
     assert [r["price"] for r in legacy.trading_state(panel, price="vwap").orderBy("stock", "dt").collect()] == [10.5, 10.0, 11.0, None]
     assert [r["price"] for r in legacy.trading_state(panel).orderBy("stock", "dt").collect()] == [10.0, 11.0, 12.0, 7.0]
+
+
+@pytest.mark.parametrize("kind", ["<f8", "<f4", ">i2", "u1"])
+def test_npy_blocks(spark, tmp_path, kind):
+    x = np.random.default_rng(3).integers(0, 200, size=(1000, 4, 3)).astype(kind)
+    np.save(f"{tmp_path}/x.npy", x)
+    got = arrays.read_npy(spark, f"{tmp_path}/x.npy", block=90 * 12 * x.itemsize)
+    assert got.rdd.getNumPartitions() == 12
+    assert [r["x"] for r in got.orderBy("row").collect()] == x.reshape(1000, 12).astype(float).tolist()
+    few = arrays.read_npy(spark, f"file://{tmp_path}/x.npy", columns=[2, 11]).orderBy("row").collect()
+    assert [r["x"] for r in few] == x.reshape(1000, 12)[:, [2, 11]].astype(float).tolist()
+
+
+def test_npy_of_one_dimension_and_none(spark, tmp_path):
+    np.save(f"{tmp_path}/one.npy", np.arange(5.0))
+    np.save(f"{tmp_path}/none.npy", np.zeros((0, 3)))
+    assert [(r["row"], r["x"]) for r in arrays.read_npy(spark, f"{tmp_path}/one.npy").orderBy("row").collect()] == [(k, [float(k)]) for k in range(5)]
+    assert arrays.read_npy(spark, f"{tmp_path}/none.npy").count() == 0
+    np.save(f"{tmp_path}/names.npy", np.array(["a", "b"]))
+    np.save(f"{tmp_path}/columns.npy", np.asfortranarray(np.ones((3, 2))))
+    for name in ("names", "columns"):
+        with pytest.raises(Exception, match="not an array of numbers|one after another"):
+            arrays.read_npy(spark, f"{tmp_path}/{name}.npy").count()
