@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -25,10 +28,37 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Paths of the tables written inside each open ``scratch``.
+_OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("scratch", default=())
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables that ``cut`` writes inside are removed at the end.  What is yielded is a ``cut`` whose table stays."""
+    made, stay = [], []
+    token = _OPEN.set((*_OPEN.get(), made))
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        out = cut(df, name)
+        stay.append(made.pop())
+        return out
+
+    try:
+        yield kept
+    finally:
+        _OPEN.reset(token)
+        for path in made:
+            remove(spark, path)
+        for outer in _OPEN.get()[-1:]:
+            outer.extend(stay)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: lineage ends there, and a lost executor costs nothing."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    for inner in _OPEN.get()[-1:]:
+        inner.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crosspanel.llm._shared import U64, Rolling, cut, mix, signed, text_bytes, texts, word_hashes
+from crosspanel.llm._shared import U64, Rolling, cut, mix, scratch, signed, text_bytes, texts, word_hashes
 from crosspanel.llm.blocks import planes, unplane
 from crosspanel.llm.components import components
 
@@ -536,10 +536,11 @@ def near_duplicates_dropped(docs: DataFrame, shingle: int = 5, similarity: float
     own = [f"c{k}" for k in range(len(docs.columns))]  # so that no column of ``docs`` clashes with the names used here
     id_col, text_col = (own[docs.columns.index(c)] for c in (id_col, text_col))
     rows = cut(docs.toDF(*own).withColumn(KEY, F.monotonically_increasing_id()), "rows")  # written, so that keys stay as they are
-    found = similar_groups(rows, shingle, similarity, text_col)
-    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(KEY)))
-    kept = rows.select(KEY, id_col).join(found, KEY).groupBy("component").agg(first.alias("first")).select(f"first.{KEY}")
-    return _of_keys(rows, cut(kept, "kept")).select(*own).toDF(*docs.columns)
+    with scratch(docs.sparkSession) as stays:
+        found = similar_groups(rows, shingle, similarity, text_col)
+        first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(KEY)))
+        kept = stays(rows.select(KEY, id_col).join(found, KEY).groupBy("component").agg(first.alias("first")).select(f"first.{KEY}"), "kept")
+    return _of_keys(rows, kept).select(*own).toDF(*docs.columns)
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
