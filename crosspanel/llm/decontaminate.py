@@ -8,20 +8,21 @@ words don't hide a passage.  Such a stretch of ``LEAST`` words, or of the whole
 The masks lose nothing: any stretch of ``LEAST`` or more words that agrees enough has one of ``MASKS`` where all
 words are equal, and a shorter item that agrees enough has one of its ``whole_masks``.
 
-Words are runs of letters and digits in lower case; each sign of Chinese, Japanese and Korean scripts is a word.  Items
+Words are runs of letters, their marks and digits in lower case; each sign of Chinese, Japanese and Korean scripts is a word.  Items
 under five words have to be equal as a whole, since one substitution leaves them less than ``AGREE``.  Null and empty
 texts have no words; repeated rows give repeated results; an empty table on either side gives an empty result.  Of the
-ways in which an item can lie on a very long text, only those with enough equal words are looked at one by one.
+ways in which an item can lie on a very long text, only those with enough equal words are looked at; many of them, as in
+texts of a few words repeated, are walked along together in blocks of bounded size.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,10 +35,12 @@ LEAST, AGREE = 13, 0.8
 MASKS = ("1101111", "110010001011", "110101011", "1110111")
 #: Masked hashes of the benchmark up to which they are sent to all tasks as a filter; more are joined unfiltered.
 FILTER = 4_000_000
+#: Cells (ways to lie x words of the item) that are compared at once, and ways from which all are walked along together.
+CELLS, FEW = 4_000_000, 16
 
 _BLACK = np.array([c >= 0x80 or chr(c).isalnum() for c in range(256)])
 _SIGN = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af\uf900-\ufaff"
-_WORD = re.compile(f"[{_SIGN}]|[^\\W_{_SIGN}]+")
+_WORD = regex.compile(f"[{_SIGN}]|(?:(?![_{_SIGN}])[\\w\\p{{M}}])+")
 
 
 def words_of(text: str | None) -> np.ndarray:
@@ -131,19 +134,63 @@ def overlap(a: np.ndarray, b: np.ndarray, diagonal: int) -> tuple[int, int, int]
     return best
 
 
+def _longest(same: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row of ``same`` (whether words are equal) the length of the longest stretch within ``lo`` to ``hi`` that agrees enough, and the rows' scores before each word.
+
+    A stretch agrees if its score doesn't fall; starts that are lowest so far and ends that are highest from there on are
+    walked along together, for all rows at once.
+    """
+    n, width = same.shape
+    score = np.concatenate([np.zeros((n, 1)), np.cumsum(same - AGREE, 1)], 1)
+    place = np.arange(width + 1)
+    low = np.minimum.accumulate(np.where(place < lo[:, None], np.inf, score), 1)
+    high = np.maximum.accumulate(np.where(place > hi[:, None], -np.inf, score)[:, ::-1], 1)[:, ::-1]
+    rows, i, j, best = np.arange(n), lo.copy(), lo.copy(), np.zeros(n, np.int64)
+    while len(rows):
+        more = high[rows, j[rows]] >= low[rows, i[rows]] - 1e-9
+        best[rows] = np.where(more, np.maximum(best[rows], j[rows] - i[rows]), best[rows])
+        j[rows] += more
+        i[rows] += ~more
+        rows = rows[(j[rows] <= hi[rows]) & (i[rows] <= hi[rows])]
+    return best, score
+
+
 def best_overlap(v: np.ndarray, item: np.ndarray, diagonals: np.ndarray) -> tuple[int, int, int]:
     """Length, equal words and first word (negative) of the longest stretch over the ascending ``diagonals``; zeros if none is a leak."""
-    least, best = min(LEAST, len(item)), (0, 0, 0)
-    padded = np.concatenate([np.zeros(len(item), U64), v, np.zeros(len(item), U64)])
-    for a in range(0, len(diagonals), 2_000):
-        part = diagonals[a : a + 2_000]
-        equal = (padded[part[:, None] + len(item) + np.arange(len(item))] == item).sum(1)
-        for d in part[equal >= AGREE * least - 1e-9].tolist():
-            n, start, same = overlap(v, item, d)
-            if n >= least:
-                best = max(best, (n, same, -start))
-            if best[:2] == (len(item), len(item)):  # nothing further on is better
-                return best
+    size, best = len(item), (0, 0, 0)
+    least = min(LEAST, size)
+    padded = np.concatenate([np.zeros(size, U64), v, np.zeros(size, U64)])
+    step = max(1, CELLS // size)
+    for a in range(0, len(diagonals), step):
+        part = diagonals[a : a + step]
+        part = part[(part > -size) & (part < len(v))]
+        same = padded[part[:, None] + size + np.arange(size)] == item
+        equal = same.sum(1)
+        # enough equal words for a leak, and for one that is no shorter than the best so far
+        open_ = (equal >= AGREE * least - 1e-9) & (equal >= AGREE * best[0] - 1e-9)
+        part, same = part[open_], same[open_]
+        if len(part) < FEW:
+            for d in part.tolist():
+                n, start, equal_ = overlap(v, item, d)
+                if n >= least:
+                    best = max(best, (n, equal_, -start))
+                if best[:2] == (size, size):  # nothing further on is better
+                    return best
+            continue
+        lo, hi = np.maximum(0, -part), np.minimum(size, len(v) - part)
+        length, score = _longest(same, lo, hi)
+        n = int(length.max())
+        if n < max(least, best[0]):
+            continue
+        at = np.flatnonzero(length == n)
+        place = np.arange(size + 1 - n)
+        fits = (score[at, n:] >= score[at, : size + 1 - n] - 1e-9) & (place >= lo[at, None]) & (place + n <= hi[at, None])
+        first = fits.argmax(1)
+        count = np.concatenate([np.zeros((len(at), 1), np.int64), np.cumsum(same[at], 1)], 1)
+        equal = count[np.arange(len(at)), first + n] - count[np.arange(len(at)), first]
+        best = max(best, *((n, e, -s) for e, s in zip(equal.tolist(), (first + part[at]).tolist(), strict=True)))
+        if best[:2] == (size, size):
+            return best
     return best
 
 
@@ -163,7 +210,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     index = cut(_seeds(items.join(coded.select("key"), "key", "left_semi").select("key", "text"), masks, None, True), "seeds")
     keep = None
     if index.count() <= FILTER:
-        keep = np.array([r["hash"] for r in index.select("hash").distinct().collect()], np.int64).view(U64)
+        keep = index.select("hash").distinct().toArrow().column("hash").to_numpy().astype(np.int64).view(U64)
     base = keyed(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text")
     if keep is not None and not len(keep):
         keep = np.zeros(1, U64)
