@@ -5,8 +5,9 @@ characters that at least ``DOCS`` documents have lose all their lines but those
 
 Native: everything is DataFrame functions.  Lines are exploded and hashed; a first count of hashes, combined before
 its shuffle, leaves those that occur often enough at all, and only their places go on (a written table).  There
-distinct documents are counted by (hash, id) first, so a key that a third of the lines share is counted in all tasks,
-and the two joins on hashes have no aggregation above them that would keep a skewed partition from being split.
+distinct documents are counted by (hash, id) first, so a key that a third of the lines share is counted in all tasks.
+What both joins on hashes look up is a written table, so they have plain exchanges on both sides and Spark can split a
+hash that is everywhere.
 The places to drop return to the texts in one join by row, and lines are put together again by position, in slices
 between dropped places.
 
@@ -50,10 +51,11 @@ def line_dedup(docs: DataFrame, chars: int = CHARS, least: int = DOCS, id_col: s
     own = names("r", ident, text)
     every = docs.select(*own, ident.alias("id"), F.posexplode(lines_of(text)).alias("pos", "line")).withColumn("key", key_of(F.col("line")))
     hashed = every.where(F.char_length("key") >= chars).select("r1", "r2", "id", "pos", *names("k", F.col("key")))
-    often = hashed.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("k1", "k2")
+    often = cut(hashed.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("k1", "k2"), "often")
     places = cut(hashed.join(often, ["k1", "k2"]), "lines")
     counted = places.groupBy("k1", "k2").agg(F.count_distinct(F.struct("id")).alias("n"), F.max("id").alias("keeper"))
-    dropped = places.join(counted.where(F.col("n") >= least), ["k1", "k2"]).where(~F.col("id").eqNullSafe(F.col("keeper")))
+    shared = cut(counted.where(F.col("n") >= least).select("k1", "k2", "keeper"), "shared")
+    dropped = places.join(shared, ["k1", "k2"]).where(~F.col("id").eqNullSafe(F.col("keeper")))
     gone = dropped.groupBy("r1", "r2").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text.alias("text"), *own)
     split = rows.join(gone, ["r1", "r2"], "left").select("row", lines_of(F.col("text")).alias("lines"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
