@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,6 +132,14 @@ def boosted_signal(panel: DataFrame, factors: list[str], how: Growth = Growth())
     return trees.predicted(filled(panel, factors).select("stock", "dt", x), model)
 
 
+def forest_signal(panel: DataFrame, factors: list[str], count: int = 100, depth: int = 10) -> DataFrame:
+    """``(stock, dt, value)``: a random forest fitted on the first 80 % of dates."""
+    train, _ = _by_date(training_panel(panel, factors), (0.8, 1.0))
+    put = VectorAssembler(inputCols=factors, outputCol="features")
+    model = RandomForestRegressor(labelCol="fwd", numTrees=count, maxDepth=depth, seed=1).fit(put.transform(train))
+    return model.transform(put.transform(filled(panel, factors))).select("stock", "dt", F.col("prediction").alias("value"))
+
+
 #: The network of the second model: batches of 256 rows, one less the concordance as its loss.
 NETWORK = Plan(networks.ccc_loss, batch=256, epochs=100, rate=0.001, patience=10)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from crosspanel.functions.stats import average_rank, concordance, correlation, roll, sample_skew
 from crosspanel.operators import backtest, combine, evaluate, factors, features, legacy, membership, preprocess
+from crosspanel.operators.trees import Growth
 from crosspanel.sources import files
 from crosspanel.streaming import bars as stream
 
@@ -301,7 +302,7 @@ def test_names_with_a_bar_keep_their_names(spark):
 def test_trees_learn_a_plain_rule(spark):
     rows = [(s, DAYS[k], float((s * 5 + k * 3) % 13), None if k == 0 else 0.01 * ((s * 5 + (k - 1) * 3) % 13)) for s in range(20) for k in range(40)]
     p = panel(spark, rows, "stock long, dt date, x double, ret double")
-    for made in (combine.forest_signal(p, ["x"], 10, 5), combine.boosted_signal(p, ["x"], 40, 3), combine.walk_forward_signal(p, ["x"], 10, 12, 2)):
+    for made in (combine.forest_signal(p, ["x"], 10, 5), combine.boosted_signal(p, ["x"], Growth(trees=40, depth=3, gamma=0.0, l1=0.0, columns=1.0)), combine.walk_forward_signal(p, ["x"], 10, 12, 2)):
         both = made.join(p.select("stock", "dt", "x"), ["stock", "dt"])
         assert both.agg(F.corr("value", "x")).first()[0] > 0.9
 
