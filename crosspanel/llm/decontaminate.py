@@ -18,11 +18,12 @@ texts of a few words repeated, are walked along together in blocks of bounded si
 from __future__ import annotations
 
 import math
+import re
+import unicodedata
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,13 +41,18 @@ CELLS, FEW = 4_000_000, 16
 
 _BLACK = np.array([c >= 0x80 or chr(c).isalnum() for c in range(256)])
 _SIGN = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af\uf900-\ufaff"
-_WORD = regex.compile(f"[{_SIGN}]|(?:(?![_{_SIGN}])[\\w\\p{{M}}])+")
+_WORD = re.compile(f"[{_SIGN}]|[^\\W_{_SIGN}]+")
+#: Marks that belong to the letter before them, and words of texts that have any: those take a slower pattern.
+_MARK = "".join(c for c in map(chr, range(0x300, 0x10000)) if unicodedata.category(c)[0] == "M" and not re.match(f"[{_SIGN}]", c))
+_MARKS, _MARKED_WORD = re.compile(f"[{_MARK}]"), re.compile(f"[{_SIGN}]|(?:[^\\W_{_SIGN}]|[{_MARK}])+")
 
 
 def words_of(text: str | None) -> np.ndarray:
     """Hashes of a text's words."""
     text = (text or "").lower()
-    raw = (text if text.isascii() else " ".join(_WORD.findall(text))).encode("utf-8", "surrogatepass")
+    if not text.isascii():
+        text = " ".join((_MARKED_WORD if _MARKS.search(text) else _WORD).findall(text))
+    raw = text.encode("utf-8", "surrogatepass")
     a = np.frombuffer(raw, np.uint8)
     edge = np.diff(np.concatenate([[0], _BLACK[a].astype(np.int8), [0]]))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
