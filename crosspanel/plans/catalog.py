@@ -903,12 +903,12 @@ def _(spark, d):
 
 
 def _drift(spark, d) -> DataFrame:
-    w = legacy.gen_layers(study(spark, d)[0].where("factor = 'bias'"), freq=5)
+    w = legacy.gen_layers(study(spark, d)[0], freq=5)
     state = written(legacy.trading_state(tables.prices(spark, d)), "state")
     return legacy.drift_nav(w, state, "factor", "layer")
 
 
-@query("drift_nav")
+@query("drift_nav", PANEL, STUDY, NONZERO, sql.layers("lg", 5, 1), *sql.DRIFT, "SELECT factor, layer, dt, ROUND(turnover, 8) AS turnover, ROUND(nav, 8) AS nav FROM dnav")
 def _(spark, d):
     return rounded(_drift(spark, d), "turnover", "nav")
 
@@ -919,7 +919,11 @@ def _(spark, d):
     return rounded(got.select("signal", "pct", "total", "annual", "volatility", "sharpe"), "total", "annual", "volatility", "sharpe")
 
 
-@query("month_table")
+@query(
+    "month_table", PANEL, STUDY, NONZERO, sql.layers("lg", 5, 1), *sql.DRIFT,
+    "mt AS (SELECT factor, layer, date_trunc('month', dt) AS period, ARG_MAX(nav, dt) AS v FROM dnav GROUP BY 1, 2, 3)",
+    "SELECT factor, layer, CAST(EXTRACT(year FROM period) AS INTEGER) AS year, CAST(EXTRACT(month FROM period) AS INTEGER) AS month, ROUND(r, 8) AS r FROM (SELECT *, v / LAG(v) OVER (PARTITION BY factor, layer ORDER BY period) - 1 AS r FROM mt) q WHERE r IS NOT NULL",
+)
 def _(spark, d):
     return rounded(legacy.month_table(_drift(spark, d), "factor", "layer"), "r")
 

@@ -88,6 +88,42 @@ nav AS (
   FROM (SELECT DISTINCT factor FROM {source}) f CROSS JOIN lay CROSS JOIN days d
   LEFT JOIN tn ON tn.factor = f.factor AND tn.layer = lay.layer AND tn.i = d.i LEFT JOIN hr ON hr.factor = f.factor AND hr.layer = lay.layer AND hr.i = d.i)"""
 
+#: The older backtest, from ``lw``, ``days`` and ``rt``: ``walk`` goes from one rebalancing of a series to the next, ``dnav`` is the value.
+DRIFT = [
+    "ts AS (SELECT stock, dt, close_adj AS price, COALESCE(volume > 0, FALSE) AND COALESCE(ret, 0) < 0.1 AS can_buy, COALESCE(volume > 0, FALSE) AND COALESCE(ret, 0) > -0.1 AS can_sell FROM rt)",
+    """fl AS (
+  SELECT e.stock, d.i, LAST_VALUE(ts.price IGNORE NULLS) OVER (PARTITION BY e.stock ORDER BY d.i) AS price, COALESCE(can_buy, FALSE) AS can_buy, COALESCE(can_sell, FALSE) AS can_sell, d.dt > e.last AS gone
+  FROM (SELECT stock, MAX(dt) AS last FROM rt GROUP BY stock) e CROSS JOIN days d LEFT JOIN ts ON ts.stock = e.stock AND ts.dt = d.dt),
+mk AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY factor, layer ORDER BY i) AS k, LEAD(i) OVER (PARTITION BY factor, layer ORDER BY i) AS nxt FROM (SELECT DISTINCT factor, layer, i FROM lw) q),
+nm AS (SELECT DISTINCT factor, layer, stock FROM lw),
+dy AS (
+  SELECT m.factor, m.layer, m.k, m.i, nm.stock, COALESCE(lw.weight, 0) AS want, COALESCE(z.price / a.price, 1) AS growth, a.can_buy, a.can_sell, a.gone
+  FROM mk m JOIN nm ON nm.factor = m.factor AND nm.layer = m.layer JOIN fl a ON a.stock = nm.stock AND a.i = m.i LEFT JOIN fl z ON z.stock = nm.stock AND z.i = m.nxt
+  LEFT JOIN lw ON lw.factor = m.factor AND lw.layer = m.layer AND lw.i = m.i AND lw.stock = nm.stock)""",
+    """walk AS (
+  SELECT factor, layer, CAST(0 AS BIGINT) AS k, stock, CAST(0 AS DOUBLE) AS weight, CAST(0 AS DOUBLE) AS old, CAST(0 AS DOUBLE) AS turnover FROM nm
+  UNION ALL SELECT factor, layer, k, stock, weight, CASE WHEN SUM(weight) OVER s > 0 THEN weight * growth / (SUM(weight * growth) OVER s + 1 - SUM(weight) OVER s) ELSE weight * growth END, SUM(ABS(weight - old)) OVER s
+  FROM (
+    SELECT *, CASE WHEN kept THEN old WHEN SUM(CASE WHEN NOT kept THEN want END) OVER s > 0 THEN want * GREATEST(SUM(want) OVER s - COALESCE(SUM(CASE WHEN kept THEN old END) OVER s, 0), 0) / SUM(CASE WHEN NOT kept THEN want END) OVER s ELSE 0 END AS weight
+    FROM (
+      SELECT dy.*, w.old, (want < w.old AND NOT can_sell AND NOT gone) OR (want >= w.old AND NOT can_buy AND (want > 0 OR w.old > 0)) AS kept
+      FROM walk w JOIN dy ON dy.factor = w.factor AND dy.layer = w.layer AND dy.stock = w.stock AND dy.k = w.k + 1) q WINDOW s AS (PARTITION BY factor, layer)) q
+  WINDOW s AS (PARTITION BY factor, layer))""",
+    """re AS (SELECT w.factor, w.layer, m.i AS mark, w.stock, w.weight, w.turnover FROM walk w JOIN mk m ON m.factor = w.factor AND m.layer = w.layer AND m.k = w.k WHERE w.weight > 0),
+sp AS (SELECT *, LEAD(mark) OVER (PARTITION BY factor, layer ORDER BY mark) AS nxt FROM (SELECT factor, layer, mark, MAX(turnover) AS turnover FROM re GROUP BY factor, layer, mark) q),
+ins AS (
+  SELECT re.factor, re.layer, re.mark, p.i, 1 + SUM(re.weight * (p.price / b.price - 1)) AS v
+  FROM re JOIN sp ON sp.factor = re.factor AND sp.layer = re.layer AND sp.mark = re.mark JOIN fl b ON b.stock = re.stock AND b.i = re.mark JOIN fl p ON p.stock = re.stock AND p.i >= re.mark AND p.i <= COALESCE(sp.nxt, 1000000)
+  GROUP BY re.factor, re.layer, re.mark, p.i),
+bs AS (
+  SELECT sp.factor, sp.layer, sp.mark, turnover, COALESCE(PRODUCT(v) OVER (PARTITION BY sp.factor, sp.layer ORDER BY sp.mark ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) * PRODUCT(1 - 0.002 * turnover) OVER (PARTITION BY sp.factor, sp.layer ORDER BY sp.mark) AS base
+  FROM sp JOIN (SELECT factor, layer, mark, ARG_MAX(v, i) AS v FROM ins GROUP BY factor, layer, mark) e ON e.factor = sp.factor AND e.layer = sp.layer AND e.mark = sp.mark),
+dnav AS (
+  SELECT q.factor, q.layer, d.dt, q.turnover, q.nav FROM (
+    SELECT ins.factor, ins.layer, ins.i, ins.v * bs.base AS nav, CASE WHEN ins.i = ins.mark THEN bs.turnover ELSE 0 END AS turnover, ROW_NUMBER() OVER (PARTITION BY ins.factor, ins.layer, ins.i ORDER BY ins.mark DESC) AS o
+    FROM ins JOIN bs ON bs.factor = ins.factor AND bs.layer = ins.layer AND bs.mark = ins.mark) q JOIN days d ON d.i = q.i WHERE o = 1)""",
+]
+
 
 MONOTONE = """fin AS (SELECT factor, MAX(CASE WHEN layer = 0 THEN v END) AS a, MAX(CASE WHEN layer = 2 THEN v END) AS b, MAX(CASE WHEN layer = 4 THEN v END) AS c FROM (SELECT factor, layer, ARG_MAX(nav, dt) AS v FROM nav GROUP BY factor, layer) q GROUP BY factor),
 mono AS (SELECT factor, (b >= a AND c >= b) OR (b <= a AND c <= b) AS is_monotone, CASE WHEN b >= a AND c >= b THEN 'positive' WHEN b <= a AND c <= b THEN 'negative' END AS direction FROM fin)"""
