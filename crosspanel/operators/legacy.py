@@ -1,8 +1,9 @@
 """The older layer backtest: a lag of one date, weights that drift between rebalancings, and limits on trading.
 
 A name that isn't traded, or that is locked at its upper (lower) price limit, can't be bought (sold) on that date and
-keeps its drifted weight; the others share what is left of the target.  That needs the weights of the period before, so
-a task goes through a series date by date and holds one date's rows at a time.
+keeps its drifted weight; the others share what is left of the target.  That needs the weights of the period before.
+A series of up to ``IN_TASK`` names is gone through by one task, which holds one date's rows at a time; if any series has
+more, all series go from one rebalancing to the next together, each step being a join and sums over written tables.
 """
 
 from __future__ import annotations
@@ -13,7 +14,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crosspanel.operators.evaluate import calendar, layer_weights
-from crosspanel.sources.shared import written
+from crosspanel.sources.shared import new_folder, written
+
+#: Names of a series whose rows of one date may meet in one task: some 100 bytes each.
+IN_TASK = 1_000_000
 
 
 def gen_layers(factors: DataFrame, layers: int = 5, freq: int = 1) -> DataFrame:
@@ -50,13 +54,56 @@ def _filled(state: DataFrame, days: DataFrame) -> DataFrame:
     return both.select("stock", "i", F.last("price", ignorenulls=True).over(upto).alias("price"), F.coalesce("can_buy", no).alias("can_buy"), F.coalesce("can_sell", no).alias("can_sell"), (F.col("dt") > F.col("last")).alias("gone"))
 
 
-def real_weights(weights: DataFrame, daily: DataFrame, *series: str) -> DataFrame:
-    """``(series, i, stock, weight, turnover)``: what is really held after each rebalancing, and how much was traded for it."""
-    marks = weights.select(*series, "i").distinct().withColumn("until", F.lead("i").over(Window.partitionBy(*series).orderBy("i")))
-    rows = weights.select(*series, "stock").distinct().join(marks, list(series)).join(weights.select(*series, "i", "stock", F.col("weight").alias("target")), [*series, "i", "stock"], "left")
+def real_weights(weights: DataFrame, daily: DataFrame, *series: str, in_task: int = IN_TASK) -> DataFrame:
+    """``(series, i, stock, weight, turnover)``: what is really held after each rebalancing, and how much was traded for it.
+
+    ``in_task`` chooses between the two ways of the module's docstring; the result is the same.
+    """
+    names = weights.select(*series, "stock").distinct()
+    most = names.groupBy(*series).count().agg(F.max("count")).first()[0] or 0
+    by = Window.partitionBy(*series).orderBy("i")
+    marks = weights.select(*series, "i").distinct().withColumns({"until": F.lead("i").over(by), "k": F.row_number().over(by)})
+    rows = names.join(marks, list(series)).join(weights.select(*series, "i", "stock", F.col("weight").alias("target")), [*series, "i", "stock"], "left")
     later = daily.select("stock", F.col("i").alias("until"), F.col("price").alias("end"))
     rows = rows.join(daily, ["stock", "i"]).join(later, ["stock", "until"], "left").fillna(0.0, ["target"])
-    types = dict(weights.dtypes)
+    return _by_task(rows, *series) if most <= in_task else _by_steps(rows, *series)
+
+
+def _by_steps(rows: DataFrame, *series: str) -> DataFrame:
+    """``real_weights`` by one step for the k-th rebalancing of all series: stocks are dealt to tasks, only a series' sums meet."""
+    spark, keys = rows.sparkSession, [*series, "stock"]
+    dealt, out = new_folder(spark, "rebalancings"), new_folder(spark, "held")
+    rows.write.partitionBy("k").parquet(dealt)
+    steps = spark.read.schema(rows.schema).parquet(dealt)
+    state = None
+    for k in range(1, (steps.agg(F.max("k")).first()[0] or 0) + 1):  # a job for each rebalancing, whatever the number of series
+        day = steps.where(F.col("k") == k)
+        if state is None:
+            day = day.withColumn("old", F.lit(0.0))
+        else:
+            total = state.groupBy(*series).agg(F.sum("grown").alias("g"), F.sum("weight").alias("w"))
+            drifted = F.when(F.col("w") > 0, F.col("grown") / (F.col("g") + 1 - F.col("w"))).otherwise(F.col("grown"))
+            day = day.join(state.join(total, list(series)).select(*keys, drifted.alias("old")), keys)
+        want, old = F.col("target"), F.col("old")
+        kept = ((want < old) & ~F.col("can_sell") & ~F.col("gone")) | ((want >= old) & ~F.col("can_buy") & ((want > 0) | (old > 0)))
+        day = day.withColumn("kept", kept)
+        sums = day.groupBy(*series).agg((F.sum(want) - F.coalesce(F.sum(F.when(F.col("kept"), old)), F.lit(0.0))).alias("left"), F.sum(F.when(~F.col("kept"), want)).alias("free"))
+        share = F.when(F.col("free") > 0, want * F.greatest(F.col("left"), F.lit(0.0)) / F.col("free")).otherwise(0.0)
+        now = day.join(sums, list(series)).withColumn("weight", F.when(F.col("kept"), old).otherwise(share))
+        grown = F.col("weight") * F.coalesce(F.try_divide("end", "price"), F.lit(1.0))
+        now = now.select(*keys, "i", "weight", F.abs(F.col("weight") - old).alias("moved"), grown.alias("grown"))
+        now.write.parquet(f"{out}/k={k}")
+        state = spark.read.schema(now.schema).parquet(f"{out}/k={k}")
+    if state is None:
+        return rows.select(*series, "i", "stock", F.col("target").alias("weight"), F.col("target").alias("turnover"))
+    held = spark.read.schema(state.schema).parquet(out)
+    cost = held.groupBy(*series, "i").agg(F.sum("moved").alias("turnover"))
+    return held.where("weight > 0").join(cost, [*series, "i"]).select(*series, "i", "stock", "weight", "turnover")
+
+
+def _by_task(rows: DataFrame, *series: str) -> DataFrame:
+    """``real_weights`` with all names of a series on a date in one task."""
+    types = dict(rows.dtypes)
 
     def traded(day: pd.DataFrame, old: np.ndarray | None) -> tuple[pd.DataFrame, np.ndarray]:
         """What is held after one date's trades, and what that has drifted to when the next ones are due."""
@@ -68,7 +115,8 @@ def real_weights(weights: DataFrame, daily: DataFrame, *series: str) -> DataFram
         left = want.sum() - old[kept].sum()
         now = np.where(kept, old, free * max(left, 0.0) / free.sum() if free.sum() > 0 else 0.0)
         with np.errstate(divide="ignore", invalid="ignore"):
-            grown = now * np.nan_to_num(end / price, nan=1.0)
+            growth = end / price
+        grown = now * np.where(np.isfinite(growth), growth, 1.0)
         out = day[[*series, "i", "stock"]].assign(weight=now, turnover=np.abs(now - old).sum())[now > 0]
         return out, grown / (grown.sum() + 1 - now.sum()) if now.sum() > 0 else grown
 
@@ -91,7 +139,7 @@ def real_weights(weights: DataFrame, daily: DataFrame, *series: str) -> DataFram
     return dealt.mapInPandas(held, ", ".join(f"`{c}` {types[c]}" for c in (*series, "i", "stock")) + ", weight double, turnover double")
 
 
-def drift_nav(weights: DataFrame, state: DataFrame, *series: str, fee: float = 0.002) -> DataFrame:
+def drift_nav(weights: DataFrame, state: DataFrame, *series: str, fee: float = 0.002, in_task: int = IN_TASK) -> DataFrame:
     """``(series, dt, turnover, nav)`` from targets ``(series, i, stock, weight)`` and ``trading_state``.
 
     Within a period the value is 1 + sum of w * (p / p_buy - 1); at its end the next period starts from there, less the
@@ -99,7 +147,7 @@ def drift_nav(weights: DataFrame, state: DataFrame, *series: str, fee: float = 0
     """
     days = calendar(state)
     daily = written(_filled(state, days), "daily")
-    real = written(real_weights(written(weights, "weights"), daily, *series), "real")
+    real = written(real_weights(written(weights, "weights"), daily, *series, in_task=in_task), "real")
     last = days.agg(F.max("i").alias("last"))
     marks = real.groupBy(*series, "i").agg(F.first("turnover").alias("turnover")).withColumn("until", F.lead("i").over(Window.partitionBy(*series).orderBy("i")))
     spans = marks.join(F.broadcast(last)).select(*series, F.col("i").alias("mark"), F.explode(F.sequence("i", F.coalesce("until", "last"))).alias("i"))

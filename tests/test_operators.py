@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -214,19 +215,43 @@ def drift_inputs(spark, locked=()):
     return w, spark.createDataFrame(rows, "stock int, dt date, price double, can_buy boolean, can_sell boolean")
 
 
-def test_drift(spark):
-    got = legacy.drift_nav(*drift_inputs(spark), "s", fee=0.1).orderBy("dt").collect()
+@pytest.mark.parametrize("in_task", [legacy.IN_TASK, 1])
+def test_drift(spark, in_task):
+    got = legacy.drift_nav(*drift_inputs(spark), "s", fee=0.1, in_task=in_task).orderBy("dt").collect()
     base = 0.9 * 2.0 * (1 - 0.1 * 1.0)  # 0.5 and 0.5 have both doubled; half is sold and bought
     assert [r["nav"] for r in got] == pytest.approx([0.9, 0.9 * 1.5, base, 2 * base])
     assert [r["turnover"] for r in got] == pytest.approx([1, 0, 1, 0])
 
 
-def test_a_locked_name_keeps_its_weight(spark):
-    got = legacy.drift_nav(*drift_inputs(spark, {(2, 2)}), "s", fee=0.0).orderBy("dt").collect()
+@pytest.mark.parametrize("in_task", [legacy.IN_TASK, 1])
+def test_a_locked_name_keeps_its_weight(spark, in_task):
+    got = legacy.drift_nav(*drift_inputs(spark, {(2, 2)}), "s", fee=0.0, in_task=in_task).orderBy("dt").collect()
     assert [r["nav"] for r in got] == pytest.approx([1.0, 1.5, 2.0, 2.0 * (1 + 0.5 * 1.0 + 0.5 * 3.5)])
     assert got[2]["turnover"] == pytest.approx(0)
 
 
+def test_steps_and_tasks_hold_the_same(spark):
+    """Series with rebalancings of their own, names that can't be traded, come late, leave, or have no price on a date."""
+    r = np.random.default_rng(5)
+    w, prices = [], []
+    for s in range(3):
+        for i in sorted(r.choice(12, 6 - s, replace=False).tolist()):
+            chosen = r.choice(15, 6, replace=False).tolist()
+            w += [(f"s{s}", i, n, 1 / 6) for n in chosen]
+    for n in range(15):
+        for k in range(int(r.integers(0, 3)), 12 - int(r.integers(0, 3))):
+            if r.random() < 0.85:
+                prices.append((n, dt.date(2020, 1, k + 1), float(r.uniform(1, 3)), bool(r.random() < 0.7), bool(r.random() < 0.7)))
+    prices += [(99, dt.date(2020, 1, k + 1), 1.0, True, True) for k in range(12)]
+    weights = spark.createDataFrame(w, "s string, i int, stock int, weight double")
+    state = spark.createDataFrame(prices, "stock int, dt date, price double, can_buy boolean, can_sell boolean")
+    one, many = (legacy.drift_nav(weights, state, "s", in_task=k).orderBy("s", "dt").collect() for k in (100, 1))
+    assert [tuple(x)[:2] for x in one] == [tuple(x)[:2] for x in many] and len(one) > 20
+    assert [x for row in one for x in row[2:]] == pytest.approx([x for row in many for x in row[2:]], nan_ok=True)
+    nothing = weights.where("false")
+    assert all(legacy.drift_nav(nothing, state, "s", in_task=k).count() == 0 for k in (100, -1))
+
+
 def test_wide_files(spark, tmp_path):
     df = spark.createDataFrame([("a", DAYS[0], 1.0), ("a", DAYS[1], None), ("b", DAYS[1], 2.5)], "stock string, dt date, value double")
     files.write_wide_csv(df, "value", str(tmp_path / "f"))
