@@ -219,7 +219,7 @@ def _values(raw: bytes) -> np.ndarray:
 
 
 def kind() -> Kind:
-    return Kind(LONG, ANCHOR, _values, lambda raw, v, a, b: raw[a:b], lambda c, at: suffix.equal_windows(c, at, LONG, ANCHOR), suffix.CROWD)
+    return Kind(LONG, ANCHOR, _values, lambda raw, v, a, b: raw[a:b], lambda c, at, k: suffix.equal_windows(c, at, LONG, k), suffix.CROWD)
 
 
 def _shared_windows(pages: DataFrame, spans: DataFrame) -> DataFrame:

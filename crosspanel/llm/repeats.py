@@ -8,21 +8,24 @@ equal ones).  Equal windows have equal anchors at equal places, so
    all their symbols, 128 bits together) repeat as a whole, and stand for one *context* from here on;
 3. the different contexts of an anchor, where one of them is alone, go to one task, which finds the windows that
    two of them share (``resolve``: how that is done is the operator's own method);
-4. an anchor with over ``crowd`` different contexts is resolved by counting its windows' hashes instead, which
-   needs no group in one place.
+4. contexts of an anchor with over ``crowd`` of them are halved: windows that begin well before the anchor, and the
+   others; all windows of a half have a longer stretch in common, which is its anchor from here on.  Halves go through
+   2 and 3 again, until no anchor is crowded or a half is one window.  A half that no other meets ends there, so no
+   window becomes a row unless it repeats all but in full.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crosspanel.llm._shared import U64, Rolling, cut, signed
+from crosspanel.llm._shared import BASE, U64, Rolling, cut, mix, signed
 
 
 @dataclass(frozen=True)
@@ -32,8 +35,8 @@ class Kind:
     width: int  # symbols of a window
     k: int  # symbols of an anchor
     values: Callable[[bytes], np.ndarray]  # a text's symbols as 64-bit values
-    payload: Callable[[bytes, np.ndarray, int, int], bytes]  # (text, values, from, to): what resolve() gets of a context
-    resolve: Callable[[list[bytes], list[int]], list[list[tuple[int, int]]]]  # contexts, anchors' offsets -> runs of repeated windows in each
+    payload: Callable[[bytes, np.ndarray, int, int], bytes]  # (text, values, from, to): what resolve() gets of a context, as many bytes for each symbol
+    resolve: Callable[[list[bytes], list[int], int], list[list[tuple[int, int]]]]  # contexts, anchors' offsets, symbols of an anchor -> runs of repeated windows in each
     crowd: int  # different contexts of an anchor that may meet in one task
 
 
@@ -130,58 +133,98 @@ def repeated_windows(docs: DataFrame, kind: Kind, text_col: str = "text") -> Dat
                         pa.array([w["s"] for w in want], pa.int32()),
                         pa.array([w["m"] for w in want], pa.int32()),
                         pa.array([where[w["s"]] - w["s"] for w in want], pa.int32()),
-                        pa.array([kind.payload(raw, v, w["s"], w["s"] + w["m"] - 1 + kind.width) if w["kinds"] <= kind.crowd else _window_hashes(v, w["s"], w["m"], kind.width) for w in want], pa.binary()),
+                        pa.array([kind.payload(raw, v, w["s"], w["s"] + w["m"] - 1 + kind.width) for w in want], pa.binary()),
                     ],
                     names,
                 )
 
     spread = cut(held.mapInArrow(contexts, "anchor long, kinds long, alone boolean, row_key binary, s int, m int, at int, payload binary"), "extended")
 
-    def resolved(batches):
-        now, held_ = None, []
+    found, k = [full], kind.k
+    while True:
+        found.append(_resolved(spread.where(F.col("kinds") <= kind.crowd), kind, k))
+        crowded = spread.where(F.col("kinds") > kind.crowd)
+        if crowded.isEmpty():
+            break
+        halves, k = _halves(crowded, kind.width, k)
+        spread, whole = _open(cut(halves, "halves"))
+        found.append(whole)
+    return reduce(DataFrame.union, found).groupBy("row_key").agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
+
+
+def _resolved(few: DataFrame, kind: Kind, k: int) -> DataFrame:
+    """``(row_key, lo array<int>, n)``: the windows that the contexts of an anchor of ``k`` symbols share; they meet in one task."""
+
+    def run(batches):
+        now, held = None, []
 
         def done():
-            spans = kind.resolve([x[4] for x in held_], [x[3] for x in held_])
-            return [(x[1], x[2] + lo, x[2] + hi) for x, found in zip(held_, spans, strict=True) if x[0] for lo, hi in found]
+            spans = kind.resolve([x[4] for x in held], [x[3] for x in held], k)
+            return [(x[1], x[2] + lo, x[2] + hi) for x, found in zip(held, spans, strict=True) if x[0] for lo, hi in found]
 
         for b in batches:
             out = []
             for row in zip(*(b.column(c).to_pylist() for c in ("anchor", "alone", "row_key", "s", "at", "payload")), strict=True):
-                if row[0] != now and held_:
+                if row[0] != now and held:
                     out += done()
-                    held_ = []
+                    held = []
                 now = row[0]
-                held_.append(row[1:])
+                held.append(row[1:])
             yield from _span_batches(out)
-        if held_:
+        if held:
             yield from _span_batches(done())
 
-    few = spread.where(F.col("kinds") <= kind.crowd).repartition("anchor").sortWithinPartitions("anchor", "row_key", "s").mapInArrow(resolved, "row_key binary, lo int, hi int")
-    many = spread.where(F.col("kinds") > kind.crowd)
-    counted = _counted(many)
-    found = few.union(counted).select("row_key", F.array("lo").alias("lo"), (F.col("hi") - F.col("lo")).alias("n"))
-    return full.union(found).groupBy("row_key").agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
+    spans = few.repartition("anchor").sortWithinPartitions("anchor", "row_key", "s").mapInArrow(run, "row_key binary, lo int, hi int")
+    return spans.select("row_key", F.array("lo").alias("lo"), (F.col("hi") - F.col("lo")).alias("n"))
 
 
-def _window_hashes(v: np.ndarray, s: int, m: int, width: int) -> bytes:
-    return Rolling(v[s : s + m - 1 + width]).every(width).astype("<u8").tobytes()
-
-
-def _counted(many: DataFrame) -> DataFrame:
-    """Repeated windows of crowded anchors: hashes are counted with their anchor (128 bits)."""
+def _halves(crowded: DataFrame, width: int, k: int) -> tuple[DataFrame, int]:
+    """Each context as two, and the symbols of their anchors: windows with half of what an anchor leaves open before it, or else behind it."""
+    more = (width - k + 1) // 2
+    names = ["anchor", "seg", "alone", "row_key", "s", "m", "at", "payload"]
 
     def run(batches):
         for b in batches:
-            a, s, alone = (np.asarray(b.column(c).to_numpy(zero_copy_only=False)) for c in ("anchor", "s", "alone"))
-            hashes = [np.frombuffer(x, "<u8") for x in b.column("payload").to_pylist()]
-            n = np.array([len(h) for h in hashes], np.int64)
-            if n.sum():
-                off = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(a, n)), pa.array(signed(np.concatenate(hashes))), pa.array(np.repeat(alone, n)), b.column("row_key").take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array((np.repeat(s, n) + off).astype(np.int32))], ["anchor", "hash", "alone", "row_key", "p"])
-
-    rows = many.mapInArrow(run, "anchor long, hash long, alone boolean, row_key binary, p int")
-    again = rows.groupBy("anchor", "hash").count().where("count > 1").select("anchor", "hash")
-    return rows.where("alone").join(again, ["anchor", "hash"]).select("row_key", F.col("p").alias("lo"), (F.col("p") + 1).alias("hi"))
+            if not b.num_rows:
+                continue
+            anchor, s, m, at = (b.column(c).to_numpy().astype(np.int64) for c in ("anchor", "s", "m", "at"))
+            size = m - 1 + width
+            texts = b.column("payload").to_pylist()
+            unit = len(texts[0]) // int(size[0])
+            roll = Rolling(mix(np.frombuffer(b"".join(texts), f"<u{unit}").astype(U64) + U64(BASE)))
+            start = np.cumsum(size) - size
+            for side, lo, hi in ((0, np.zeros_like(m), np.minimum(at - more + 1, m)), (1, np.maximum(at - more + 1, 0), m)):
+                i = np.flatnonzero(lo < hi)
+                lo, hi = lo[i], hi[i]
+                core = start[i] + at[i] - (0 if side else more)
+                hashes = mix(roll.of(core, core + k + more) + mix(anchor[i].view(U64)) + U64(side))
+                seg = roll.of(start[i] + lo, start[i] + hi - 1 + width)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(signed(hashes)),
+                        pa.array(signed(seg)),
+                        b.column("alone").take(pa.array(i)),
+                        b.column("row_key").take(pa.array(i)),
+                        pa.array((s[i] + lo).astype(np.int32)),
+                        pa.array((hi - lo).astype(np.int32)),
+                        pa.array((core - start[i] - lo).astype(np.int32)),
+                        pa.array([texts[x][unit * p : unit * q] for x, p, q in zip(i.tolist(), lo.tolist(), (hi - 1 + width).tolist(), strict=True)], pa.binary()),
+                    ],
+                    names,
+                )
+
+    return crowded.mapInArrow(run, "anchor long, seg long, alone boolean, row_key binary, s int, m int, at int, payload binary"), k + more
+
+
+def _open(halves: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The different contexts of anchors that are still open, and the windows of those that repeat as a whole; ``halves`` is a written table."""
+    n = F.sum(F.when(F.col("alone"), 1).otherwise(2))  # one that isn't alone stands for more
+    pairs = cut(halves.groupBy("anchor", "seg").agg(n.alias("n"), F.min(F.struct("row_key", "s")).alias("rep")), "pairs")
+    whole = halves.where("alone").join(pairs.where("n > 1").select("anchor", "seg"), ["anchor", "seg"]).select("row_key", F.array("s").alias("lo"), F.col("m").alias("n"))
+    open_ = pairs.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("least = 1 and kinds > 1")
+    wanted = pairs.join(open_.select("anchor", "kinds"), "anchor").select("anchor", "seg", "kinds", (F.col("n") == 1).alias("alone"), "rep.*")
+    spread = halves.drop("alone").join(wanted, ["anchor", "seg", "row_key", "s"]).select("anchor", "kinds", "alone", "row_key", "s", "m", "at", "payload")
+    return cut(spread, "extended"), whole
 
 
 def _span_batches(found: list):

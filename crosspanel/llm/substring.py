@@ -74,7 +74,7 @@ def extend(contexts: list[bytes], at: list[int], width: int, k: int) -> list[lis
 
 
 def kind(width: int = WIDTH, k: int = ANCHOR) -> Kind:
-    return Kind(width, k, lambda raw: word_hashes(raw)[2], lambda raw, v, a, b: v[a:b].tobytes(), lambda c, at: extend(c, at, width, k), CROWD)
+    return Kind(width, k, lambda raw: word_hashes(raw)[2], lambda raw, v, a, b: v[a:b].tobytes(), lambda c, at, k: extend(c, at, width, k), CROWD)
 
 
 def _take(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[int, int, str]:

@@ -164,7 +164,7 @@ def equal_windows(contexts: list[bytes], at: list[int], width: int, k: int) -> l
 
 
 def kind(width: int = WIDTH, k: int = ANCHOR) -> Kind:
-    return Kind(width, k, lambda raw: _VALUES[np.frombuffer(raw, np.uint8)], lambda raw, v, a, b: raw[a:b], lambda c, at: equal_windows(c, at, width, k), CROWD)
+    return Kind(width, k, lambda raw: _VALUES[np.frombuffer(raw, np.uint8)], lambda raw, v, a, b: raw[a:b], lambda c, at, k: equal_windows(c, at, width, k), CROWD)
 
 
 def _take(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[int, int, int, bytes]:

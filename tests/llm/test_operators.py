@@ -216,6 +216,35 @@ def test_crowded_anchors(rows, docs, monkeypatch):
     assert Counter(map(str, substring.repeats_removed(docs).drop("row").collect())) == whole
 
 
+def test_crowded_anchors_make_no_row_for_each_window(spark, monkeypatch):
+    """A passage that many texts have, between others: windows reach over its ends, some texts share those too."""
+    rng = random.Random(8)
+    made, cut = Counter(), repeats.cut
+
+    def spy(df, name):
+        out = cut(df, name)
+        made[name] += out.count()
+        if name == "extended" and not made["windows"]:
+            made["windows"] = out.where("kinds > 20").agg(F.sum("m")).first()[0]
+        return out
+
+    monkeypatch.setattr(repeats, "cut", spy)
+    letters = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    for module, join, part, width, tail in ((suffix, "", letters, suffix.WIDTH, ("n_bytes", raw)), (substring, " ", lambda n: " ".join(letters(9).replace(" ", "x") for _ in range(n)), substring.WIDTH, ("n_words", lambda t: WORD.findall(t)))):
+        passage = part(width + 20)
+        ends = [part(width) for _ in range(6)]
+        texts = [join.join([part(width), passage, part(width)]) for _ in range(60)]
+        texts += [join.join([part(width), passage, rng.choice(ends)]) for _ in range(20)] + [join.join([rng.choice(ends), passage, part(width)]) for _ in range(20)]
+        texts += [texts[0], texts[60]]  # repeated wholes
+        monkeypatch.setattr(module, "CROWD", 20)
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+        made.clear()
+        got = {r["i"]: (r[tail[0]], r["n_removed"]) for r in module.repeats_removed(docs).select(F.col("row.doc_id").alias("i"), tail[0], "n_removed").collect()}
+        symbols = [tail[1](t) for t in texts]
+        assert got == {i: (len(x), keep.count(False)) for i, (x, keep) in enumerate(zip(symbols, uncovered(symbols, width), strict=True))}
+        assert 0 < made["halves"] < made["windows"] / 2, made
+
+
 # ---- 3
 
 
