@@ -187,6 +187,35 @@ def test_scc_is_the_same_in_blocks_of_stocks(spark):
     assert abs(whole[0, last] - sum(found) / len(found)) < 1e-9
 
 
+@pytest.mark.parametrize("sizes", [(8192, 8192, 128), (3, 7, 2)])
+def test_windows_with_the_same_gaps_are_correlated_as_one(monkeypatch, sizes):
+    """The sums are those of all pairs, and the work is that of rows times patterns of gaps."""
+    rng = np.random.default_rng(3)
+    r = rng.normal(0, 0.1, size=(60, 40))
+    r[rng.random(r.shape) < 0.1] = np.nan
+    r[:30, 3] = np.nan
+    r[5], r[6, 1:] = 0.25, np.nan  # without variance, and too short
+    own = np.arange(60) % 2
+    for k, v in zip(("PIECE", "CHUNK", "PIECES"), sizes, strict=True):
+        monkeypatch.setattr(factors, k, v)
+
+    def pair(x, y):
+        both = ~np.isnan(x) & ~np.isnan(y)
+        x, y = x[both], y[both]
+        return np.corrcoef(x, y)[0, 1] if both.sum() >= 10 and x.var() > 1e-8 and y.var() > 1e-8 else np.nan
+
+    whole = np.array([[np.nan if i == j else pair(r[i], r[j]) for j in range(60)] for i in range(60)])
+    for a, b, meets in ((0, 0, (own[:, None] == 0) & (own == 0)), (0, 1, own[:, None] != own)):
+        total, pairs = factors._correlation_sums(r, own, a, b, 10)
+        want = np.where(meets, whole, np.nan)
+        assert np.allclose(total, np.nansum(want, 1), atol=1e-9) and (pairs == (~np.isnan(want)).sum(1)).all()
+    asked, towards = [], factors._towards
+    monkeypatch.setattr(factors, "_towards", lambda x, masks, least: asked.append(len(x.r) * len(masks)) or towards(x, masks, least))
+    many = np.tile(r[:2], (500, 1))
+    factors._correlation_sums(many, np.zeros(1000, int), 0, 0, 10)
+    assert sum(asked) <= 1000 * (2 + 1000 // sizes[0])
+
+
 def test_relative_cost(spark):
     rng = [10 + math.sin(k) for k in range(15)]
     turn = [0.05 + 0.01 * (k % 3) for k in range(15)]
