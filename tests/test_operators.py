@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import re
 
 import numpy as np
 import pytest
@@ -216,6 +217,19 @@ def test_windows_with_the_same_gaps_are_correlated_as_one(monkeypatch, sizes):
     assert sum(asked) <= 1000 * (2 + 1000 // sizes[0])
 
 
+def test_wide_rows_of_the_factor_table_are_dealt_once(spark):
+    """What is computed by stock or put to a stock's rows needs no exchange of the panel."""
+    rows = [(s, DAYS[k], *(5.0 + s + k,) * 4, 100.0, 100.0 + s, 0.01, 0.01 * ((s * k) % 7)) for s in range(3) for k in range(30)]
+    p = panel(spark, rows, "stock long, dt date, " + ", ".join(f"{c} double" for c in factors.INPUTS))
+    stints = panel(spark, [(0, DAYS[0], None), (1, DAYS[0], DAYS[3]), (1, DAYS[25], None)], "stock long, in_date date, out_date date")
+    got = factors.factor_table(p, stints, 5, 10)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not re.findall(r"Exchange hashpartitioning\(stock#\w+, dt#", plan)
+    held = {(r["stock"], r["dt"]): r for r in got.collect()}
+    assert len(held) == 90 and held[0, DAYS[29]]["bias"] is not None and held[0, DAYS[29]]["arc"] is not None
+    assert {k for k, r in held.items() if r["bias"] is not None} == {(0, d) for d in DAYS[4:30]} | {(1, d) for d in DAYS[25:30]}
+
+
 def test_relative_cost(spark):
     rng = [10 + math.sin(k) for k in range(15)]
     turn = [0.05 + 0.01 * (k % 3) for k in range(15)]
