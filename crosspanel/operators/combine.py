@@ -141,7 +141,7 @@ def forest_signal(panel: DataFrame, factors: list[str], count: int = 100, depth:
 
 
 #: The network of the second model: batches of 256 rows, one less the concordance as its loss.
-NETWORK = Plan(networks.ccc_loss, batch=256, epochs=100, rate=0.001, patience=10)
+NETWORK = Plan(networks.ccc_loss, batch=256, epochs=100, rate=0.001, patience=10, single=True)
 
 
 def network_signal(panel: DataFrame, factors: list[str], plan: Plan = NETWORK, widths: tuple[int, ...] = (128, 64, 32), rate: float = 0.3) -> DataFrame:
@@ -156,7 +156,7 @@ def network_signal(panel: DataFrame, factors: list[str], plan: Plan = NETWORK, w
     samples = [part.select(F.lit(name).alias("part"), "stock", "dt", x, ((F.col("fwd") - mean["fwd"]) / sd["fwd"]).alias("y")) for name, part in (("train", train), ("valid", valid))]
     lanes = training.packed(samples[0].unionByName(samples[1]), F.struct("stock", "dt"), ["stock", "dt"], plan)
     net = networks.mlp(len(factors), widths, rate)
-    return training.predicted(filled(panel, factors).select("stock", "dt", x), net, training.fit(lanes, net, plan), sd["fwd"], mean["fwd"])
+    return training.predicted(filled(panel, factors).select("stock", "dt", x), net, training.fit(lanes, net, plan), sd["fwd"], mean["fwd"], plan.single)
 
 
 def walk_forward_sums(panel: DataFrame, factors: list[str]) -> DataFrame:
